@@ -13,6 +13,7 @@ import unicodedata
 from functools import lru_cache
 
 import ahocorasick
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -223,8 +224,6 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", ids:
 
 def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """docs with the text of their ids; null ids give null, unknown ids an error."""
-    import pandas as pd
-
     with open(vocabulary, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
