@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoweave.scratch import drop_stored, scratch_dir, stored
+
+__all__ = ["BLANKS", "SLICE_CHARS", "drop_stored", "map_texts", "plain", "scratch_dir", "slices", "stored", "table", "whole", "word_count"]
 #: Space, tab, line feed, vertical tab, form feed, carriage return: what parts words.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Characters of text that one step of a Python worker holds.
@@ -23,31 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all machines share; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(scratch_dir, "own", None) or tempfile.mkdtemp(prefix="chronoweave-")
-        scratch_dir.own = base
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder as Parquet and read again: lineage ends there and lost executors cost nothing."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Delete what stored() wrote, once nothing reads it any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(folder)
-        if at.getName().startswith("scratch-"):
-            at.getFileSystem(conf).delete(at, True)
-
-
 def plain(name: str, taken: list[str]) -> str:
     """A column name that df does not use yet, for helper columns."""
     out, low = name, {x.lower() for x in taken}

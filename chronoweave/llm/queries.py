@@ -6,20 +6,36 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, fingerprints, simhash, token_counts
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_with_next(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_text=False))
 
 
+def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", token_counts.n_bytes("text").alias("n_bytes"))
+    counted = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_text=False)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_bpe_prefix_dp,)}
+    return {f.__name__: f for f in (op1_multiset_hash, op2_bpe_prefix_dp, op7_simhash_golay, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
