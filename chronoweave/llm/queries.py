@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, simhash, token_counts
+from . import bpe, fingerprints, pii, simhash, token_counts, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,13 @@ def op2_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_text=False))
 
 
+def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learned(docs, labels.where(~toxicity.held_out()))
+    found = toxicity.scored(docs.select("doc_id", "text"), model, keep_text=False)
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
@@ -34,8 +41,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_multiset_hash, op2_bpe_prefix_dp, op7_simhash_golay, op9_token_counts)}
+    return {f.__name__: f for f in (op1_multiset_hash, op2_bpe_prefix_dp, op5_compression_toxicity, op7_simhash_golay, op9_token_counts, op10_skip_chain_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -179,14 +179,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", com
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the least id; of equal ids the least (fingerprint, text hash), of equal rows one.
 
-    Columns and their order stay, whatever their names. Rows are named by their place in the input, so texts are read
-    twice and never shuffled.
+    Columns and their order stay, whatever their names. One join by row (id and text hash) moves each text once; it also
+    brings equal rows together.
     """
     names = docs.columns
     mark = plain("_row", names)
     marked = docs.withColumn(mark, F.struct(F.col(f"`{id}`").alias("i"), F.xxhash64(F.col(f"`{text}`")).alias("h")))
     found = near_duplicates(marked.select(F.col(mark).alias("i"), F.col(f"`{text}`").alias("t")), "i", "t", "c", "f")
-    kept = found.where("i <=> c").select("i").distinct()
-    rows = marked.join(kept.select(F.col("i").alias(mark)), mark, "left_semi")
-    same = [c for c in names if c != text]
-    return rows.dropDuplicates([mark]).select(*[F.col(f"`{c}`") for c in names]) if same else rows.dropDuplicates([mark]).select(f"`{text}`")
+    kept = found.where("i <=> c").select(F.col("i").alias(mark)).distinct()
+    return marked.join(kept, mark, "left_semi").dropDuplicates([mark]).select(*[F.col(f"`{c}`") for c in names])
