@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, pii, simhash, token_counts, toxicity
+from . import bpe, fingerprints, mixing, pii, simhash, token_counts, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
@@ -46,7 +50,7 @@ def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_multiset_hash, op2_bpe_prefix_dp, op5_compression_toxicity, op7_simhash_golay, op9_token_counts, op10_skip_chain_pii)}
+    return {f.__name__: f for f in (op1_multiset_hash, op2_bpe_prefix_dp, op5_compression_toxicity, op6_budget_mix, op7_simhash_golay, op9_token_counts, op10_skip_chain_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
