@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, mixing, pii, sharding, simhash, token_counts, toxicity
+from . import ann, bpe, fingerprints, mixing, pii, sharding, simhash, token_counts, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op3_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.learned(docs, labels.where(~toxicity.held_out()))
@@ -55,7 +59,7 @@ def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_multiset_hash, op2_bpe_prefix_dp, op3_label_propagation, op5_compression_toxicity, op6_budget_mix, op7_simhash_golay, op9_token_counts, op10_skip_chain_pii)}
+    return {f.__name__: f for f in (op1_multiset_hash, op2_bpe_prefix_dp, op3_label_propagation, op4_posting_lists, op5_compression_toxicity, op6_budget_mix, op7_simhash_golay, op9_token_counts, op10_skip_chain_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
