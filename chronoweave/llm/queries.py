@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprints, mixing, pii, sharding, simhash, token_counts, toxicity
+from . import ann, bpe, fingerprints, mixing, ngram_scores, pii, sharding, simhash, token_counts, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,12 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_scores.scored(table(spark, sf_dir, "documents"))
+    per_word = F.round(F.col("log_score") / F.greatest("n_words", F.lit(1)), 6)
+    return found.select("doc_id", "n_words", "n_seen", F.round("log_score", 4).alias("log_score"), per_word.alias("per_word"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", token_counts.n_bytes("text").alias("n_bytes"))
     counted = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_text=False)
@@ -59,8 +65,8 @@ def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_multiset_hash, op2_bpe_prefix_dp, op3_label_propagation, op4_posting_lists, op5_compression_toxicity, op6_budget_mix, op7_simhash_golay, op9_token_counts, op10_skip_chain_pii)}
+    return {f.__name__: f for f in (op1_multiset_hash, op2_bpe_prefix_dp, op3_label_propagation, op4_posting_lists, op5_compression_toxicity, op6_budget_mix, op7_simhash_golay, op8_stupid_backoff, op9_token_counts, op10_skip_chain_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_stupid_backoff": ngram_scores.ORACLE}
