@@ -1,20 +1,58 @@
-"""From raw documents to token ids: stages, each written as Parquet and read again by the next."""
+"""From raw documents to token ids: stages, each written as Parquet and read again by the next.
+
+Run it where the repository is importable on driver and executors (PYTHONPATH or --py-files). All stages but the last
+return the columns of documents; each works on all rows that its predecessor kept.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronoweave.llm import bpe, mixing, pii, simhash, toxicity
+from chronoweave.llm.common import plain, stored, table
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents that are rather toxic than not go. Learns from labelled rows that are not held out."""
+    names = docs.columns
+    model = toxicity.learned(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    score = plain("_score", names)
+    return toxicity.scored(docs, model, score=score).where(F.col(score) < 0.5).select(*names)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: one document of each group of near-duplicates stays, that of the least doc_id."""
+    return simhash.deduplicated(docs)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: personal data give way to their kind's mark; n_chars follows. Null texts stay null."""
+    names = docs.columns
+    mark, base, spans = (plain(x, names) for x in ("_redacted", "_base", "_spans"))
+    found = pii.personal_data(docs, base=base, spans=spans, redacted=mark)
+    found = found.withColumn("text", F.when(F.col("text").isNotNull(), F.col(mark)))
+    return found.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*names)
+
 
-from chronoweave.llm import bpe
-from chronoweave.llm.common import stored, table
+def in_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: each document as often as the mix takes it."""
+    return mixing.mixed(docs)
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: every document with its token ids and the text decoded from them."""
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("bpe", encode)]
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near-duplicates", without_near_copies),
+    ("personal data", without_personal_data),
+    ("mix", in_target_weights),
+    ("tokens", as_tokens),
+]
 #: Compression lengths, message passing and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
