@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from chronoweave.operators.components import components
 
-from .common import map_texts, stored
+from .common import map_texts, plain, stored
 
 #: Generator polynomial of the binary Golay code, its length and parity bits.
 GOLAY, LENGTH, PARITY = 0b110001110101, 23, 11
