@@ -4,7 +4,8 @@ Vectors are extended so that the largest inner product becomes the smallest dist
 found by balanced bisection of a bounded sample. Every vector goes to the list of its nearest centroid and, if it lies
 near a boundary, to those of other centroids not much farther off. A query finds the centroids around it by best-first
 search on an in-memory neighbour graph, and visits the lists whose centroid is not farther than a ratio of the nearest
-one's distance; the ratio is calibrated on the sample against brute force. Lists are searched in blocks, exactly.
+one's distance; the ratio is calibrated on the sample against brute force. Lists are searched in blocks, exactly; only
+scores that can be among a query's k best, as the sample bounds them, leave a block.
 
 Equal vectors are indexed once with their k + 1 least ids: no more can be among anyone's k nearest, since ties go to the
 least id.
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Vectors the index is fitted on at most, and among them queries for calibration.
-SAMPLE, CALIBRATION = 32_768, 256
+#: Vectors the index is fitted on at most; among them queries for calibration, and vectors to bound scores by.
+SAMPLE, CALIBRATION, BOUNDING = 32_768, 256, 16_384
 #: Distinct vectors of a list, lists at most, lists of a vector at most, how much farther these may be.
 LIST_SIZE, MOST_LISTS, REPLICAS, CLOSURE = 200, 4096, 4, 1.08
 #: Recall that the ratio is calibrated for, links of a centroid in the graph.
@@ -36,12 +37,29 @@ BLOCK, QUERY_BLOCK = 40_000, 20_000
 
 @dataclass
 class Index:
-    """Centroids [lists, dim + 1] of extended vectors, their graph, the largest norm, and the pruning ratio."""
+    """Centroids [lists, dim + 1] of extended vectors, their graph, the largest norm, the pruning ratio, and vectors of the
+    sample with their lists (padded with the number of lists) to bound scores by."""
 
     centroids: np.ndarray
     graph: np.ndarray
     longest: float
     ratio: float
+    sample: np.ndarray
+    homes: np.ndarray
+
+    def bounds(self, x: np.ndarray, visits: list[list[int]], k: int) -> np.ndarray:
+        """For each query a score that its k-th best neighbour in the visited lists reaches for certain: the k-th best of
+        the sample's vectors there."""
+        out = np.full(len(x), -np.inf)
+        for i in range(0, len(x), 256):
+            scores = x[i : i + 256] @ self.sample.T
+            for j, s in enumerate(scores, i):
+                there = np.zeros(len(self.centroids) + 1, bool)
+                there[visits[j]] = True
+                s = s[there[self.homes].any(axis=1)]
+                if len(s) >= k:
+                    out[j] = np.partition(s, len(s) - k)[len(s) - k]
+        return out - 1e-9 * (1 + np.abs(out, where=np.isfinite(out), out=np.zeros(len(out))))  # sums may be rounded otherwise there
 
     def extended(self, x: np.ndarray) -> np.ndarray:
         norms = np.einsum("ij,ij->i", x, x)
@@ -136,13 +154,14 @@ def fit(sample: np.ndarray, longest: float, lists: int, k: int, recall: float =
     Neighbours within a sample are farther off than among all rows, so the recall over all rows is higher.
     """
     rng = np.random.default_rng(seed)
-    index = Index(np.zeros((1, sample.shape[1] + 1)), np.zeros((1, 2), np.int64), longest, 1.0)
+    index = Index(np.zeros((1, sample.shape[1] + 1)), np.zeros((1, 2), np.int64), longest, 1.0, sample[:BOUNDING], np.zeros((len(sample[:BOUNDING]), REPLICAS), np.int64))
     if not len(sample):
         return index
     index.centroids = bisected(index.extended(sample), min(lists, len(sample)), rng)
     index.graph = linked(index.centroids)
     chosen = rng.choice(len(sample), min(CALIBRATION, len(sample)), replace=False)
     homes = index.lists_of(sample)
+    index.homes = np.array([[*h, *[len(index.centroids)] * (REPLICAS - len(h))] for h in homes[:BOUNDING]])
     queries = np.hstack([sample[chosen], np.zeros((len(chosen), 1))])
     d = distances(queries, index.centroids)
     d /= np.maximum(d.min(axis=1, keepdims=True), 1e-12)
@@ -207,18 +226,20 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, id: str = "vec_
         for batch in batches:
             x = np.array(batch.column(0).to_pylist(), np.float64).reshape(-1, dim)
             at, to, which = [], [], []
-            for i, q in enumerate(x):
+            visits = [sent.value.visit(q, sent.value.ratio, sizes, (k + 1) * REPLICAS) for q in x]
+            for i, lists in enumerate(visits):
                 by: dict[int, list[int]] = {}
-                for c in sent.value.visit(q, sent.value.ratio, sizes, (k + 1) * REPLICAS):
+                for c in lists:
                     for g in range(first[c], first[c] + pieces[c]):
                         by.setdefault(int(g), []).append(c)
                 at += [i] * len(by)
                 to += by.keys()
                 which += by.values()
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(which, pa.list_(pa.int32())), batch.column(0).take(take), batch.column(1).take(take)], names=["group", "lists", "v", "q"])
+            least = pa.array(sent.value.bounds(x, visits, k + 1)).take(take)
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(which, pa.list_(pa.int32())), batch.column(0).take(take), batch.column(1).take(take), least], names=["group", "lists", "v", "q", "least"])
 
-    visits = questions.select("v", "q").mapInArrow(ask, "group int, lists array<int>, v array<double>, q long")
+    visits = questions.select("v", "q").mapInArrow(ask, "group int, lists array<int>, v array<double>, q long, least double")
     share = max(1, -(-questions.count() // QUERY_BLOCK))  # blocks of queries; each meets every group
     visits = visits.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(share)).cast("int"))
     at_list = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("list") + 1)
@@ -234,7 +255,7 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, id: str = "vec_
         for i, lists in enumerate(left["lists"]):
             for c in lists:
                 asking.setdefault(int(c), []).append(i)
-        v = np.array(right["v"].tolist(), np.float64)
+        v, least = np.array(right["v"].tolist(), np.float64), left["least"].to_numpy()
         who, what, score = [], [], []
         for c, mine in by_list.items():
             wants = np.array(asking.get(int(c), []), np.int64)
@@ -245,7 +266,7 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, id: str = "vec_
                 m = min(k + 1, len(mine))
                 top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(mine) else np.tile(np.arange(m), (len(some), 1))
                 # ties at the edge of the top go by id, so all of them stay
-                edge = np.take_along_axis(s, top, 1).min(axis=1)
+                edge = np.maximum(np.take_along_axis(s, top, 1).min(axis=1), least[some])
                 more, cell = np.nonzero(s >= edge[:, None])
                 who.append(some[more])
                 what.append(mine[cell])
