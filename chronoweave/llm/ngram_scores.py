@@ -18,10 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import trim, whole
 
 #: Factor of each step back; bytes of text in a slice.
-ALPHA, SLICE_BYTES = 0.4, 8 << 20
+ALPHA, SLICE_BYTES = 0.4, 4 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Keys of the numbers of words and of documents, counted like n-grams.
 WORDS, DOCUMENTS = 1, 2
@@ -66,9 +66,20 @@ def slice_counts(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct keys of a slice with their counts; the numbers of words and documents are among them."""
     owner, keys = exploded(texts, order)
     found, counts = np.unique(np.concatenate(keys), return_counts=True)
-    found, counts = np.append(np.array([WORDS, DOCUMENTS], np.uint64), found), np.append([len(owner), len(texts)], counts)
-    at = np.argsort(found, kind="stable")
-    return found[at], counts[at]
+    head = np.searchsorted(found, np.array([WORDS, DOCUMENTS], np.uint64))
+    return np.insert(found, head, np.array([WORDS, DOCUMENTS], np.uint64)), np.insert(counts, head, [len(owner), len(texts)])
+
+
+def own_counts(owner: np.ndarray, place: np.ndarray, distinct: int) -> np.ndarray:
+    """How often each word's n-gram occurs in its own document. Most occur once, so only repeated ones are looked up."""
+    pair = owner * distinct + place
+    ordered = np.sort(pair)
+    repeated, extra = np.unique(ordered[1:][ordered[1:] == ordered[:-1]], return_counts=True)
+    out = np.ones(len(pair), np.int64)
+    if len(repeated):
+        at = np.minimum(np.searchsorted(repeated, pair), len(repeated) - 1)
+        out += np.where(repeated[at] == pair, extra[at], 0)
+    return out
 
 
 def bounds(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -95,20 +106,23 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
 
 
-def document_scores(texts: list[str], order: int, alpha: float, found: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, sum of logarithms, words found at the highest order) of each document, given all totals of its slice."""
+def document_scores(texts: list[str], order: int, alpha: float, answers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, sum of logarithms, words found at the highest order) of each document, given the totals of the slice's
+    ascending keys."""
     owner, keys = exploded(texts, order)
     n_words = np.bincount(owner, minlength=len(texts))
-    all_words, all_docs = (int(totals[np.searchsorted(found, np.uint64(k))]) for k in (WORDS, DOCUMENTS))
     if not len(owner):
         return n_words, np.zeros(len(texts)), n_words
+    found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.concatenate(answers).astype(np.int64)
+    head = np.searchsorted(found, np.array([WORDS, DOCUMENTS], np.uint64)) + np.arange(2)
+    all_words, all_docs = totals[head].tolist()
+    totals = np.delete(totals, head)
     begins = np.ones(len(owner), bool)
     begins[1:] = owner[1:] != owner[:-1]
-    others = []
-    for k in keys:  # totals without the document's own occurrences
-        place = np.searchsorted(found, k)
-        _, pair, own = np.unique(owner * len(found) + place, return_inverse=True, return_counts=True)
-        others.append(totals[place] - own[pair])
+    others = []  # totals without the document's own occurrences
+    for place in np.split(inverse, order):
+        others.append(totals[place] - own_counts(owner, place, len(found)))
     rest = (all_words - n_words)[owner]
     score = np.where(others[0] > 0, np.log(np.maximum(others[0], 1)) - np.log(np.maximum(rest, 1)), np.log(alpha) - np.log(rest + 1))
     for n in range(2, order + 1):
@@ -140,6 +154,7 @@ def scored(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
         keys, counts = slice_counts(pdf["text"].tolist(), order)
         at = bounds(keys, parts)
         full = [p for p in range(parts) if at[p] < at[p + 1]]
+        trim()
         return pd.DataFrame({"part": full, "slice": int(key[0]), "keys": [pack_keys(keys[at[p] : at[p + 1]]) for p in full], "counts": [packed(counts[at[p] : at[p + 1]].astype(np.uint64)) for p in full]})
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -152,10 +167,9 @@ def scored(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
         return pd.DataFrame({"slice": pdf["slice"], "part": pdf["part"], "totals": [packed(x) for x in np.split(sums[place], ends)]})
 
     def score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        texts = docs["text"].tolist()
-        keys, _ = slice_counts(texts, order)
-        totals = np.concatenate([unpacked(x, np.uint64) for x in answers.sort_values("part")["totals"]]).astype(np.int64)
-        n, logs, seen = document_scores(texts, order, alpha, keys, totals)
+        totals = [unpacked(x, np.uint64) for x in answers.sort_values("part")["totals"]]
+        n, logs, seen = document_scores(docs["text"].tolist(), order, alpha, totals)
+        trim()
         return pd.DataFrame({"id": docs["id"], "n_words": n, "n_seen": seen, "log_score": logs})
 
     kind = rows.schema["id"].dataType.simpleString()
