@@ -239,7 +239,8 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, id: str = "vec_
             least = pa.array(sent.value.bounds(x, visits, k + 1)).take(take)
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(which, pa.list_(pa.int32())), batch.column(0).take(take), batch.column(1).take(take), least], names=["group", "lists", "v", "q", "least"])
 
-    visits = questions.select("v", "q").mapInArrow(ask, "group int, lists array<int>, v array<double>, q long, least double")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but a walk and a bound for each
+    visits = questions.select("v", "q").repartition(parts).mapInArrow(ask, "group int, lists array<int>, v array<double>, q long, least double")
     share = max(1, -(-questions.count() // QUERY_BLOCK))  # blocks of queries; each meets every group
     visits = visits.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(share)).cast("int"))
     at_list = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("list") + 1)
