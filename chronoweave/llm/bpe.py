@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import pandas as pd
@@ -24,7 +24,7 @@ from .common import map_texts
 #: Ends the last symbol of a word inside the automaton; byte symbols never use this character.
 END = "\0"
 #: Words longer than this are encoded anew each time, others are remembered.
-REMEMBERED_CHARS, REMEMBERED_WORDS = 64, 400_000
+REMEMBERED_CHARS, REMEMBERED_WORDS, REMEMBERED_PAIRS = 64, 200_000, 400_000
 
 
 def byte_symbols() -> list[str]:
@@ -52,7 +52,6 @@ class Vocabulary:
             self.parts.setdefault(both, (left, right))
             self.born.setdefault(both, at)
         self._fits: dict[tuple[int, int], bool] = {}
-        self.rims = {i: (self._spine(i, 1), self._spine(i, 0)) for i in self.text}
         self.automaton = ahocorasick.Automaton()
         for s, i in self.ids.items():
             if self._reachable(i):
@@ -73,7 +72,7 @@ class Vocabulary:
         Merges happen by rank, the leftmost first on equal ranks. So the rims grow in order of rank, and a merge
         across comes first if its rank is below the next growth, or equal to it when that growth is on the right.
         """
-        left, right = self.rims[a][0], self.rims[b][1]
+        left, right = self._spine(a, 1), self._spine(b, 0)
         i = j = 0
         while True:
             grow_l = left[i + 1][1] if i + 1 < len(left) else None
@@ -99,8 +98,9 @@ class Vocabulary:
         out = self._fits.get((a, b))
         if out is None:
             out = (a, b) not in self.rank and self._meets(a, b)
-            if len(self._fits) < 4_000_000:
-                self._fits[a, b] = out
+            if len(self._fits) >= REMEMBERED_PAIRS:
+                self._fits.clear()
+            self._fits[a, b] = out
         return out
 
     def encode_word(self, symbols: str) -> list[int]:
@@ -131,14 +131,11 @@ class WordBpe:
     """Encoder and decoder of a `tokenizers` file: NFC, lower case, words by its split pattern, byte symbols, BPE."""
 
     def __init__(self, source: str):
-        from tokenizers import Tokenizer
-
         spec = json.loads(source)
         model = spec["model"]
         if model["type"] != "BPE" or model.get("continuing_subword_prefix"):
             raise ValueError("a BPE vocabulary without subword prefix is needed")
-        library = Tokenizer.from_str(source)
-        self.normal, self.split = library.normalizer, library.pre_tokenizer
+        self.source = source
         self.vocabulary = Vocabulary(model["vocab"], model["merges"], model.get("end_of_word_suffix"))
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = self.vocabulary.text | {i: s for s, i in self.specials.items()}
@@ -153,7 +150,14 @@ class WordBpe:
         """Words as the vocabulary's file parts them. Latin texts take a short way with equal results; others go through the library."""
         if text.isascii() or not COMMON.search(text):
             return self.words.findall(unicodedata.normalize("NFC", text).lower())
-        return [bytes([self.back[c] for c in w]).decode() for w, _ in self.split.pre_tokenize_str(self.normal.normalize_str(text))]
+        return [bytes([self.back[c] for c in w]).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+
+    @cached_property
+    def library(self):
+        """Loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.source)
 
     def encode_piece(self, word: str) -> tuple[int, ...]:
         ids = self.known.get(word)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from chronoweave.scratch import drop_stored, scratch_dir, stored
 
-__all__ = ["BLANKS", "SLICE_CHARS", "drop_stored", "map_texts", "plain", "scratch_dir", "slices", "stored", "table", "whole", "word_count"]
+__all__ = ["BLANKS", "SLICE_CHARS", "drop_stored", "map_texts", "plain", "scratch_dir", "slices", "small_batches", "stored", "table", "trim", "whole", "word_count"]
 #: Space, tab, line feed, vertical tab, form feed, carriage return: what parts words.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Characters of text that one step of a Python worker holds.
@@ -57,6 +58,23 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = SLICE_CHAR
             yield batch.slice(start), [x or "" for x in column.slice(start).to_pylist()]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches between Spark and Python hold this many rows where the session has Spark's default of 10,000:
+    rows of this folder's tables hold whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
+def trim() -> None:
+    """Give back what a task of a worker that lives on has freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_texts(df: DataFrame, text: str, start: Callable[[], Callable[[list[str]], list[list]]], added: T.StructType, keep_text: bool = True) -> DataFrame:
     """df with the columns `added`, made from its text column by Arrow batches.
 
@@ -80,5 +98,7 @@ def map_texts(df: DataFrame, text: str, start: Callable[[], Callable[[list[str]]
             made = make(texts)
             columns = [part.column(i) for i, n in enumerate(part.schema.names) if n in keep]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(x, k) for x, k in zip(made, kinds, strict=True)], names=[f.name for f in schema.fields])
+        del make
+        trim()
 
     return frame.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, slices
+from .common import map_texts, slices, trim
 
 EQUAL_LANES, LIKE_LANES = 64, 256
 LANES = EQUAL_LANES + LIKE_LANES
@@ -174,5 +174,6 @@ def edited_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -
             following = np.stack([b[6] + b[7] for _, b in pairs])
             columns = [[a[2] for a, _ in pairs], [len(a[3]) for a, _ in pairs], [hashlib.sha256((a[3][: a[4]] + f).encode()).hexdigest() for (a, _), f in zip(pairs, fills, strict=True)], [to_text(v) for v in full], [to_text(v) for v in edited], likeness(full, edited), likeness(full, following)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+        trim()
 
     return rows.mapInArrow(run, schema)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, fingerprints, mixing, ngram_scores, pii, sharding, simhash, token_counts, toxicity
-from .common import table
+from .common import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,8 +65,17 @@ def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False))
 
 
+def _bounded(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_multiset_hash, op2_bpe_prefix_dp, op3_label_propagation, op4_posting_lists, op5_compression_toxicity, op6_budget_mix, op7_simhash_golay, op8_stupid_backoff, op9_token_counts, op10_skip_chain_pii)}
+    return {f.__name__: _bounded(f) for f in (op1_multiset_hash, op2_bpe_prefix_dp, op3_label_propagation, op4_posting_lists, op5_compression_toxicity, op6_budget_mix, op7_simhash_golay, op8_stupid_backoff, op9_token_counts, op10_skip_chain_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm import bpe, mixing, pii, simhash, toxicity
-from chronoweave.llm.common import plain, stored, table
+from chronoweave.llm.common import plain, small_batches, stored, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents that are rather toxic than not go. Learns from labelled rows that are not held out."""
+    small_batches(spark)
     names = docs.columns
     model = toxicity.learned(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
     score = plain("_score", names)
@@ -24,11 +25,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: one document of each group of near-duplicates stays, that of the least doc_id."""
+    small_batches(spark)
     return simhash.deduplicated(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: personal data give way to their kind's mark; n_chars follows. Null texts stay null."""
+    small_batches(spark)
     names = docs.columns
     mark, base, spans = (plain(x, names) for x in ("_redacted", "_base", "_spans"))
     found = pii.personal_data(docs, base=base, spans=spans, redacted=mark)
@@ -38,11 +41,13 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def in_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: each document as often as the mix takes it."""
+    small_batches(spark)
     return mixing.mixed(docs)
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: every document with its token ids and the text decoded from them."""
+    small_batches(spark)
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
