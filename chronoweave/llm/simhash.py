@@ -184,7 +184,10 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     """
     names = docs.columns
     mark = plain("_row", names)
-    marked = docs.withColumn(mark, F.struct(F.col(f"`{id}`").alias("i"), F.xxhash64(F.col(f"`{text}`")).alias("h")))
-    found = near_duplicates(marked.select(F.col(mark).alias("i"), F.col(f"`{text}`").alias("t")), "i", "t", "c", "f")
-    kept = found.where("i <=> c").select(F.col("i").alias(mark)).distinct()
+    row = F.struct(F.col(f"`{id}`").alias("i"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
+    found = near_duplicates(docs.select(row.alias("i"), F.col(f"`{text}`").alias("t")), "i", "t", "c", "f")
+    # as text, which is never null, so that the join's partitioning also serves dropDuplicates
+    name = lambda i, h: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), h)
+    kept = found.where("i <=> c").select(name(F.col("i.i"), F.col("i.h")).alias(mark)).distinct()
+    marked = docs.withColumn(mark, name(F.col(f"`{id}`"), F.xxhash64(F.col(f"`{text}`"))))
     return marked.join(kept, mark, "left_semi").dropDuplicates([mark]).select(*[F.col(f"`{c}`") for c in names])
