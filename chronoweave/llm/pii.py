@@ -260,10 +260,11 @@ def fit(documents: Iterable[Tokens], steps: int = 150, rate: float = 0.5, decay:
 
 
 def trained(docs: DataFrame, text: str, sample: int, seed: int) -> Field:
-    """A field fitted on at most `sample` documents that hold a digit or an at sign, chosen by a seeded hash of the text.
-    Their tokens' features, not their texts, reach the driver."""
+    """A field fitted on at most `sample` distinct texts that hold a digit or an at sign, chosen by a seeded hash of the text.
+    The hashes alone give the cut, so only texts below it are moved; their tokens' features, not they, reach the driver."""
     source = docs.select(whole(text).alias("t")).where(F.col("t").rlike("[0-9@]")).select("t", F.xxhash64(F.lit(seed), "t").alias("h"))
-    chosen = source.orderBy("h").limit(sample)
+    cut = source.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    chosen = source.where(F.col("h") <= F.lit(cut).cast("long")).dropDuplicates(["h"])
     edges = T.ArrayType(T.ArrayType(T.IntegerType()))
     schema = T.StructType([T.StructField("y", T.ArrayType(T.IntegerType())), T.StructField("f", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("c", edges), T.StructField("s", edges)])
 
