@@ -10,19 +10,28 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
+from itertools import accumulate
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_texts, whole
 
+#: Characters of a chunk, and by how many the next begins before its end.
 CHUNK, OVERLAP = 32_768, 512
+#: The scanner of byte-level vocabularies: contractions, letters, digits, other signs, blanks.
+SCANNER = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Beyond these characters, whose classes are the same everywhere, the library scans.
+RARE = re.compile("[^\\x00-\\x1b\\x20-\\u02af\\u0391-\\u03a1\\u03a4-\\u03a9\\u03b1-\\u03c9\\u0410-\\u044f\\u2010-\\u2027\\u2030-\\u203a\\u20ac]")
+REMEMBERED_CHARS, REMEMBERED_WORDS = 64, 500_000
 
 
 class Counter:
-    """Counts tokens as the `tokenizers` library does, a chunk at a time."""
+    """Counts tokens as the `tokenizers` library does: scans words, encodes each distinct one once, adds up."""
 
     def __init__(self, source: str, chunk: int = CHUNK, overlap: int = OVERLAP):
         from tokenizers import Tokenizer
@@ -36,60 +45,79 @@ class Counter:
         self.library = Tokenizer.from_str(source)
         self.library.no_truncation()
         self.library.no_padding()
+        self.specials = {t["content"] for t in spec["added_tokens"]}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         # a special token's text that is cut off, an unfinished contraction and one character of lookahead lie within this
-        self.margin = max([len(t["content"]) for t in spec["added_tokens"]] + [4]) + 4
+        self.margin = max([len(s) for s in self.specials] + [4]) + 4
         self.chunk, self.overlap = max(chunk, 2 * self.margin), max(overlap, 2 * self.margin)
+        self.known: dict[str, int] = {}
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text, which together are the text; a special token's string is one."""
+        out: list[str] = []
+        for part in self.cut.split(text) if self.cut else [text]:
+            if part in self.specials:
+                out.append(part)
+            elif part.isascii() or not RARE.search(part):
+                out += SCANNER.findall(part)
+            else:
+                out += [part[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(part)]
+        return out
 
-    def encode(self, text: str):
-        return self.library.encode(text, add_special_tokens=False)
+    def tokens(self, words: list[str]) -> list[int]:
+        """Tokens of each word. A word alone is scanned as itself, so it is encoded as in its text."""
+        known = self.known
+        new = list({w for w in words if w not in known})
+        if new:
+            if len(known) + len(new) > REMEMBERED_WORDS:
+                known.clear()
+                new = list(set(words))
+            counts = [len(e) for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+            fresh = dict(zip(new, counts, strict=True))
+            known.update((w, n) for w, n in fresh.items() if len(w) <= REMEMBERED_CHARS)
+            return [known.get(w) or fresh[w] for w in words]
+        return [known[w] for w in words]
 
     def counts(self, texts: list[str]) -> list[int]:
-        """Tokens of each text; those of one chunk at most go through the library together."""
-        huge = {i for i, x in enumerate(texts) if len(x) > self.chunk + self.overlap}
-        short = iter(self.library.encode_batch_fast([x for i, x in enumerate(texts) if i not in huge], add_special_tokens=False))
-        return [sum(n for _, _, n in self.spans(x)) if i in huge else len(next(short)) for i, x in enumerate(texts)]
-
-    @staticmethod
-    def starts(found, order: range, wanted: Callable[[int], bool]) -> dict[int, int]:
-        """Offset to token, for the tokens in this order that begin a word, until one is not wanted."""
-        out = {}
-        for i in order:
-            at = found.token_to_chars(i)[0]
-            if not wanted(at):
-                break
-            if i == 0 or found.token_to_word(i) != found.token_to_word(i - 1):
-                out[at] = i
-        return out
+        """Tokens of each text."""
+        most = self.chunk + self.overlap
+        return [sum(self.tokens(self.words(x))) if len(x) <= most else sum(n for _, _, n in self.spans(x)) for x in texts]
+
+    def encode(self, text: str) -> tuple[list[int], list[int]]:
+        """(offset where each word begins, tokens before it), both with an end."""
+        words = self.words(text)
+        return list(accumulate(map(len, words), initial=0)), list(accumulate(self.tokens(words), initial=0))
 
     def spans(self, text: str) -> Iterator[tuple[int, int, int]]:
         """(begin, end, tokens) of consecutive exact parts that make up the text. Memory holds two chunks, or the longest
         stretch without a word's begin."""
-        n, base, first, begin = len(text), 0, 0, 0
-        found = self.encode(text[: self.chunk + self.overlap])
+        n, base, begin, before = len(text), 0, 0, 0
         end = min(n, self.chunk + self.overlap)
+        offsets, sums = self.encode(text[:end])
         while end < n:
             cut, overlap = base + self.chunk, self.overlap
             ahead_end = min(n, cut + self.chunk + self.overlap)
             ahead = self.encode(text[cut:ahead_end])
             while end < n:
-                safe = end - self.margin
-                ours = self.starts(found, range(len(found) - 1, first - 1, -1), lambda at: at + base >= cut)
-                theirs = self.starts(ahead, range(len(ahead)), lambda at: at + cut <= safe)
-                if shared := [at for at in theirs if at + cut <= safe and at + cut - base in ours]:
+                # words of ours that begin at or after the cut, and of theirs up to the margin before our end
+                ours = {at + base: i for i, at in enumerate(offsets) if cut <= at + base <= end - self.margin}
+                shared = next(((at + cut, j) for j, at in enumerate(ahead[0]) if at + cut in ours), None)
+                if shared:
                     break
                 overlap *= 2
                 end = min(n, cut + overlap)
-                found = self.encode(text[base:end])
+                offsets, sums = self.encode(text[base:end])
                 if ahead_end < min(n, end + self.overlap):
                     ahead_end = min(n, end + self.chunk)
                     ahead = self.encode(text[cut:ahead_end])
             else:
                 break
-            splice = min(shared) + cut
-            token = ours[splice - base]
-            yield begin, splice, token - first
-            base, found, first, begin, end = cut, ahead, theirs[splice - cut], splice, ahead_end
-        yield begin, n, len(found) - first
+            splice, place = shared
+            yield begin, splice, sums[ours[splice]] - before
+            base, begin, end = cut, splice, ahead_end
+            offsets, sums = ahead
+            before = sums[place]
+        yield begin, n, sums[-1] - before
 
 
 _KEPT: dict[str, Counter] = {}
