@@ -25,7 +25,7 @@ ALPHA, SLICE_BYTES = 0.4, 4 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Keys of the numbers of words and of documents, counted like n-grams.
 WORDS, DOCUMENTS = 1, 2
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 150_000
 
 
 class _Hashes(dict):
