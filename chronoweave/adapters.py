@@ -82,3 +82,14 @@ def crashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = determinations(spark, sf_dir).where("define_name = 'error'")
     kind = F.when(F.col("k") % 3 == 0, "TypeError|undefined").when(F.col("k") % 3 == 1, "KeyError|missing")
     return d.select("id", "project_id", "seq", kind.alias("error_signature"))
+
+
+def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth k is an incident on its event's chain; signal and state go round."""
+    d = determinations(spark, sf_dir).where("k % 10 = 0")
+    e = F.col("id") - 1
+    signal = F.when(e % 3 == 0, "stuck_region").when(e % 3 == 1, "debug_loop").otherwise("define_loop")
+    n = F.floor(F.col("k") / 10) % 4
+    state = F.when(n == 0, "open").when(n == 1, "notified_agent").when(n == 2, "escalated_user").otherwise("resolved")
+    at = F.unix_micros(F.col("created_at").cast("timestamp"))
+    return d.select(e.alias("id"), "project_id", signal.alias("signal"), F.concat_ws("::", "file_path", "define_name").alias("target_node"), state.alias("state"), at.alias("created_us"), (at + F.col("k") * 60_000_000).alias("updated_us"))

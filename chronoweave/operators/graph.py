@@ -167,15 +167,15 @@ def chase(redirects: DataFrame, names: DataFrame, known: DataFrame, most: int =
     exact = redirects.where("exported_name <> '*'").select(F.col("barrel_module").alias("at"), F.col("exported_name").alias("as"), F.col("target_module").alias("to"), F.col("target_name").alias("to_name"))
     star = redirects.where("exported_name = '*'").select(F.col("barrel_module").alias("at"), F.col("target_module").alias("star_to"))
     symbols = known.select(F.col("module").alias("at"), F.col("name").alias("as"), F.lit(True).alias("found"))
-    rows = stored(names.select("module", "name", F.col("module").alias("at"), F.col("name").alias("as")).distinct())
+    rows = names.select("module", "name", F.col("module").alias("at"), F.col("name").alias("as")).distinct()
     done = []
     for _ in range(most):
-        rows = rows.join(symbols, ["at", "as"], "left")
-        done.append(stored(rows.where("found").select("module", "name", F.col("at").alias("to_module"), F.col("as").alias("to_name"))))
-        going = rows.where("found is null").join(exact, ["at", "as"], "left").join(star, "at", "left")
-        rows = stored(going.select("module", "name", F.coalesce("to", "star_to").alias("at"), F.when(F.col("to").isNotNull(), F.coalesce("to_name", "as")).otherwise(F.col("as")).alias("as")).where("at is not null").distinct())
-        if rows.isEmpty():
+        rows = stored(rows.join(symbols, ["at", "as"], "left"))
+        done.append(rows.where("found").select("module", "name", F.col("at").alias("to_module"), F.col("as").alias("to_name")))
+        going = rows.where("found is null").join(exact, ["at", "as"], "left").join(star, "at", "left").where("to is not null or star_to is not null")
+        if going.isEmpty():
             break
+        rows = going.select("module", "name", F.coalesce("to", "star_to").alias("at"), F.when(F.col("to").isNotNull(), F.coalesce("to_name", "as")).otherwise(F.col("as")).alias("as")).distinct()
     found = reduce(DataFrame.unionByName, done).groupBy("module", "name").agg(F.min(F.struct("to_module", "to_name")).alias("r"))
     return names.select("module", "name").distinct().join(found, ["module", "name"], "left").select("module", "name", "r.to_module", "r.to_name")
 

@@ -31,6 +31,9 @@ VIEWS = {
       FROM orders JOIN events ON o_custkey = user_id WHERE o_custkey % 2 = 0 AND o_custkey < 150 AND length(event_type) % 2 = 0""",
     "crash": "SELECT id, project_id, seq, CASE k % 3 WHEN 0 THEN 'TypeError|undefined' WHEN 1 THEN 'KeyError|missing' END AS sig FROM det WHERE define_name = 'error'",
     "chains": "SELECT project_id, file_path, define_name, max(seq) AS latest_seq, count(*) AS version_count, arg_max(id, seq) AS latest_id FROM det GROUP BY ALL",
+    "inc": """SELECT event_id AS id, 1 + user_id % 3 AS project_id, CASE event_id % 3 WHEN 0 THEN 'stuck_region' WHEN 1 THEN 'debug_loop' ELSE 'define_loop' END AS signal,
+      'src/m' || user_id || '.py::' || event_type AS target_node, CASE k // 10 % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'notified_agent' WHEN 2 THEN 'escalated_user' ELSE 'resolved' END AS state,
+      epoch_us(ts) AS created_us, epoch_us(ts) + k * 60000000 AS updated_us FROM ev WHERE k % 10 = 0""",
     "anc": "SELECT t AS node, f AS a FROM gd UNION SELECT anc.node, gd.f FROM anc JOIN gd ON gd.t = anc.a",
 }
 
@@ -47,7 +50,7 @@ def _with_views(sql: str) -> str:
 
     need(sql)
     if not wanted:
-        return sql
+        return re.sub(r"^\s*WITH\s+(RECURSIVE\s+)?", "WITH RECURSIVE ", sql, flags=re.I)
     head = ", ".join(f"{n} AS ({VIEWS[n]})" for n in wanted)
     if m := re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql, re.I):
         return f"WITH RECURSIVE {head}, {sql[m.end():]}"

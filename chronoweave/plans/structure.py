@@ -28,7 +28,7 @@ def _asked(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("u"), (F.col("p_partkey") - 1).alias("v"))
 
 
-@query("SELECT t AS node, count(*) AS predecessors, sum(f) AS total FROM gd GROUP BY 1")
+@query("SELECT t AS node, count(*) AS predecessors, CAST(sum(f) AS BIGINT) AS total FROM gd GROUP BY 1")
 def direct_neighbors(spark, sf_dir):
     return A.gd_edges(spark, sf_dir).groupBy(F.col("to_det").alias("node")).agg(F.count(F.lit(1)).alias("predecessors"), F.sum("from_det").alias("total"))
 
@@ -191,9 +191,9 @@ def _redirects(spark, sf_dir):
 r AS (SELECT m AS bm, n AS en, CASE WHEN m % 40 = 39 THEN m - 39 ELSE m + 1 END AS tm FROM p WHERE z > 0 AND m % 4 > 0),
 s AS (SELECT DISTINCT m AS bm, CASE WHEN m % 40 = 39 THEN m - 39 ELSE m + 1 END AS tm FROM p WHERE z > 0 AND m % 4 = 0),
 k AS (SELECT m, n FROM p WHERE p_partkey % 11 = 0),
-w(module, name, at, i, done) AS (SELECT m, n, m, 0, EXISTS (SELECT 1 FROM k WHERE k.m = p.m AND k.n = p.n) FROM p WHERE p_partkey % 2 = 0
- UNION ALL SELECT w.module, w.name, coalesce(r.tm, s.tm), i + 1, EXISTS (SELECT 1 FROM k WHERE k.m = coalesce(r.tm, s.tm) AND k.n = w.name) FROM w LEFT JOIN r ON r.bm = w.at AND r.en = w.name LEFT JOIN s ON s.bm = w.at WHERE NOT done AND i < 15 AND coalesce(r.tm, s.tm) IS NOT NULL)
-SELECT module, name, max(CASE WHEN done THEN at END) AS to_module, max(CASE WHEN done THEN name END) AS to_name FROM w GROUP BY 1, 2""")
+w(module, name, here, i, done) AS (SELECT m, n, m, 0, EXISTS (SELECT 1 FROM k WHERE k.m = p.m AND k.n = p.n) FROM p WHERE p_partkey % 2 = 0
+ UNION ALL SELECT w.module, w.name, coalesce(r.tm, s.tm), i + 1, EXISTS (SELECT 1 FROM k WHERE k.m = coalesce(r.tm, s.tm) AND k.n = w.name) FROM w LEFT JOIN r ON r.bm = w.here AND r.en = w.name LEFT JOIN s ON s.bm = w.here WHERE NOT done AND i < 15 AND coalesce(r.tm, s.tm) IS NOT NULL)
+SELECT module, name, max(CASE WHEN done THEN here END) AS to_module, max(CASE WHEN done THEN name END) AS to_name FROM w GROUP BY 1, 2""")
 def reexport_chase(spark, sf_dir):
     p = A.raw(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_partkey") / 9).cast("long").alias("module"), F.concat(F.lit("n"), F.col("p_partkey") % 9).alias("name"))
     return G.chase(_redirects(spark, sf_dir), p.where("p_partkey % 2 = 0"), p.where("p_partkey % 11 = 0"))
