@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .ranks import last_row
 
 CHAIN = ["project_id", "file_path", "define_name"]
-_ordered = Window.partitionBy(*CHAIN).orderBy("seq")
 
 #: Rules: chain length, gap of a loop, agent's and user's streak.
 STUCK_LENGTH, LOOP_GAP, STREAK_AGENT, STREAK_USER = 5, 2, 5, 8
@@ -16,9 +15,13 @@ STUCK_LENGTH, LOOP_GAP, STREAK_AGENT, STREAK_USER = 5, 2, 5, 8
 PAIRS, DISTANCE = 3, 0.2
 
 
+def _ordered() -> WindowSpec:
+    return Window.partitionBy(*CHAIN).orderBy("seq")
+
+
 def version_chain(det: DataFrame) -> DataFrame:
     """Every event with its place in the chain; deletions are versions too."""
-    return det.withColumn("version", F.row_number().over(_ordered).cast("long"))
+    return det.withColumn("version", F.row_number().over(_ordered()).cast("long"))
 
 
 def current_version(det: DataFrame) -> DataFrame:
@@ -74,7 +77,7 @@ def distinct_fingerprints(det: DataFrame) -> DataFrame:
 
 def _returns(det: DataFrame) -> DataFrame:
     """Every event with its index in the chain and the first index of its (coarse, fine) fingerprint."""
-    rows = det.withColumn("idx", F.row_number().over(_ordered) - 1)
+    rows = det.withColumn("idx", F.row_number().over(_ordered()) - 1)
     key = Window.partitionBy(*CHAIN, "node_fingerprint", "fine_fingerprint").orderBy("idx")
     same = key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return rows.withColumn("first_idx", F.first("idx").over(same)).withColumn("first_seq", F.first("seq").over(same))
@@ -112,7 +115,7 @@ def head_streak(det: DataFrame) -> DataFrame:
 
 def adjacent_pairs(det: DataFrame) -> DataFrame:
     """Neighbours in each chain, numbered from the last pair: (…, from_id, to_id, back)."""
-    rows = det.withColumn("from_id", F.lag("id").over(_ordered)).withColumn("back", F.row_number().over(Window.partitionBy(*CHAIN).orderBy(F.desc("seq"))))
+    rows = det.withColumn("from_id", F.lag("id").over(_ordered())).withColumn("back", F.row_number().over(Window.partitionBy(*CHAIN).orderBy(F.desc("seq"))))
     return rows.where("from_id is not null").select(*CHAIN, "from_id", F.col("id").alias("to_id"), F.col("back").cast("long").alias("back"))
 
 

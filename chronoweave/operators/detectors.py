@@ -16,11 +16,14 @@ from chronoweave.functions.idents import glob_regex, out_of_detection
 from .chains import CHAIN, STREAK_AGENT, STREAK_USER, head_streak, loop_back
 
 WASTE_ROUNDS, WASTE_INCIDENTS = 15, 2
-_target = F.concat_ws("::", "file_path", "define_name")
 
 
-def _signal(rows: DataFrame, name: str, target: Column = _target, *more: Column | str) -> DataFrame:
-    return rows.select("project_id", F.lit(name).alias("signal"), target.alias("target_node"), *more)
+def _target() -> Column:
+    return F.concat_ws("::", "file_path", "define_name")
+
+
+def _signal(rows: DataFrame, name: str, target: Column | None = None, *more: Column | str) -> DataFrame:
+    return rows.select("project_id", F.lit(name).alias("signal"), (_target() if target is None else target).alias("target_node"), *more)
 
 
 def new_only(candidates: DataFrame, incidents: DataFrame) -> DataFrame:
@@ -45,7 +48,7 @@ def token_waste(summary: DataFrame, open_now: DataFrame, history: DataFrame) ->
     """Chains of 15 versions or more with an open stuck or debug incident and two in all. Paths are not excluded."""
     kinds = ["stuck_region", "debug_loop"]
     many = history.where(F.col("signal").isin(kinds)).groupBy("project_id", "target_node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= WASTE_INCIDENTS)
-    rows = _signal(summary.where(F.col("version_count") >= WASTE_ROUNDS), "token_waste", _target, F.col("version_count").alias("rounds"))
+    rows = _signal(summary.where(F.col("version_count") >= WASTE_ROUNDS), "token_waste", _target(), F.col("version_count").alias("rounds"))
     now = open_now.where(F.col("signal").isin(kinds)).select("project_id", "target_node").distinct()
     return rows.join(now, ["project_id", "target_node"], "left_semi").join(many, ["project_id", "target_node"], "left_semi")
 
@@ -60,7 +63,7 @@ def define_loop(det: DataFrame, evolution: DataFrame, stuck: DataFrame, debug: D
     b = head_streak(det).where(F.col("streak") >= STREAK_AGENT).select(*CHAIN, "streak")
     rows = a.join(b, CHAIN, "full_outer").where(~out_of_detection(F.col("file_path")))
     rows = rows.join(stuck.select(*CHAIN, F.lit(True).alias("is_stuck")), CHAIN, "left").join(evolution, CHAIN, "left")
-    rows = rows.withColumn("target_node", _target).join(debug.select("project_id", "target_node", F.lit(True).alias("is_debug")), ["project_id", "target_node"], "left")
+    rows = rows.withColumn("target_node", _target()).join(debug.select("project_id", "target_node", F.lit(True).alias("is_debug")), ["project_id", "target_node"], "left")
     keep = F.col("a").isNotNull() | (F.col("is_stuck").isNull() & F.col("is_debug").isNull() & F.coalesce(F.col("evolution") != "resolved", F.lit(True)))
     direct = F.coalesce(F.col("streak") >= STREAK_USER, F.lit(False)).alias("direct")
     return rows.where(keep).select("project_id", F.lit("define_loop").alias("signal"), "target_node", F.when(F.col("a").isNotNull(), "return").otherwise("streak").alias("mechanism"), direct)
@@ -83,7 +86,7 @@ def regression(turned_red: DataFrame, association: DataFrame, changed: DataFrame
 
     association: (define_key, classname, name, tier); changed: (project_id, file_path, define_name).
     """
-    key = changed.where(~out_of_detection(F.col("file_path"))).select("project_id", _target.alias("define_key")).distinct()
+    key = changed.where(~out_of_detection(F.col("file_path"))).select("project_id", _target().alias("define_key")).distinct()
     rows = turned_red.select("classname", "name").join(association, ["classname", "name"]).join(key, "define_key")
     return _signal(rows, "regression", F.concat_ws("::", "classname", "name")).distinct()
 
