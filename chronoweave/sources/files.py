@@ -12,7 +12,7 @@ from chronoweave.functions.idents import ignore_names, in_folder, is_test_file,
 
 def source_tree(spark: SparkSession, root: str, ignored: tuple[str, ...] = (), tests: bool = True, glob: str = "*.{py,ts,tsx,js,jsx}") -> DataFrame:
     """(path, rel_path, text, mtime) of source files below the root, without excluded or ignored folders and
-    without nested repositories, whose marker is a folder .git with a HEAD."""
+    without nested repositories."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     rows = read.option("pathGlobFilter", glob).load(root)
     path = F.regexp_replace("path", r"^file:/+", "/")
@@ -20,12 +20,25 @@ def source_tree(spark: SparkSession, root: str, ignored: tuple[str, ...] = (), t
     rows = rows.withColumn("rel_path", relative(F.col("path"), F.lit(root))).where(should_ingest(F.col("rel_path"), ignored))
     if not tests:
         rows = rows.where(~is_test_file(F.col("rel_path")))
-    return without_nested(rows, read.option("pathGlobFilter", "HEAD").load(root).select(path.alias("head")), root)
+    return without_nested(rows, nested_repositories(rows, root))
 
 
-def without_nested(files: DataFrame, heads: DataFrame, root: str) -> DataFrame:
-    """Files (rel_path) outside nested repositories, found by the .git/HEAD files of a listing: an anti join on folders."""
-    nested = heads.where(F.col("head").endswith("/.git/HEAD")).select(relative(F.regexp_replace("head", "/.git/HEAD$", ""), F.lit(root)).alias("_up")).where(F.col("_up") != root).distinct()
+def nested_repositories(files: DataFrame, root: str) -> DataFrame:
+    """(folder) of repositories below the root, among the folders of files (rel_path). Spark's readers skip hidden folders,
+    so the driver asks the file system for each folder, as it does when it lists files."""
+    spark = files.sparkSession
+    parts = F.split("rel_path", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    folders = [r.folder for r in files.where(F.size(parts) > 1).select(F.explode(ups).alias("folder")).distinct().collect()]
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsparkSession.sessionState().newHadoopConf()
+    system = path(root).getFileSystem(conf)
+    found = [(f,) for f in sorted(folders) if system.exists(path(f"{root}/{f}/.git"))]
+    return spark.createDataFrame(found, "folder string")
+
+
+def without_nested(files: DataFrame, nested: DataFrame) -> DataFrame:
+    """Files (rel_path) outside nested repositories (folder): an anti join on their folders."""
+    nested = nested.select(F.col("folder").alias("_up")).distinct()
     parts = F.split("rel_path", "/")
     ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     inside = files.select("rel_path", F.explode(ups).alias("_up")).join(nested, "_up", "left_semi").select("rel_path").distinct()
