@@ -10,10 +10,11 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from .common import map_texts
 #: Ends the last symbol of a word inside the automaton; byte symbols never use this character.
 END = "\0"
 #: Words longer than this are encoded anew each time, others are remembered.
-REMEMBERED_CHARS, REMEMBERED_WORDS, REMEMBERED_PAIRS = 64, 200_000, 400_000
+REMEMBERED_CHARS, REMEMBERED_WORDS, REMEMBERED_PAIRS = 64, 200_000, 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -51,7 +52,7 @@ class Vocabulary:
             self.rank[left, right] = at
             self.parts.setdefault(both, (left, right))
             self.born.setdefault(both, at)
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for s, i in self.ids.items():
             if self._reachable(i):
@@ -95,12 +96,13 @@ class Vocabulary:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token b can follow token a in an encoding."""
-        out = self._fits.get((a, b))
+        key = a << 24 | b
+        out = self._fits.get(key)
         if out is None:
             out = (a, b) not in self.rank and self._meets(a, b)
             if len(self._fits) >= REMEMBERED_PAIRS:
                 self._fits.clear()
-            self._fits[a, b] = out
+            self._fits[key] = out
         return out
 
     def encode_word(self, symbols: str) -> list[int]:
@@ -230,13 +232,16 @@ def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "ids", decoded
     """docs with the text of their ids; null ids give null, unknown ids an error."""
     with open(vocabulary, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
+    frame = docs.drop(decoded)
+    place = frame.columns.index(ids)
 
-    @F.pandas_udf(T.StringType())
-    def text_of(column: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(sent.value)
-        return column.map(lambda x: None if x is None else bpe.decode(list(x)))
+        for batch in batches:
+            texts = pa.array([None if x is None else bpe.decode(x) for x in batch.column(place).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, decoded])
 
-    return docs.withColumn(decoded, text_of(F.col(ids).cast("array<int>")))
+    return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField(decoded, T.StringType())]))
 
 
 def digests(encoded: DataFrame) -> DataFrame:
