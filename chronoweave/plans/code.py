@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronoweave import adapters as A
 from chronoweave.operators.call_resolution import resolve_calls, with_return_types
+from chronoweave.sources import js_source as J
 from chronoweave.sources import python_source as P
 
 from .registry import query
@@ -94,3 +95,29 @@ def call_edges_resolved(spark, sf_dir):
 @query("SELECT 'pkg/m' || p_partkey || '.py' AS path, p_partkey % 97 > 0 AS ok FROM part WHERE p_partkey > 5")
 def parse_states(spark, sf_dir):
     return P.parse_state(_files(spark, sf_dir))
+
+
+_SCRIPT = """import { run as other } from './m%1$d';
+export const limit = %2$d;
+export class Box extends Base<T> {
+  items: Map<string, {n: number}> = new Map();
+  get size(): number { return this.items.size; }
+  async grow(by = %2$d, ...rest) { await this.load(by); this.items = by > 1; }
+}
+export const make_%3$d = useMemo(async (a, b?: number) => { return other(a) ?? `t ${b} }`; }, []);
+function plain(x): { n: number } { if (x && /a{/.test(x)) { throw new Error('%4$s'); } return; }
+"""
+
+
+@query("""WITH o AS (SELECT *, 'm' || p_partkey || '.ts' AS path FROM part)
+SELECT path, CASE i WHEN 4 THEN 'make_' || p_partkey ELSE q END AS qualified_name, CASE i WHEN 1 THEN 5 WHEN 2 THEN 6 WHEN 4 THEN 8 ELSE 9 END::BIGINT AS start_line, CASE i WHEN 1 THEN 'value' WHEN 4 THEN 'value' WHEN 2 THEN 'none' ELSE 'bare' END AS kind,
+CASE i WHEN 2 THEN 'this.load' WHEN 4 THEN 'other' WHEN 5 THEN 'Error' ELSE '' END AS calls, CASE i WHEN 2 THEN 'Gt' WHEN 4 THEN 'Or' WHEN 5 THEN 'And' ELSE '' END AS operators,
+CASE i WHEN 2 THEN 'async,attr_write' WHEN 4 THEN 'async' WHEN 5 THEN 'raises' ELSE '' END AS effects, CASE i WHEN 1 THEN '0,0,false' WHEN 2 THEN '0,1,true' WHEN 4 THEN '1,1,false' ELSE '1,0,false' END AS params
+FROM o, (VALUES (1, 'Box.get size'), (2, 'Box.grow'), (4, ''), (5, 'plain')) v(i, q)""")
+def js_defines(spark, sf_dir):
+    p = A.raw(spark, sf_dir, "part")
+    text = F.format_string(_SCRIPT, F.floor(F.col("p_partkey") / 2).cast("long"), "p_size", "p_partkey", "p_name")
+    files = p.select(F.concat(F.lit("m"), "p_partkey", F.lit(".ts")).alias("path"), text.alias("text")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    s = F.col("params")
+    rows = J.defines(files)
+    return rows.select("path", "qualified_name", "start_line", F.col("returns_kind").alias("kind"), *[F.array_join(c, ",").alias(c) for c in ("calls", "operators", "effects")], F.concat_ws(",", s["required"], s["defaults"], s["has_args"]).alias("params"))

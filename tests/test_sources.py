@@ -11,6 +11,7 @@ from chronoweave.functions import idents as N
 from chronoweave.operators.call_resolution import resolve_calls, with_return_types
 from chronoweave.sources import artifacts as A
 from chronoweave.sources import files as S
+from chronoweave.sources import js_source as J
 from chronoweave.sources import python_source as P
 
 
@@ -246,3 +247,62 @@ def test_call_resolution(spark):
     assert (me + "go", me + "stay") in edges
     assert not any("missing" in c or "gone" in c or "thing" in c or "twice" in c for _, c in edges)
     assert {(me + "stay", "py::lib.core.low"), (me + "stay", "py::lib.more.unique_name"), ("py::lib.core.low", "py::lib.core.low")} <= edges
+
+
+SCRIPT = """
+import def, { a as b, type T, c } from './util';
+import * as ns from '../lib/db.ts';
+import type { X } from './types';
+const fs = require("./fs");
+// a comment with { brace
+export function plain(x, y = 2, ...rest): Promise<Map<string, {a: number}>> {
+  if (x > 1 && y) { return ns.run(x); }
+  const f = () => { hidden(); };
+  throw new Error(`bad ${x} }`);
+}
+export function typed(): { a: number } { return load(); }
+export const arrow = async (a: Store, { b, c }) => a.get(b) + 3;
+export const hook = useCallback(debounce((e) => { send(e); }), []);
+const one = x => x * 2
+let value = /re{g/.test(s) ? 1 : 2;
+export const api = { get(a) { return 1; }, post: async (b) => { save(b) }, n: 3, 'put': function () { } };
+export const CONFIG = wrap({ handler: () => {} });
+export default class { run() { this.go(); } }
+class K extends Base<T> {
+  static count = 0;
+  #p = new Pool();
+  get size() { return this.#p.size; }
+  set size(v) { this._s = v; }
+  handler = (e) => { this.run(e); };
+  constructor(private readonly store: Store) { super(); this.cache = new Cache(); }
+  async load<T>(id: string): Promise<T> { const r = await this.store.get(id); return r; }
+  abstract nope(): void;
+}
+namespace N.M { export function inner() { return; } }
+module.exports = { one2: () => 1, two2() {} };
+exports.three = function () {};
+K.prototype.four = function (a) { a[0] = 1; };
+(function () { function iife() { x(); } })();
+if (cond) { function inIf() {} } else { const inElse = () => {}; }
+"""
+
+
+def test_scripts(spark):
+    files = spark.createDataFrame([("src/a/x.ts", SCRIPT), ("bad.ts", "function f() {"), ("none.js", None)], "path string, text string")
+    rows = {r.qualified_name: r for r in J.defines(files).collect()}
+    assert set(rows) == {"plain", "typed", "arrow", "hook", "one", "api.get", "api.post", "api.put", "<default>.run", "K.get size", "K.set size", "K.handler", "K.constructor", "K.load", "N.M.inner", "one2", "two2", "three", "K.four", "iife", "inIf", "inElse"}
+    plain = rows["plain"]
+    assert tuple(plain.params) == (1, 1, True, False, 0) and plain.calls == ["ns.run", "Error"] and plain.operators == ["And", "Gt"] and plain.effects == ["raises"]
+    assert (plain.start_line, plain.end_line, plain.returns_kind) == (7, 11, "value")
+    assert rows["arrow"].bindings == {"a": "Store"} and rows["arrow"].effects == ["async"] and rows["arrow"].calls == ["a.get"]
+    assert rows["K.constructor"].bindings == {"store": "Store", "this.cache": "Cache"} and rows["K.load"].calls == ["this.store.get"]
+    assert rows["N.M.inner"].returns_kind == "bare" and rows["K.four"].effects == ["subscript_write"]
+
+
+def test_script_imports():
+    assert J.file_imports("src/a/x.ts", SCRIPT) == [("b", "src/a/util.a"), ("c", "src/a/util.c"), ("def", "src/a/util"), ("ns", "src/lib/db"), ("fs", "src/a/fs")]
+    out = J.file_reexports("src/index.ts", "export { a, b as c, default as D } from './x';\nexport * from './y'\nexport * as ns from './z'; export type { T } from './t'")
+    assert out == [("src/index", "a", "src/x", "a"), ("src/index", "c", "src/x", "b"), ("src/index", "D", "src/x", "<default>"), ("src/index", "*", "src/y", "*"), ("src/index", "ns", "src/z", "")]
+    aliases = J.aliases_of('{ // c\n "compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["./src/*"], "~/*": ["*"],}} }')
+    assert aliases == {"@/": "src", "~/": ""} and J.aliases_of("broken") == {}
+    assert J.resolved("@/lib/utils", "a/b.ts", aliases) == "src/lib/utils" and J.resolved("react", "a/b.ts", aliases) is None
