@@ -12,6 +12,7 @@ STATE_BASED = ("test_tampering",)
 #: Recurrences after which the user is told, by signal; other signals: 2.
 THETA = {"stuck_region": 3, "debug_loop": 3, "regression": 2, "define_loop": 2, "task_scope_breach": 1, "boundary_breach": 1, "test_tampering": 1, "dangling_reference": 2}
 QUIET_ROUNDS = 2
+OPENED_STATES = ("open", "notified_agent", "escalated_user")
 
 
 def base_theta(signal: Column) -> Column:

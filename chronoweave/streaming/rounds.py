@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +54,48 @@ def run_rounds(events: DataFrame, stage: Callable[[DataFrame, int], None], check
     return (writer.trigger(availableNow=True) if once_only else writer.trigger(processingTime="5 seconds")).start()
 
 
+def reconcile(log: str, incidents: str, defines_of: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """The stage of a round over Parquet tables: the changed files' defines become events of the log, numbered in
+    order, and rules over the log open incidents that are not open yet.
+
+    defines_of gives (project_id, file_path, define_name, content_hash, node_fingerprint, fine_fingerprint) of a batch of
+    events (project_id, path); files without defines are deleted ones. A round writes to folders of its own number with
+    overwrite, and reads those of smaller numbers, so repeating a round after a failure gives the same tables.
+    """
+    from chronoweave.operators import chains, detectors, maintenance
+
+    def before(spark: SparkSession, path: str, schema: str, number: int) -> DataFrame:
+        try:
+            rows = spark.read.schema(f"{schema}, round long").parquet(path)
+        except AnalysisException:
+            return spark.createDataFrame([], schema)
+        return rows.where(F.col("round") < number).drop("round")
+
+    def stage(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        files = batch.where("kind = 'post_edit'").select("project_id", F.col("path").alias("file_path")).distinct()
+        old = before(spark, log, LOG, number)
+        now = defines_of(batch)
+        events = maintenance.capture(old, now, files)
+        prints = now.select(*chains.CHAIN, "node_fingerprint", "fine_fingerprint")
+        new = maintenance.numbered(events, old, ["file_path", "define_name"]).join(prints, chains.CHAIN, "left")
+        new = new.withColumn("id", F.col("seq")).withColumn("created_at", F.lit(None).cast("timestamp"))
+        columns = [c.split(" ")[0] for c in LOG.split(", ")]
+        new.select(*columns).write.mode("overwrite").parquet(f"{log}/round={number}")
+        every = old.select(*columns).unionByName(before(spark, log, LOG, number + 1).select(*columns)).distinct()
+        known = before(spark, incidents, INCIDENTS, number)
+        stuck = detectors.stuck_region(chains.stuck(every), spark.createDataFrame([], "project_id long, target_node string"))
+        loops = chains.loop_back(every).select("project_id", F.lit("define_loop").alias("signal"), F.concat_ws("::", "file_path", "define_name").alias("target_node"))
+        found = detectors.new_only(detectors.all_signals(stuck, loops), known).withColumn("state", F.lit("open"))
+        found.write.mode("overwrite").parquet(f"{incidents}/round={number}")
+
+    return stage
+
+
+LOG = "id long, project_id long, seq long, file_path string, define_name string, node_fingerprint string, fine_fingerprint string, content_hash string, edit_type string, created_at timestamp"
+INCIDENTS = "project_id long, signal string, target_node string, state string"
+
+
 def effective(level: str, signal: str, theta: int) -> int | None:
     """Recurrences until the user is told; None: never. The same table as operators.escalation.effective_theta."""
     lower = max(1, theta - 1)

@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -41,6 +42,7 @@ def test_stream_equals_the_fold(spark, tmp_path):
             for r in rows:
                 if r[4] % 3 == part or part == 2 and r[4] % 3 == 2:
                     f.write(json.dumps(dict(zip(("incident", "signal", "level", "direct", "round", "recurred"), (*r[:4], part * 10 + r[4], r[5]), strict=True))) + "\n")
+        os.utime(source / f"{part}.json", (1_700_000_000 + part, 1_700_000_000 + part))  # files are read in order of age
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(str(source))
 
     def keep(batch, _):
@@ -67,3 +69,34 @@ def test_hook_events_and_duplicates(spark, tmp_path):
     q = S.run_rounds(S.once(S.hook_events(spark, str(source)), ["event_id"]), lambda b, n: seen.extend(r.event_id for r in b.select("event_id").where(F.col("kind").isNotNull()).collect()), str(tmp_path / "c"))
     q.awaitTermination(120)
     assert q.exception() is None and sorted(seen) == ["a", "c"]
+
+
+def test_rounds_capture_changes_and_open_incidents_once(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    forms = ["a", "b", "a", "a2", "b"]
+    for n, form in enumerate(forms):
+        with open(source / f"{n}.json", "w") as f:
+            f.write(json.dumps({"event_id": str(n), "kind": "post_edit", "project_id": 1, "path": "src/x.py", "output": form, "at": f"2024-01-01T0{n}:00:00Z"}) + "\n")
+        os.utime(source / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+
+    def defines_of(batch):
+        return batch.select("project_id", F.col("path").alias("file_path"), F.lit("f").alias("define_name"), F.col("output").alias("content_hash"), F.substring("output", 1, 1).alias("node_fingerprint"), F.substring("output", 1, 1).alias("fine_fingerprint"))
+
+    log, incidents = str(tmp_path / "log"), str(tmp_path / "inc")
+    stage = S.reconcile(log, incidents, defines_of)
+    events = S.hook_events(spark, str(source), files_per_round=1)
+    q = S.run_rounds(events, stage, str(tmp_path / "c"))
+    q.awaitTermination(300)
+    assert q.exception() is None
+    rows = spark.read.parquet(log).orderBy("seq").collect()
+    order = [r.content_hash for r in rows]
+    assert sorted(order) == sorted(forms) and [r.seq for r in rows] == [1, 2, 3, 4, 5]
+    assert [r.edit_type for r in rows] == ["create", *["modify"] * 4]
+    found = spark.read.parquet(incidents).collect()
+    assert [(r.signal, r.target_node) for r in found] == [("define_loop", "src/x.py::f")]
+    # a round that is repeated changes nothing
+    last = max(int(r.round) for r in rows)
+    batch = spark.read.schema(S.EVENT).json(str(source)).where(F.col("output") == order[-1]).limit(1)
+    stage(batch, last)
+    assert spark.read.parquet(log).count() == 5 and spark.read.parquet(incidents).count() == 1
