@@ -16,6 +16,7 @@ import corpus_pipeline
 from chronoweave.llm import ann, mixing, ngram_scores, queries, sharding, simhash
 
 from .conftest import ODD, SMALL
+from .test_text_operators import brute_spans
 
 # near-duplicates
 
@@ -300,3 +301,65 @@ def test_pipeline_stages(spark, documents):
     assert texts["personal data"][2] == (1002, "write to <EMAIL> please", 23) and texts["personal data"][0] == (1000, None, None)
     assert {t for _, t, _ in texts["mix"]} <= {t for _, t, _ in texts["toxicity"]}
     assert corpus_pipeline.run(spark, SMALL).columns == [*names, "ids", "decoded"]
+
+
+def test_pipeline_against_brute_force(spark):
+    """Each stage on its own input, by plain loops: scores, closure of fingerprints, spans, targets, the library's ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from chronoweave.llm import pii, toxicity
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda r: tuple(str(x) for x in r)
+
+    def staged(name, rows):
+        return sorted((tuple(r) for r in stages[name](spark, spark.createDataFrame(rows, docs.schema), SMALL).collect()), key=key)
+
+    scorer = toxicity.learned(docs, labels.where(~toxicity.held_out())).scorer()
+    scores = scorer.scores([r[1] or "" for r in rows])
+    want = sorted((r for r, s in zip(rows, scores, strict=True) if s < 0.5), key=key)
+    got = staged("toxicity", rows)
+    assert got == want and len(got) < len(rows)
+
+    roots = closure([slow_simhash(r[1] or "") for r in got])
+    kept = {root: min(r[0] for r, x in zip(got, roots, strict=True) if x == root) for root in set(roots)}
+    want = [r for r, root in zip(got, roots, strict=True) if kept[root] == r[0]]
+    got = staged("near-duplicates", got)
+    assert got == want
+
+    field = pii.trained(spark.createDataFrame(got, docs.schema), "text", 2000, 7)
+    texts = [r[1] or "" for r in got]
+    base = [brute_spans(t) for t in texts]
+    spans = [sorted([*b, *more], key=lambda s: (s[0], pii.KINDS.index(s[2]))) for b, more in zip(base, field.added(texts, base, 0.95), strict=True)]
+    clean = [pii.redact(t, s) for t, s in zip(texts, spans, strict=True)]
+    want = sorted(((r[0], c if r[1] is not None else None, r[2], r[3], len(c) if s else r[4]) for r, c, s in zip(got, clean, spans, strict=True)), key=key)
+    got = staged("personal data", got)
+    assert got == want
+
+    size = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+    sizes, taken, copies = {}, {}, {}
+    for r in got:
+        sizes[r[3]] = sizes.get(r[3], 0) + size(r)
+    mix = staged("mix", got)
+    for r in mix:
+        taken[r[3]] = taken.get(r[3], 0) + size(r)
+        copies[r] = copies.get(r, 0) + 1
+    assert set(copies) <= set(got) and max(copies.values()) <= 2
+    for source, target in slow_targets(sizes).items():
+        lengths = [size(r) for r in got if r[3] == source]
+        sums = {0}
+        for n in lengths:
+            sums |= {s + n for s in sums}
+        base_words = int(target // sizes[source]) * sizes[source] if sizes[source] else 0
+        assert abs(taken.get(source, 0) - target) <= min(abs(base_words + s - target) for s in sums) + 1
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    out = stages["tokens"](spark, spark.createDataFrame(mix, docs.schema), SMALL).collect()
+    assert sorted((tuple(r[:5]) for r in out), key=key) == mix
+    for r in out:
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        assert (r.ids, r.decoded) == (ids, library.decode(ids, skip_special_tokens=False))
