@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import trim, whole
 
-#: Factor of each step back; bytes of text in a slice.
-ALPHA, SLICE_BYTES = 0.4, 4 << 20
+#: Factor of each step back; bytes of text in a slice, and for each part of the count table. Both bound what a worker
+#: holds, so their numbers grow with the corpus; a slice sends a row to a part only if it has n-grams there.
+ALPHA, SLICE_BYTES, PART_BYTES = 0.4, 4 << 20, 16 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Keys of the numbers of words and of documents, counted like n-grams.
 WORDS, DOCUMENTS = 1, 2
@@ -144,8 +145,8 @@ def scored(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
     an empty one. A very common n-gram is one number from each slice, so it makes no task heavier.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     slices = max(2 * parts, -(-total // SLICE_BYTES))
     rows = docs.select(F.col(id).alias("id"), whole(text).alias("text"))
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(slices)).cast("int")).repartition(parts, "slice")
