@@ -55,3 +55,12 @@ def similar_names(asked: DataFrame, names: DataFrame, most: int = 2, k: int = 3)
     held = longer.select("text", "name").unionByName(shorter.select("text", "name")).distinct().withColumn("distance", F.lit(3))
     every = near.unionByName(held).where("text <> name").groupBy("text", "name").agg(F.min("distance").cast("long").alias("distance"))
     return top_rows(every, ["text"], [F.col("distance"), F.col("name")], k)
+
+
+def edited_cases(cases: DataFrame, edited: DataFrame) -> DataFrame:
+    """Cases (classname, name) whose test define (define_name) was edited: the function itself, Class.method with both
+    parts equal, or the class. Equi joins on the names a case can be edited by."""
+    cls = F.element_at(F.split("classname", r"\."), -1)
+    bare = F.regexp_replace("name", r"\[.*\]$", "")
+    by = cases.select("classname", "name", F.explode(F.array_distinct(F.array(bare, F.concat_ws(".", cls, bare), cls))).alias("define_name"))
+    return by.join(edited.select("define_name").distinct(), "define_name", "left_semi").select("classname", "name").distinct()

@@ -197,3 +197,19 @@ def acyclic_edges(edges: DataFrame, order: DataFrame) -> DataFrame:
     rows = e.join(back, ["from_det", "to_det"], "left")
     rows = rows.join(o.select(F.col("node").alias("from_det"), F.col("o").alias("a")), "from_det").join(o.select(F.col("node").alias("to_det"), F.col("o").alias("b")), "to_det")
     return rows.where("cycle is null or a < b").select("from_det", "to_det")
+
+
+def current_edges(calls: DataFrame, current: DataFrame) -> DataFrame:
+    """Edges between the current versions of defines, from what is called to what calls it.
+
+    calls: (caller, callee) names; current: (fqn, id) of live defines. Edges of replaced versions have no row, so nothing
+    is deleted when a define changes.
+    """
+    a, b = current.select(F.col("fqn").alias("callee"), F.col("id").alias("from_det")), current.select(F.col("fqn").alias("caller"), F.col("id").alias("to_det"))
+    return calls.select("caller", "callee").distinct().join(a, "callee").join(b, "caller").where("from_det <> to_det").select("from_det", "to_det").distinct()
+
+
+def suspects(cone: DataFrame, stacks: DataFrame, last: int = 3) -> DataFrame:
+    """Nodes of a cone (node) that the project's last crash stacks (id, stack_fqns) hold."""
+    recent = stacks.orderBy(F.desc("id")).limit(last).select(F.explode("stack_fqns").alias("node")).distinct()
+    return cone.join(recent, "node", "left_semi")

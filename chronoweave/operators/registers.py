@@ -123,3 +123,8 @@ def new_members(now: DataFrame, told: DataFrame) -> DataFrame:
     rows = now.join(told, ["project_id", "kind"], "left")
     fresh = F.array_except("defines", F.split(F.coalesce("csv", F.lit("")), ","))
     return rows.where(F.size(fresh) > 0).select("project_id", "kind", F.array_join(F.array_sort("defines"), ",").alias("csv"))
+
+
+def detail(details: Column, name: str) -> Column:
+    """A field of an incident's JSON details as text; null where it is absent or the text is malformed."""
+    return F.try_variant_get(F.try_parse_json(details), f"$.{name}", "string")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.functions.console import stem_matches  # noqa: F401  part of this module's surface
+from chronoweave.functions.console import error_signature, stack_names
 from chronoweave.functions.idents import basename
 from chronoweave.operators.intervals import within
 
@@ -142,6 +142,24 @@ def context_entries(contexts: DataFrame, defines: DataFrame, cases: DataFrame) -
     return within(lines, defines, ["file"], "line", "start_line", "end_line", width=64, open_low=False).select("test_case", "define_name").distinct()
 
 
+def coverage_entries(reports: DataFrame, sources: DataFrame) -> DataFrame:
+    """(test_case, define_name) of coverage reports (path, text) of either format, told apart by their names.
+
+    sources: (path, text) of the files that lcov reports name.
+    """
+    is_lcov = F.col("path").endswith(".info") | F.lower(basename(F.col("path"))).contains("lcov")
+    lines = lcov_lines(reports.where(is_lcov).select("path", "text"))
+    xml = cobertura_entries(reports.where(~is_lcov).select("path", F.col("text").alias("xml")))
+    return lcov_entries(lines, headers(sources)).unionByName(xml.select("test_case", "define_name")).distinct()
+
+
+def crash_stacks(logs: DataFrame, root: str) -> DataFrame:
+    """(path, mtime, stack_fqns, error_signature) of crash logs (path, mtime, text), without those that hold
+    neither a frame of the project nor an error."""
+    rows = logs.select("path", "mtime", stack_names(F.col("text"), F.lit(root)).alias("stack_fqns"), error_signature(F.col("text")).alias("error_signature"))
+    return rows.where("size(stack_fqns) > 0 or error_signature is not null")
+
+
 _VALUE = T.StructType([T.StructField("stringValue", T.StringType()), T.StructField("intValue", T.StringType()), T.StructField("doubleValue", T.DoubleType())])
 _ATTRIBUTES = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", _VALUE)]))
 _POINTS = T.StructType([T.StructField("dataPoints", T.ArrayType(T.StructType([T.StructField("attributes", _ATTRIBUTES), T.StructField("asDouble", T.DoubleType()), T.StructField("asInt", T.StringType())])))])

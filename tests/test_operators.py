@@ -270,3 +270,18 @@ def test_prices_take_the_longest_prefix(spark):
     price = spark.createDataFrame([("m", 1.0, 0.0, 1.0), ("m-large", 2.0, 0.0, 2.0)], "model string, input double, cache double, output double")
     models = spark.createDataFrame([("m-large-2024",), ("m-small",), ("other",)], "model string")
     assert {r.model: r.priced_as for r in reports.priced(models, price).collect()} == {"m-large-2024": "m-large", "m-small": "m"}
+
+
+def test_current_edges_and_suspects(spark):
+    calls = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "a"), ("a", "gone")], "caller string, callee string")
+    current = spark.createDataFrame([("a", 10), ("b", 20), ("c", 30)], "fqn string, id long")
+    assert sorted(tuple(r) for r in graph.current_edges(calls, current).collect()) == [(20, 10), (30, 10)]
+    stacks = spark.createDataFrame([(i, [f"f{i}", "all"]) for i in range(6)], "id long, stack_fqns array<string>")
+    cone = spark.createDataFrame([("f5",), ("f2",), ("all",), ("z",)], "node string")
+    assert sorted(r.node for r in graph.suspects(cone, stacks).collect()) == ["all", "f5"]
+
+
+def test_edited_cases(spark):
+    cases = spark.createDataFrame([("tests.a.TestK", "test_x[1]"), ("tests.a", "test_y"), ("tests.a.TestL", "test_z"), ("tests.b", "test_w")], "classname string, name string")
+    edited = spark.createDataFrame([("TestK.test_x",), ("test_y",), ("TestL",), ("Other.test_w",)], "define_name string")
+    assert sorted(r.name for r in association.edited_cases(cases, edited).collect()) == ["test_x[1]", "test_y", "test_z"]

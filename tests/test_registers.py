@@ -53,3 +53,8 @@ def test_hints_and_new_members(spark):
     now = spark.createDataFrame([(1, "commit", ["b", "a"]), (2, "commit", ["a"]), (3, "commit", ["z"])], "project_id long, kind string, defines array<string>")
     told = spark.createDataFrame([(1, "commit", "a"), (2, "commit", "a,b")], "project_id long, kind string, csv string")
     assert {r.project_id: r.csv for r in R.new_members(now, told).collect()} == {1: "a,b", 3: "z"}
+
+
+def test_details(spark):
+    df = spark.createDataFrame([('{"rounds": 7, "x": {"y": 1}}',), ("broken",), (None,), ("{}",)], "d string")
+    assert [r.r for r in df.select(R.detail(F.col("d"), "rounds").alias("r")).collect()] == ["7", None, None, None]

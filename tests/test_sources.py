@@ -10,6 +10,7 @@ from chronoweave.functions import console as X
 from chronoweave.functions import idents as N
 from chronoweave.operators.call_resolution import resolve_calls, with_return_types
 from chronoweave.sources import artifacts as A
+from chronoweave.sources import code as K
 from chronoweave.sources import files as S
 from chronoweave.sources import js_source as J
 from chronoweave.sources import python_source as P
@@ -306,3 +307,20 @@ def test_script_imports():
     aliases = J.aliases_of('{ // c\n "compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["./src/*"], "~/*": ["*"],}} }')
     assert aliases == {"@/": "src", "~/": ""} and J.aliases_of("broken") == {}
     assert J.resolved("@/lib/utils", "a/b.ts", aliases) == "src/lib/utils" and J.resolved("react", "a/b.ts", aliases) is None
+
+
+def test_coverage_by_format_and_crash_logs(spark):
+    reports = spark.createDataFrame([("cov/lcov.info", "TN:t\nSF:a.py\nDA:2,1\nend_of_record"), ("coverage.xml", '<coverage><package name="p"><class name="K"></class></package></coverage>')], "path string, text string")
+    sources = spark.createDataFrame([("a.py", "def f():\n  x")], "path string, text string")
+    assert sorted(tuple(r) for r in A.coverage_entries(reports, sources).collect()) == [("coverage::p.K", "p.K"), ("t::a.py", "f")]
+    logs = spark.createDataFrame([("c.log", 1, '  File "/r/a.py", line 3, in f\nTypeError: x is not a function'), ("d.log", 1, "fine")], "path string, mtime long, text string")
+    assert [tuple(r) for r in A.crash_stacks(logs, "/r").collect()] == [("c.log", 1, ["py::a.f"], "TypeError|is_not_a_function")]
+
+
+def test_defines_by_language_and_unresolved_calls(spark):
+    files = spark.createDataFrame([("a.py", "import b\ndef f():\n    b.g()\n    b.gone()\n    helper()\n    print(1)\n"), ("b.py", "def g(): pass\n"), ("c.ts", "export function h() { return 1; }"), ("d.txt", "x")], "path string, text string")
+    rows = K.defines(files)
+    assert sorted((r.lang, r.module, r.qualified_name) for r in rows.collect()) == [("js_ts", "c", "h"), ("py", "a", "f"), ("py", "b", "g")]
+    found = P.imports(files.where("path like '%.py'"))
+    edges = resolve_calls(rows, found, P.reexports(files.where("path like '%.py'")))
+    assert sorted(r.raw for r in K.unresolved_calls(rows, edges, found).collect()) == ["b.gone", "helper", "print"]
