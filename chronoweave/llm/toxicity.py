@@ -2,13 +2,15 @@
 
 Two zstandard dictionaries are trained: one on passages of ordinary rows, one on the passages that set toxic rows apart
 (runs of words that hold letter groups which toxic rows have far more often). Both compressors share the ordinary
-dictionary's content, and the toxic one's adds its own, so on ordinary words the two agree. A text is cut into windows;
-each window's margin is the bytes that the toxic dictionary saves. The largest margins, their mean and the sum of the
-clear ones feed a logistic threshold, calibrated on rows that the dictionaries were not trained on.
+dictionary's content, and the toxic one's adds its own, so on ordinary words the two agree. A text is cut into windows
+twice, the second time half a window later, so that what one cut parts is whole in the other. Each window's margin is the
+bytes that the toxic dictionary saves. The largest margins, their mean, and how many reach certain sizes feed a logistic
+threshold, calibrated on rows that the dictionaries were not trained on.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -21,11 +23,12 @@ from pyspark.sql import types as T
 from .common import map_texts
 
 #: Bytes of a window, of letter groups, of the two dictionaries; the compressors' level.
-WINDOW, GROUP, ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 96, 5, 65_536, 2_048, 3
+WINDOW, GROUP, ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 64, 5, 110_000, 2_048, 3
 #: Labelled rows used at most: toxic, ordinary. Half train the dictionaries, half calibrate.
 TOXIC_ROWS, ORDINARY_ROWS = 1600, 4800
-#: A margin of this many bytes is clear.
-CLEAR = 3
+#: Margins in bytes whose windows are counted; where the two cuts begin, in characters; features of both.
+MARGINS, CUTS = (2, 3, 4, 5, 6, 8), (0, WINDOW // 2)
+FEATURES = len(CUTS) * (len(MARGINS) + 6)
 
 
 def windows(text: str, size: int = WINDOW) -> list[bytes]:
@@ -96,23 +99,29 @@ class Scorer:
         self.plain, self.toxic = (zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **kind).compress if c else None for c in contents)
 
     def features(self, text: str) -> list[float]:
-        if not self.plain or not (cut := windows(text)):
-            return [0.0] * 5
+        out: list[float] = []
         plain, toxic = self.plain, self.toxic
-        margins = [len(plain(w)) - len(toxic(w)) for w in cut]
-        clear = sorted([m for m in margins if m > 0], reverse=True)
-        top = [*clear[:3], 0, 0, 0]
-        return [float(top[0]), float(top[1]), float(top[2]), sum(margins) / len(margins), sum(m for m in clear if m >= CLEAR) / len(margins) ** 0.5]
+        for start in CUTS:
+            cut = windows(text[start:]) if plain else []
+            if not cut:
+                out += [0.0] * (FEATURES // len(CUTS))
+                continue
+            margins = [len(plain(w)) - len(toxic(w)) for w in cut]
+            good = sorted([m for m in margins if m > 0], reverse=True)
+            n = len(margins)
+            out += [*map(float, [*good[:3], 0, 0, 0][:3]), sum(margins) / n, sum(m for m in good if m >= 3) / n**0.5]
+            out += [math.log1p(sum(m >= k for m in good)) for k in MARGINS] + [math.log1p(n)]
+        return out
 
     def scores(self, texts: list[str]) -> list[float]:
         m = self.model
-        x = (np.array([self.features(t) for t in texts]).reshape(-1, 5) - m.mean) / m.scale
+        x = (np.array([self.features(t) for t in texts]).reshape(-1, FEATURES) - m.mean) / m.scale
         return (1 / (1 + np.exp(-np.clip(x @ m.weight + m.bias, -30, 30)))).tolist()
 
 
 def fit(toxic: list[str], ordinary: list[str]) -> Model:
     """A model of labelled texts. Every second row trains the dictionaries, the others calibrate."""
-    none = np.zeros(5)
+    none = np.zeros(FEATURES)
     if len(toxic) < 2 or len(ordinary) < 2:  # nothing to tell apart: the share of toxic rows
         share = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1) if toxic or ordinary else 0.01
         return Model(b"", b"", none, none + 1, none, float(np.log(share / (1 - share))))
@@ -127,15 +136,15 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     y = np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.hstack([(x - model.mean) / model.scale, np.ones((len(x), 1))])
-    w = np.zeros(6)
-    ridge = np.diag([1.0] * 5 + [1e-3])
-    for _ in range(30):  # Newton steps
+    w = np.zeros(FEATURES + 1)
+    ridge = np.diag([1.0] * FEATURES + [1e-3])
+    for _ in range(40):  # Newton steps
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         slope = z.T @ (y - p) - ridge @ w
         curve = (z * (p * (1 - p))[:, None]).T @ z + ridge
         step = np.linalg.solve(curve, slope)
         w += step / max(1.0, np.abs(step).max() / 2)
-    model.weight, model.bias = w[:5], float(w[5])
+    model.weight, model.bias = w[:-1], float(w[-1])
     return model
 
 
@@ -155,7 +164,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
 
     Null and empty texts have no window and get the score of a text without any margin. Only the text is looked at.
     Extra columns stay, one named like the result is replaced. Rows are independent: no shuffle; a text costs two
-    compressions of each window, however long it is.
+    compressions of each window of both cuts, however long it is.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
