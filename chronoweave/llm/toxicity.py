@@ -154,7 +154,8 @@ def learned(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     known = labels.select(F.col(id).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
     order = F.xxhash64("i")
     chosen = known.where("y = 1").orderBy(order, "i").limit(toxic_rows).unionByName(known.where("y = 0").orderBy(order, "i").limit(ordinary_rows))
-    rows = docs.select(F.col(id).alias("i"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(chosen), "i").select("t", "y", order.alias("h")).collect()
+    rows = docs.select(F.col(id).alias("i"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(chosen), "i")
+    rows = rows.groupBy("i", "y").agg(F.min("t").alias("t")).select("t", "y", order.alias("h")).collect()  # repeated ids once
     rows.sort(key=lambda r: (r.h, r.t))
     return fit([r.t for r in rows if r.y == 1], [r.t for r in rows if r.y == 0])
 
