@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_WRITTEN: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -18,7 +20,9 @@ def scratch_dir(spark: SparkSession) -> str:
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="chronoweave-"))
         base = _OWN[0]
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -28,11 +32,27 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete what stored() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if at.getName().startswith("scratch-"):
-            at.getFileSystem(conf).delete(at, True)
+        if os.path.basename(folder).startswith("scratch-"):
+            _delete(df.sparkSession, folder)
+            _WRITTEN.difference_update({p for p in _WRITTEN if p.endswith(os.path.basename(folder))})
+
+
+@atexit.register
+def _clean() -> None:
+    """At the driver's end nobody reads its tables any more. What a driver that died leaves is the cluster's to clear."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    for path in sorted(_WRITTEN):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session may be gone already
+            return
