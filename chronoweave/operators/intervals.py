@@ -20,31 +20,45 @@ def within(points: DataFrame, spans: DataFrame, by: list[str], at: str, low: str
     return rows.where(above & (F.col(at) <= F.col("_end"))).drop("_bin", "_top", "_end")
 
 
-def nearest(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, value: str, width: int) -> DataFrame:
-    """Left with the value of the right row nearest in a long column (ties: the earlier one), null without any.
+def _neighbours(left: DataFrame, right: DataFrame, by: list[str], left_at: str, width: int) -> DataFrame:
+    """(_row, _at, _p, _n): each left row with the last right row (by, _at, _v) not after it and the first not before it.
 
-    For each bin the last row before and the first row after it are carried over from other bins in a table of one row
-    for each bin; within a bin windows find neighbours. So a long sequence is spread over its bins. Among right rows at
-    one point the least value counts.
+    For each bin of the long column the last row before and the first row after it are carried over from other bins in a
+    table of one row for each bin; within a bin windows find neighbours. So a long sequence is spread over its bins, and
+    the work is linear in both sides. Right rows are unique in (by, _at).
     """
-    r = right.select(*by, F.col(right_at).alias("_at"), F.col(value).alias("_v"), F.lit(1).alias("_right"))
-    r = r.groupBy(*by, "_at", "_right").agg(F.min("_v").alias("_v")).withColumn("_bin", F.floor(F.col("_at") / width))
+    r = right.withColumn("_bin", F.floor(F.col("_at") / width))
     row = left.withColumn("_row", F.struct(*[F.col(c) for c in left.columns])).select(*by, F.col(left_at).alias("_at"), "_row").withColumn("_bin", F.floor(F.col("_at") / width))
     pair = F.struct("_at", "_v")
     bins = r.groupBy(*by, "_bin").agg(F.max(pair).alias("_hi"), F.min(pair).alias("_lo")).unionByName(row.select(*by, "_bin").distinct(), allowMissingColumns=True)
     bins = bins.groupBy(*by, "_bin").agg(F.max("_hi").alias("_hi"), F.min("_lo").alias("_lo"))
     order = Window.partitionBy(*by).orderBy("_bin")
     bins = bins.select(*by, "_bin", F.last("_hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_lo", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
-    both = r.drop("_right").withColumn("_pair", pair).unionByName(row, allowMissingColumns=True)
+    both = r.withColumn("_pair", pair).unionByName(row, allowMissingColumns=True)
     inner = Window.partitionBy(*by, "_bin").orderBy("_at")
     both = both.withColumn("_p", F.last("_pair", True).over(inner.rangeBetween(Window.unboundedPreceding, 0)))
     both = both.withColumn("_n", F.first("_pair", True).over(inner.rangeBetween(0, Window.unboundedFollowing)))
-    found = both.where("_row is not null").join(bins, [*by, "_bin"]).withColumn("_p", F.coalesce("_p", "_before")).withColumn("_n", F.coalesce("_n", "_after"))
+    found = both.where("_row is not null").join(bins, [*by, "_bin"])
+    return found.select("_row", "_at", F.coalesce("_p", "_before").alias("_p"), F.coalesce("_n", "_after").alias("_n"))
+
+
+def nearest(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, value: str, width: int) -> DataFrame:
+    """Left with the value of the right row nearest in a long column (ties: the earlier one), null without any.
+    Among right rows at one point the least value counts."""
+    r = right.groupBy(*by, F.col(right_at).alias("_at")).agg(F.min(value).alias("_v"))
+    found = _neighbours(left, r, by, left_at, width)
     earlier = F.col("_n").isNull() | (F.col("_at") - F.col("_p._at") <= F.col("_n._at") - F.col("_at"))
     best = F.when(F.col("_p").isNotNull() & earlier, F.col("_p._v")).otherwise(F.col("_n._v"))
     return found.select("_row.*", best.alias(value))
 
 
+def latest(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, value: str, last: str, width: int = 4096) -> DataFrame:
+    """As-of join: left with value and value_at, the value and place of the last right row not after it, null without any.
+    Among right rows at one point that with the largest `last` counts."""
+    r = right.groupBy(*by, F.col(right_at).alias("_at")).agg(F.max_by(value, last).alias("_v"))
+    return _neighbours(left, r, by, left_at, width).select("_row.*", F.col("_p._v").alias(value), F.col("_p._at").alias(f"{value}_at"))
+
+
 def longest_prefix(files: DataFrame, roots: DataFrame, path: str = "path", root: str = "root_path") -> DataFrame:
     """For each file the root that is its longest ancestor folder, or itself. Ancestors are exploded: an equi join."""
     parts = F.split(F.col(path), "/")
@@ -65,11 +79,18 @@ def rounds_of(det: DataFrame, chain: list[str], last: int = 5) -> DataFrame:
 
 
 def round_signatures(det: DataFrame, crashes: DataFrame, chain: list[str], last: int = 5) -> DataFrame:
-    """For each round the last error signature of a crash of the project inside it, null without one."""
+    """For each round the last error signature of a crash of the project inside it, null without one.
+
+    The last crash up to a round's end is found as of that end, and counts if it lies after the round's begin, so long
+    rounds cost no more than short ones. The tail ends after everything.
+    """
     spans = rounds_of(det, chain, last)
-    hits = within(crashes.where("error_signature is not null").select("project_id", F.col("seq").alias("crash_seq"), F.col("id").alias("crash_id"), "error_signature"), spans, ["project_id"], "crash_seq", "low", "high")
-    latest = hits.groupBy(*chain, "round").agg(F.max_by("error_signature", F.struct("crash_seq", "crash_id")).alias("signature"))
-    return spans.join(latest, [*chain, "round"], "left")
+    seen = crashes.where("error_signature is not null and seq is not null").select("project_id", F.col("seq").alias("crash_seq"), F.col("id").alias("crash_id"), F.col("error_signature").alias("signature"))
+    closed = latest(spans.where("high is not null"), seen, ["project_id"], "high", "crash_seq", "signature", "crash_id")
+    final = seen.groupBy("project_id").agg(F.max_by(F.struct("signature", "crash_seq"), F.struct("crash_seq", "crash_id")).alias("f"))
+    tails = spans.where("high is null").join(final, "project_id", "left").select(*spans.columns, F.col("f.signature").alias("signature"), F.col("f.crash_seq").alias("signature_at"))
+    rows = closed.select(*spans.columns, "signature", "signature_at").unionByName(tails)
+    return rows.withColumn("signature", F.when(F.col("signature_at") > F.col("low"), F.col("signature"))).drop("signature_at")
 
 
 def error_evolution(rounds: DataFrame, chain: list[str]) -> DataFrame:

@@ -175,6 +175,17 @@ def test_nearest_against_comparison(spark, width):
         assert got[i] == (near[0][2] if near else None)
 
 
+@pytest.mark.parametrize("width", [1, 6, 1000])
+def test_latest_against_comparison(spark, width):
+    rng = random.Random(11)
+    left = [(i, rng.choice((1, 2, 3)), rng.randrange(100)) for i in range(60)]
+    right = [(rng.choice((1, 2)), rng.randrange(100), f"v{v}", v) for v in range(30)]
+    got = {r.i: (r.v, r.v_at) for r in intervals.latest(spark.createDataFrame(left, "i long, p long, t long"), spark.createDataFrame(right, "p long, u long, v string, k long"), ["p"], "t", "u", "v", "k", width).collect()}
+    for i, p, t in left:
+        before = sorted((u, k, v) for q, u, v, k in right if q == p and u <= t)
+        assert got[i] == ((before[-1][2], before[-1][0]) if before else (None, None))
+
+
 def test_longest_prefix(spark):
     files = spark.createDataFrame([("/a/b/c.py",), ("/a/x.py",), ("/ab/y.py",)], "path string")
     roots = spark.createDataFrame([("/a", 1), ("/a/b", 2)], "root_path string, project long")
