@@ -71,9 +71,23 @@ def shared_successors(edges: DataFrame, frm: str, to: str, members: DataFrame |
 
 
 def bounded_reach(edges: DataFrame, frm: str, to: str, members: DataFrame, most: int = REACH) -> DataFrame:
-    """(node, peer, steps) over shared-successor links up to `most` steps from the members."""
-    links = shared_successors(edges, frm, to)
-    return closure(links, "node", "peer", members, most).where("node <> ancestor").select("node", F.col("ancestor").alias("peer"), F.col("depth").alias("steps"))
+    """(node, peer, steps) over shared-successor links up to `most` steps from the members.
+
+    Each step goes to the successors and back to their predecessors; pairs of predecessors are never made, so a popular
+    successor costs its edges once for each member that reaches it.
+    """
+    e = stored(edges.select(F.col(frm).alias("at"), F.col(to).alias("succ")).distinct())
+    known = stored(members.select("node", F.col("node").alias("peer")).distinct())
+    level, found = known, []
+    for step in range(1, most + 1):
+        via = level.withColumnRenamed("peer", "at").join(e, "at").select("node", "succ").distinct()
+        peers = via.join(e.withColumnRenamed("at", "peer"), "succ").select("node", "peer").distinct()
+        level = stored(peers.join(known, ["node", "peer"], "left_anti"))
+        found.append(level.withColumn("steps", F.lit(step).cast("long")))
+        if level.isEmpty():
+            break
+        known = known.unionByName(level)
+    return reduce(DataFrame.unionByName, found)
 
 
 def cone_with_depth(calls: DataFrame, seeds: DataFrame) -> DataFrame:
