@@ -25,7 +25,7 @@ from .common import map_texts
 #: Ends the last symbol of a word inside the automaton; byte symbols never use this character.
 END = "\0"
 #: Words longer than this are encoded anew each time, others are remembered.
-REMEMBERED_CHARS, REMEMBERED_WORDS, REMEMBERED_PAIRS = 64, 200_000, 300_000
+REMEMBERED_CHARS, REMEMBERED_WORDS, REMEMBERED_PAIRS = 64, 120_000, 200_000
 
 
 def byte_symbols() -> list[str]:

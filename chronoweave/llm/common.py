@@ -17,7 +17,7 @@ __all__ = ["BLANKS", "SLICE_CHARS", "drop_stored", "map_texts", "plain", "scratc
 #: Space, tab, line feed, vertical tab, form feed, carriage return: what parts words.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Characters of text that one step of a Python worker holds.
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
