@@ -24,8 +24,8 @@ from .common import map_texts
 
 #: Ends the last symbol of a word inside the automaton; byte symbols never use this character.
 END = "\0"
-#: Words longer than this are encoded anew each time, others are remembered.
-REMEMBERED_CHARS, REMEMBERED_WORDS, REMEMBERED_PAIRS = 64, 120_000, 200_000
+#: Words longer than this are encoded anew each time; words of a generation, and pairs of tokens, that are remembered.
+REMEMBERED_CHARS, REMEMBERED_WORDS, REMEMBERED_PAIRS = 64, 120_000, 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -147,6 +147,7 @@ class WordBpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def pieces(self, text: str) -> list[str]:
         """Words as the vocabulary's file parts them. Latin texts take a short way with equal results; others go through the library."""
@@ -162,13 +163,16 @@ class WordBpe:
         return Tokenizer.from_str(self.source)
 
     def encode_piece(self, word: str) -> tuple[int, ...]:
+        """Ids of a word, remembered in two generations: what is still in use when the younger is full lives on."""
         ids = self.known.get(word)
         if ids is None:
-            byte = self.byte
-            ids = tuple(self.vocabulary.encode_word("".join([byte[b] for b in word.encode()])))
+            ids = self.older.get(word)
+            if ids is None:
+                byte = self.byte
+                ids = tuple(self.vocabulary.encode_word("".join([byte[b] for b in word.encode()])))
             if len(word) <= REMEMBERED_CHARS:
                 if len(self.known) >= REMEMBERED_WORDS:
-                    self.known.clear()
+                    self.older, self.known = self.known, {}
                 self.known[word] = ids
         return ids
 
@@ -178,9 +182,8 @@ class WordBpe:
             if part in self.specials:
                 out.append(self.specials[part])
             elif part:
-                known = self.known
                 for word in self.pieces(part):
-                    out += known.get(word) or self.encode_piece(word)
+                    out += self.known.get(word) or self.encode_piece(word)
         return out
 
     def decode(self, ids: list[int]) -> str:
