@@ -10,7 +10,7 @@ are candidates and verified; their links are closed to components.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -176,16 +176,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", com
     return base.join(of_fp, "fp").select(F.col("id").alias(id), F.col("fp").alias(fingerprint), F.col("component").alias(component))
 
 
-def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", find: Callable[..., DataFrame] | None = None) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the least id; of equal ids the least (fingerprint, text hash), of equal rows one.
 
-    Columns and their order stay, whatever their names. One join by row (id and text hash) moves each text once; it also
+    find(docs, id, text, component) gives the groups: near_duplicates, or another of its kind. Columns and their order stay, whatever their names. One join by row (id and text hash) moves each text once; it also
     brings equal rows together.
     """
     names = docs.columns
     mark = plain("_row", names)
     row = F.struct(F.col(f"`{id}`").alias("i"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
-    found = near_duplicates(docs.select(row.alias("i"), F.col(f"`{text}`").alias("t")), "i", "t", "c", "f")
+    found = (find or near_duplicates)(docs.select(row.alias("i"), F.col(f"`{text}`").alias("t")), "i", "t", "c")
     # as text, which is never null, so that the join's partitioning also serves dropDuplicates
     name = lambda i, h: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), h)
     kept = found.where("i <=> c").select(name(F.col("i.i"), F.col("i.h")).alias(mark)).distinct()

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, mixing, pii, simhash, toxicity
+from chronoweave.llm import bpe, mixing, near_copies, pii, simhash, toxicity
 from chronoweave.llm.common import plain, small_batches, stored, table
 
 
@@ -24,9 +24,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: one document of each group of near-duplicates stays, that of the least doc_id."""
+    """Operator 7: one document of each group of near-duplicates (five-word shingles, similarity 0.8 at least) stays, that
+    of the least doc_id."""
     small_batches(spark)
-    return simhash.deduplicated(docs)
+    return simhash.deduplicated(docs, find=near_copies.similar)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

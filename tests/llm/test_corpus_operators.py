@@ -363,3 +363,32 @@ def test_pipeline_against_brute_force(spark):
     for r in out:
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert (r.ids, r.decoded) == (ids, library.decode(ids, skip_special_tokens=False))
+
+
+# near copies of the pipeline
+
+
+def test_near_copies_reach_similarity_by_brute_force(spark, documents):
+    """Texts with a few words replaced; the stage keeps as many as the closure of all pairs of similarity 0.8 leaves."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        rows.append((10 * g, " ".join(words)))
+        for j in range(1, rng.randint(2, 6)):
+            copy = list(words)
+            for at in rng.sample(range(300), rng.randint(1, 9)):
+                copy[at] = f"x{rng.randrange(5000)}"
+            rows.append((10 * g + j, " ".join(copy)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(296)} for _, t in rows]
+    root, linked, far = list(range(len(rows))), 0, 0
+    prints = simhash.simhashes([t for _, t in rows])
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            linked += 1
+            far += bin((prints[i] ^ prints[j]) & (1 << 64) - 1).count("1") > 2
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    assert far > linked / 2  # the contract rule of op7 misses them
+    kept = dict(corpus_pipeline.STAGES)["near-duplicates"](spark, documents(rows), SMALL).collect()
+    assert sorted(r.doc_id for r in kept) == [rows[i][0] for i in sorted(set(root))]
