@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ from .common import map_texts, whole
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 Span = tuple[int, int, str]
+#: Rounds of message passing before the graph's extent is looked at.
+SETTLING = 100
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -98,7 +101,10 @@ class Tokens:
 
 
 def tokens_of(text: str, base: list[Span]) -> Tokens:
-    """Tokens, with edges between neighbours of one line and from each token to the last one like it."""
+    """Tokens, with edges between neighbours of one line and from each token to the hub of those like it.
+
+    The hub is the first one observed with the label that most of them are observed with, else the first one, so a repeat
+    is one edge from what was observed however many lie between."""
     spans, shapes = [], []
     for m in TOKEN.finditer(text):
         core = CORE.search(m[0][:400])
@@ -113,7 +119,7 @@ def tokens_of(text: str, base: list[Span]) -> Tokens:
                 labels[i] = LABELS.index(kind)
             i += 1
     features, chain, skip = [], [], []
-    last: dict[str, int] = {}
+    alike: dict[str, list[int]] = {}
     for i, (a, b) in enumerate(spans):
         word = text[a : min(b, a + 400)]
         digits = digits_of(word)
@@ -136,35 +142,65 @@ def tokens_of(text: str, base: list[Span]) -> Tokens:
         features.append(found)
         likeness = digits if len(digits) >= 4 else word.lower() if "@" in word else None
         if likeness:
-            if likeness in last:
-                skip.append((last[likeness], i))
-            last[likeness] = i
+            alike.setdefault(likeness, []).append(i)
+    for members in alike.values():
+        seen = Counter([labels[i] for i in members if labels[i] >= 0])
+        most = seen.most_common(1)[0][0] if seen else -1
+        hub = next(i for i in members if labels[i] == most)
+        skip += [(hub, i) for i in members if i != hub]
     return Tokens(spans, labels, features, chain, skip)
 
 
-def pass_messages(unary: np.ndarray, edges: np.ndarray, kinds: np.ndarray, pairs: np.ndarray, rounds: int = 20, damping: float = 0.3) -> np.ndarray:
+def reach(edges: np.ndarray) -> int:
+    """The greatest distance from each component's first node to others; no two nodes are more than twice that apart."""
+    peers: dict[int, list[int]] = {}
+    for a, b in edges.tolist():
+        peers.setdefault(a, []).append(b)
+        peers.setdefault(b, []).append(a)
+    known: set[int] = set()
+    out = 0
+    for start in peers:
+        level, steps = [start] if start not in known else [], 0
+        known.add(start)
+        while level := list({b for a in level for b in peers[a] if b not in known}):
+            known.update(level)
+            steps += 1
+        out = max(out, steps)
+    return out
+
+
+def pass_messages(unary: np.ndarray, edges: np.ndarray, kinds: np.ndarray, pairs: np.ndarray, rounds: int | None = None, damping: float = 0.3) -> np.ndarray:
     """Marginals [nodes, labels] by loopy sum-product in logarithms. pairs[kind] holds the symmetric log potential of an
-    edge (a, b) of that kind. Exact on trees; ends early when messages settle."""
+    edge (a, b) of that kind. Exact on trees; ends when messages settle, after `rounds` at the latest, or else after
+    enough rounds for a message to cross the graph twice. Only messages that can still move are computed again."""
     belief = unary
     if len(edges):
         source = np.concatenate([edges[:, 0], edges[:, 1]])
         target = np.concatenate([edges[:, 1], edges[:, 0]])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        potential = pairs[np.concatenate([kinds, kinds])]
+        kind = np.concatenate([kinds, kinds])
         messages = np.zeros((len(source), unary.shape[1]))
-        for _ in range(max(rounds, 1)):
-            belief = unary.copy()
-            np.add.at(belief, target, messages)
-            out = (belief[source] - messages[back])[:, :, None] + potential
+        belief = unary.copy()
+        active, done, most = np.arange(len(source)), 0, rounds
+        while len(active):
+            if most is None and done == SETTLING:
+                most = SETTLING + 4 * reach(edges)
+            if most is not None and done >= max(most, 1):
+                break
+            out = (belief[source[active]] - messages[back[active]])[:, :, None] + pairs[kind[active]]
             top = out.max(axis=1, keepdims=True)
             new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
             new -= new.max(axis=1, keepdims=True)
-            moved = np.abs(new - messages).max()
-            messages = damping * messages + (1 - damping) * new
-            if moved < 1e-4:
-                break
-        belief = unary.copy()
-        np.add.at(belief, target, messages)
+            step = (1 - damping) * (new - messages[active])
+            messages[active] += step
+            np.add.at(belief, target[active], step)
+            moved = active[np.abs(step).max(axis=1) >= 1e-5]
+            fresh = np.zeros(len(unary), bool)
+            fresh[target[moved]] = True
+            again = fresh[source]
+            again[moved] = True
+            active = np.flatnonzero(again)
+            done += 1
     p = np.exp(belief - belief.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 

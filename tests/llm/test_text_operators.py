@@ -198,3 +198,18 @@ def test_personal_data_odd_rows(odd):
 def test_words(documents):
     rows = documents([(0, None), (1, ""), (2, " \t"), (3, " a\vb\fc \x85d "), (4, "x")]).select("doc_id", common.word_count("text").alias("n")).collect()
     assert [r.n for r in sorted(rows)] == [0, 0, 0, 3 + 1, 1]
+
+
+def test_repeats_far_from_what_was_observed():
+    """A number observed once is sure at its fortieth repeat; so is the far end of a path of like tokens."""
+    text = "ring +1 (555) 123-4567 now " + " ".join(f"word and\nthen ({i % 2 + 5}55) 123-4567 or {'x' * 5}" for i in range(40))
+    found = pii.tokens_of(text, pii.base_spans(text))
+    observed = [i for i, y in enumerate(found.labels) if y > 0]
+    assert all(a in observed or b in observed for a, b in found.skip)
+    n = 41
+    unary = np.zeros((n, len(pii.LABELS)))
+    unary[0, 4] = 100.0
+    agree = np.log(np.where(np.eye(len(pii.LABELS)) > 0, 0.9999, 0.0001 / 4))
+    path = np.array([[i, i + 1] for i in range(n - 1)])
+    p = pii.pass_messages(unary, path, np.ones(n - 1, np.int64), np.stack([agree, agree]))
+    assert p[40, 4] > 0.99
