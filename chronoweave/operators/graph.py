@@ -171,25 +171,28 @@ def component_profile(nodes: DataFrame, edges: DataFrame, kind: str, k: int = 8,
     return sizes.join(best.groupBy("component").agg(shown_text.alias("most")), "component")
 
 
-def chase(redirects: DataFrame, names: DataFrame, known: DataFrame, most: int = 16) -> DataFrame:
-    """Follows (module, name) through re-exports until a known symbol, the end of the chain, a cycle or `most` steps.
+def chase(redirects: DataFrame, names: DataFrame, known: DataFrame) -> DataFrame:
+    """Follows (module, name) through re-exports until a known symbol, the end of the chain or a cycle.
 
     redirects: (barrel_module, exported_name, target_module, target_name); an exact entry comes before a `*` one, whose
     name goes on unchanged. names: (module, name). known: (module, name) symbols. Result: names with resolved module and
-    name, null if the chain ends at no symbol. A cycle never reaches a symbol, so it ends at the step limit, as null.
+    name, null if the chain ends at no symbol. Where a name has been before it does not go on, so chains may have any length and
+    a cycle ends as null.
     """
     exact = redirects.where("exported_name <> '*'").select(F.col("barrel_module").alias("at"), F.col("exported_name").alias("as"), F.col("target_module").alias("to"), F.col("target_name").alias("to_name"))
     star = redirects.where("exported_name = '*'").select(F.col("barrel_module").alias("at"), F.col("target_module").alias("star_to"))
     symbols = known.select(F.col("module").alias("at"), F.col("name").alias("as"), F.lit(True).alias("found"))
     rows = names.select("module", "name", F.col("module").alias("at"), F.col("name").alias("as")).distinct()
-    done = []
-    for _ in range(most):
+    done, seen = [], []
+    while True:
         rows = stored(rows.join(symbols, ["at", "as"], "left"))
         done.append(rows.where("found").select("module", "name", F.col("at").alias("to_module"), F.col("as").alias("to_name")))
         going = rows.where("found is null").join(exact, ["at", "as"], "left").join(star, "at", "left").where("to is not null or star_to is not null")
-        if going.isEmpty():
-            break
+        seen.append(rows.select("module", "name", "at", "as"))
         rows = going.select("module", "name", F.coalesce("to", "star_to").alias("at"), F.when(F.col("to").isNotNull(), F.coalesce("to_name", "as")).otherwise(F.col("as")).alias("as")).distinct()
+        rows = stored(rows.join(reduce(DataFrame.unionByName, seen), ["module", "name", "at", "as"], "left_anti"))
+        if rows.isEmpty():
+            break
     found = reduce(DataFrame.unionByName, done).groupBy("module", "name").agg(F.min(F.struct("to_module", "to_name")).alias("r"))
     return names.select("module", "name").distinct().join(found, ["module", "name"], "left").select("module", "name", "r.to_module", "r.to_name")
 

@@ -296,3 +296,12 @@ def test_edited_cases(spark):
     cases = spark.createDataFrame([("tests.a.TestK", "test_x[1]"), ("tests.a", "test_y"), ("tests.a.TestL", "test_z"), ("tests.b", "test_w")], "classname string, name string")
     edited = spark.createDataFrame([("TestK.test_x",), ("test_y",), ("TestL",), ("Other.test_w",)], "define_name string")
     assert sorted(r.name for r in association.edited_cases(cases, edited).collect()) == ["test_x[1]", "test_y", "test_z"]
+
+
+def test_chase_follows_chains_of_any_length_and_ends_in_cycles(spark):
+    steps = [(f"m{i}", "a", f"m{i + 1}", "a") for i in range(20)] + [("c0", "*", "c1", None), ("c1", "*", "c0", None)]
+    redirects = spark.createDataFrame(steps, "barrel_module string, exported_name string, target_module string, target_name string")
+    names = spark.createDataFrame([("m0", "a"), ("c0", "a")], "module string, name string")
+    known = spark.createDataFrame([("m20", "a")], "module string, name string")
+    found = {r.module: (r.to_module, r.to_name) for r in graph.chase(redirects, names, known).collect()}
+    assert found == {"m0": ("m20", "a"), "c0": (None, None)}
