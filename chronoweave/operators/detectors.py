@@ -128,8 +128,8 @@ def toolchain_missing(changed: DataFrame, has_toolchain: bool) -> DataFrame:
     return _signal(rows if not has_toolchain else rows.limit(0), "ts_toolchain_missing", F.col("file_path"))
 
 
-def lateral_context(targets: DataFrame, calls: DataFrame, edges: DataFrame, changed_seq: DataFrame, low: int, high: int, shown: int = 5) -> DataFrame:
-    """For each target node its callees changed in the window, and peers that share a successor.
+def lateral_context(targets: DataFrame, calls: DataFrame, edges: DataFrame, changed_seq: DataFrame, low: int, high: int) -> DataFrame:
+    """C26 and J12's neighbours: for each target node its callees changed in the window, and peers that share a successor.
 
     targets: (node); calls: (caller, callee); edges: (from_det, to_det); changed_seq: (node, seq) of last changes.
     """
@@ -144,6 +144,22 @@ def lateral_context(targets: DataFrame, calls: DataFrame, edges: DataFrame, chan
     return targets.join(called, "node", "left").join(peers, "node", "left").fillna(0, ["callees_changed", "peers", "peers_changed"])
 
 
+def lateral_structure(targets: DataFrame, calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """J12's other dimensions: (node, shared_ancestry, component_size) of each target. shared_ancestry holds (callee,
+    omega) of the callees with an ancestor in common, most first; a node without edges is a component of its own."""
+    from .components import components
+    from .graph import closure, common_ancestors
+
+    asked = targets.join(calls.select(F.col("caller").alias("node"), "callee").distinct(), "node").select(F.col("node").alias("u"), F.col("callee").alias("v"))
+    seeds = asked.select(F.col("u").alias("node")).unionByName(asked.select(F.col("v").alias("node")))
+    omega = common_ancestors(closure(edges, "to_det", "from_det", seeds).where("node <> ancestor"), asked)
+    order = F.array_sort(F.collect_list(F.struct((-F.col("common")).alias("less"), F.col("v").alias("callee"))))
+    shared = omega.groupBy(F.col("u").alias("node")).agg(F.transform(order, lambda x: F.struct(x["callee"].alias("callee"), (-x["less"]).alias("omega"))).alias("shared_ancestry"))
+    of = components(edges, "from_det", "to_det", targets)
+    sizes = of.groupBy("component").agg(F.count(F.lit(1)).alias("component_size"))
+    return targets.join(shared, "node", "left").join(of.join(sizes, "component").select("node", "component_size"), "node", "left")
+
+
 def direction_note(rows: DataFrame) -> DataFrame:
     """The first of six hints that holds, for rows with failing, callees_changed, peers_changed, peers, cone."""
     note = (

@@ -305,3 +305,11 @@ def test_chase_follows_chains_of_any_length_and_ends_in_cycles(spark):
     known = spark.createDataFrame([("m20", "a")], "module string, name string")
     found = {r.module: (r.to_module, r.to_name) for r in graph.chase(redirects, names, known).collect()}
     assert found == {"m0": ("m20", "a"), "c0": (None, None)}
+
+
+def test_lateral_structure_has_ancestry_and_component_size(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (9, 2), (9, 3), (2, 4)], "from_det long, to_det long")
+    calls = spark.createDataFrame([(2, 3), (2, 4), (2, 7)], "caller long, callee long")
+    targets = spark.createDataFrame([(2,), (7,)], "node long")
+    got = {r.node: (r.shared_ancestry and [tuple(x) for x in r.shared_ancestry], r.component_size) for r in detectors.lateral_structure(targets, calls, edges).collect()}
+    assert got == {2: ([(3, 2), (4, 2)], 5), 7: (None, 1)}
