@@ -189,7 +189,7 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, id: str = "vec_
     length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = length.d if length else 1
     rows = rows.where(F.size("v") == dim)
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
+    ranked = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     distinct = stored(ranked.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("key", F.xxhash64("v")))
     facts = distinct.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
     count, longest = facts.n, float(facts.m or 0.0) ** 0.5

@@ -392,3 +392,9 @@ def test_near_copies_reach_similarity_by_brute_force(spark, documents):
     assert far > linked / 2  # the contract rule of op7 misses them
     kept = dict(corpus_pipeline.STAGES)["near-duplicates"](spark, documents(rows), SMALL).collect()
     assert sorted(r.doc_id for r in kept) == [rows[i][0] for i in sorted(set(root))]
+
+
+def test_copies_of_one_id_leave_room_for_other_ids(spark):
+    v = [1.0, 0.0, 2.0, 0.5]
+    table = spark.createDataFrame([(0, v)] * 30 + [(i, v) for i in (1, 2, 3)], "vec_id long, embedding array<double>")
+    assert {r.vec_id for r in ann.neighbours(table).collect() if r.query_id == 0} == {1, 2, 3}
