@@ -123,6 +123,33 @@ def test_budget_is_met_as_nearly_as_lengths_allow(counts, part):
     assert abs(budget - int((lengths * take).sum())) == min(abs(budget - s) for s in sums)
 
 
+@pytest.mark.parametrize(
+    ("counts", "budget"),
+    [({100003: 1, 100019: 1, 150001: 1, 90001: 1, 80021: 1}, 180040), ({70001: 3, 65537: 2, 99991: 4, 131071: 1}, 300_000), ({200_000: 5, 300_000: 3, 7: 1}, 900_003), ({66_000 + 6 * i: 1 for i in range(12)}, 401_000), ({1_000_003: 2, 3: 30_000}, 1_050_001)],
+)
+def test_budgets_of_long_documents_are_met_exactly(counts, budget):
+    """Lengths beyond the program's first window: as near as any choice comes."""
+    lengths, n = np.array(list(counts)), np.array(list(counts.values()))
+    take = mixing.fit_budget(lengths, n, budget)
+    assert (take >= 0).all() and (take <= n).all()
+    sums = {0}
+    for size, most in counts.items():
+        sums = {s + k * size for s in sums for k in range(most + 1)}
+    assert abs(budget - int((lengths * take).sum())) == min(abs(budget - s) for s in sums)
+
+
+def test_choice_is_the_same_whether_halved_or_not(monkeypatch):
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        lengths = np.unique(rng.integers(1, 5000, 12))
+        counts = rng.integers(1, 5, len(lengths))
+        budget = int((lengths * counts).sum() * rng.random())
+        want = mixing.fit_budget(lengths, counts, budget)
+        monkeypatch.setattr(mixing, "LEVELS", 1000)
+        assert (mixing.fit_budget(lengths, counts, budget) == want).all()
+        monkeypatch.undo()
+
+
 def slow_targets(sizes):
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
