@@ -2,10 +2,15 @@
 
 Two zstandard dictionaries are trained: one on passages of ordinary rows, one on the passages that set toxic rows apart
 (runs of words that hold letter groups which toxic rows have far more often). Both compressors share the ordinary
-dictionary's content, and the toxic one's adds its own, so on ordinary words the two agree. A text is cut into windows
-twice, the second time half a window later, so that what one cut parts is whole in the other. Each window's margin is the
-bytes that the toxic dictionary saves. The largest margins, their mean, and how many reach certain sizes feed a logistic
-threshold, calibrated on rows that the dictionaries were not trained on.
+dictionary's content, and the toxic one's adds its own, so on ordinary words the two agree. Dictionaries trained on all
+words of their class do not find toxic rows that differ by a few words only; README gives the figures. A text is cut into
+windows twice, the second time half a window later, so that what one cut parts is whole in the other. Each window's margin
+is the bytes that the toxic dictionary saves. The largest margins, their mean, and how many reach certain sizes feed a
+logistic threshold, calibrated on rows that the dictionaries were not trained on.
+
+What is sampled, for fitting only: TOXIC_ROWS and ORDINARY_ROWS labelled rows; of a training row longer than
+TRAIN_CHARS characters a stretch of that length; every k-th of more than TRAIN_WINDOWS ordinary windows. Of a trained
+dictionary its content is used, without the entropy tables at its head. Calibration and scores read whole texts.
 """
 
 from __future__ import annotations
@@ -16,16 +21,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import map_texts, stored
 
 #: Bytes of a window, of letter groups, of the two dictionaries; the compressors' level.
 WINDOW, GROUP, ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 64, 5, 110_000, 2_048, 3
 #: Labelled rows used at most: toxic, ordinary. Half train the dictionaries, half calibrate.
 TOXIC_ROWS, ORDINARY_ROWS = 1600, 4800
+#: Characters of a training row, and ordinary windows, that reach the driver and the trainer at most.
+TRAIN_CHARS, TRAIN_WINDOWS = 32_768, 20_000
 #: Margins in bytes whose windows are counted; where the two cuts begin, in characters; features of both.
 MARGINS, CUTS = (2, 3, 4, 5, 6, 8), (0, WINDOW // 2)
 FEATURES = len(CUTS) * (len(MARGINS) + 6)
@@ -119,21 +126,25 @@ class Scorer:
         return (1 / (1 + np.exp(-np.clip(x @ m.weight + m.bias, -30, 30)))).tolist()
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model:
-    """A model of labelled texts. Every second row trains the dictionaries, the others calibrate."""
+def trained(toxic: list[str], ordinary: list[str]) -> Model:
+    """Dictionaries of training texts; nothing is calibrated yet."""
     none = np.zeros(FEATURES)
-    if len(toxic) < 2 or len(ordinary) < 2:  # nothing to tell apart: the share of toxic rows
-        share = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1) if toxic or ordinary else 0.01
-        return Model(b"", b"", none, none + 1, none, float(np.log(share / (1 - share))))
-    telling = telling_groups(toxic[::2], ordinary[::2])
-    apart = [w for t in toxic[::2] for w in t.lower().encode().split() if groups(w) & telling]
+    if not toxic or not ordinary:
+        return Model(b"", b"", none, none + 1, none, 0.0)
+    telling = telling_groups(toxic, ordinary)
+    apart = [w for t in toxic for w in t.lower().encode().split() if groups(w) & telling]
     passages = [b" ".join(apart[i : i + 6]) for i in range(0, len(apart), 6)]
-    base = [w for t in ordinary[::2] for w in windows(t, 2 * WINDOW)]
-    base = base[:: len(base) // 20_000 + 1]
-    model = Model(trained_content(base, ORDINARY_BYTES), trained_content(passages, TOXIC_BYTES), none, none + 1, none, 0.0)
-    scorer = model.scorer()
-    x = np.array([scorer.features(t) for t in (*toxic[1::2], *ordinary[1::2])])
-    y = np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
+    base = [w for t in ordinary for w in windows(t, 2 * WINDOW)]
+    base = base[:: len(base) // TRAIN_WINDOWS + 1]
+    return Model(trained_content(base, ORDINARY_BYTES), trained_content(passages, TOXIC_BYTES), none, none + 1, none, 0.0)
+
+
+def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
+    """Fit the logistic threshold to features [rows, FEATURES] and labels; with one label only, its smoothed share."""
+    if not model.ordinary or not (0 < y.sum() < len(y)):
+        share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
+        model.bias = float(np.log(share / (1 - share)))
+        return
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.hstack([(x - model.mean) / model.scale, np.ones((len(x), 1))])
     w = np.zeros(FEATURES + 1)
@@ -145,26 +156,45 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
         step = np.linalg.solve(curve, slope)
         w += step / max(1.0, np.abs(step).max() / 2)
     model.weight, model.bias = w[:-1], float(w[-1])
-    return model
 
 
 def learned(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model:
-    """A model of at most toxic_rows and ordinary_rows labelled documents, chosen by a hash of the id. Only their ids are
-    broadcast and only their texts reach the driver. Rows without label, id or text are not used."""
+    """A model of at most toxic_rows and ordinary_rows labelled documents, chosen by a hash of the id; every second one
+    trains the dictionaries, the others calibrate.
+
+    Only the chosen ids are broadcast, only TRAIN_CHARS characters of a training text and the features of a calibrating
+    one reach the driver. Rows without label, id or text are not used. An id with several labels is toxic if any says so;
+    one with several texts counts once, with the least. With no labels of either kind every score is the smoothed share of
+    toxic rows; empty tables give such a model, too.
+    """
     known = labels.select(F.col(id).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
     order = F.xxhash64("i")
     chosen = known.where("y = 1").orderBy(order, "i").limit(toxic_rows).unionByName(known.where("y = 0").orderBy(order, "i").limit(ordinary_rows))
     rows = docs.select(F.col(id).alias("i"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(chosen), "i")
-    rows = rows.groupBy("i", "y").agg(F.min("t").alias("t")).select("t", "y", order.alias("h")).collect()  # repeated ids once
-    rows.sort(key=lambda r: (r.h, r.t))
-    return fit([r.t for r in rows if r.y == 1], [r.t for r in rows if r.y == 0])
+    rows = rows.groupBy("i", "y").agg(F.min("t").alias("t")).withColumn("h", order)
+    rows = stored(rows.withColumn("turn", F.row_number().over(Window.partitionBy("y").orderBy("h", "i")) % 2))  # of bounded tables
+    begin = F.pmod(F.col("h"), F.greatest(F.length("t") - TRAIN_CHARS, F.lit(0)) + 1)
+    train = rows.where("turn = 1").select("y", "h", "i", F.col("t").substr((begin + 1).cast("int"), F.lit(TRAIN_CHARS)).alias("t")).collect()
+    train.sort(key=lambda r: (r.h, r.i))
+    model = trained([r.t for r in train if r.y == 1], [r.t for r in train if r.y == 0])
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        scorer = sent.value.scorer()
+        return lambda texts: [[scorer.features(t) for t in texts]]
+
+    features = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))])
+    rest = map_texts(rows.where("turn = 0").select("y", "h", "i", "t"), "t", start, features, keep_text=False).collect() if model.ordinary else train
+    rest.sort(key=lambda r: (r.h, r.i))
+    calibrate(model, np.array([r.x for r in rest] if model.ordinary else np.zeros((len(rest), FEATURES))).reshape(-1, FEATURES), np.array([float(r.y) for r in rest]))
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score", keep_text: bool = True) -> DataFrame:
     """docs with a score between 0 and 1 for every whole text, higher the likelier it is toxic.
 
-    Null and empty texts have no window and get the score of a text without any margin. Only the text is looked at.
-    Extra columns stay, one named like the result is replaced. Rows are independent: no shuffle; a text costs two
+    Null and empty texts have no window and get the score of a text without any margin. Only the text is looked at, so
+    equal texts have equal scores and repeated rows stay; an empty table gives an empty one. Extra columns stay, one named like the result is replaced. Rows are independent: no shuffle; a text costs two
     compressions of each window of both cuts, however long it is.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -137,6 +137,43 @@ def test_toxicity_odd_rows(spark, odd):
     assert toxicity.scored(empty, toxicity.learned(empty, some)).count() == 0
 
 
+def slow_score(model, text):
+    """The score by its definition: lengths of every window under both dictionaries, features, logistic threshold."""
+    import math
+
+    import zstandard
+
+    def length(content, w):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=3, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress(w))
+
+    x = []
+    for start in (0, 32):
+        saved = [length(model.ordinary, w) - length(model.ordinary + model.toxic, w) for w in toxicity.windows(text[start:])]
+        if not saved:
+            x += [0.0] * 12
+            continue
+        top = sorted([s for s in saved if s > 0], reverse=True)
+        x += [top[i] if i < len(top) else 0 for i in range(3)]
+        x += [sum(saved) / len(saved), sum(s for s in top if s >= 3) / math.sqrt(len(saved))]
+        x += [math.log(1 + len([s for s in saved if s >= k])) for k in (2, 3, 4, 5, 6, 8)] + [math.log(1 + len(saved))]
+    return 1 / (1 + math.exp(-sum((v - m) / d * w for v, m, d, w in zip(x, model.mean, model.scale, model.weight, strict=True)) - model.bias))
+
+
+def test_scores_equal_their_definition(spark, documents):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["anti", "here", "other", "ones", "blockhead" if i % 3 == 0 else "tion"]) for _ in range(rng.randint(5, 120)))) for i in range(200)]
+    rows += [(1000, None), (1001, ""), (1002, rows[0][1]), (1002, rows[0][1]), (1003, "other ones " * 4000)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    docs = documents(rows, Score="clash")
+    model = toxicity.learned(docs, labels.where(~toxicity.held_out()))
+    assert model.ordinary and model.toxic
+    found = sorted(((r.doc_id, r.score) for r in toxicity.scored(docs, model).collect()))
+    want = sorted((i, slow_score(model, t or "")) for i, t in rows)
+    assert [i for i, _ in found] == [i for i, _ in want]
+    assert np.allclose([s for _, s in found], [s for _, s in want])
+
+
 def test_windows_hold_the_whole_text():
     for text in ("", "a", "word " * 500, "x" * 1000, "ü" * 333 + " b"):
         cut = toxicity.windows(text)
