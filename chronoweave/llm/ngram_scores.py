@@ -1,28 +1,35 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-The corpus is parted into slices of documents. Each slice explodes its documents into n-grams of every order up to
-`order` and sends each distinct one once, with its count there, to the part of the count table that its hash falls in.
-A part adds the counts of all slices and answers each slice with the totals of the n-grams it asked for; the slice joins
-them to its documents' n-grams again and sums the logarithms per document. N-grams travel as sorted columns of 64-bit
-hashes, thousands to a row, and totals come back in the same order, so about 7 bytes of each distinct n-gram of a slice
-are shuffled. Texts are shuffled once; both uses of the slices read the same exchange.
+The corpus is packed into slices of documents where it is read. Each slice explodes its documents into n-grams of every
+order up to `order` and sends each distinct one once, with its count there, to the part of the count table that its hash
+falls in. A part adds the counts of all slices and answers each slice with the totals of the n-grams it asked for; the
+slice joins them to its documents' n-grams again and sums the logarithms per document. N-grams travel as sorted columns of
+64-bit hashes, thousands to a row (one n-gram to a row would shuffle over ten times the corpus), and totals come back in
+the same order. Texts are shuffled once, compressed; both uses of the slices read the same exchange. Two n-grams with one
+hash would share a count: of 10**9 distinct ones less than one in 10**10 does.
 
 A document is scored with the counts of all other documents: its own occurrences are subtracted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trim, whole
+from .common import slices, trim, whole
 
 #: Factor of each step back; bytes of text in a slice, and for each part of the count table. Both bound what a worker
 #: holds, so their numbers grow with the corpus; a slice sends a row to a part only if it has n-grams there.
 ALPHA, SLICE_BYTES, PART_BYTES = 0.4, 4 << 20, 16 << 20
+ORDER = 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Keys of the numbers of words and of documents, counted like n-grams.
 WORDS, DOCUMENTS = 1, 2
@@ -90,13 +97,25 @@ def bounds(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Byte planes: the shuffle's compression takes away those that are all zero."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    """Byte planes, compressed: those that are all zero cost nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes())
 
 
 def unpacked(data: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()
+
+
+def pack_texts(texts: list[str]) -> tuple[list[int], bytes]:
+    """Their bytes' lengths, and their bytes, compressed."""
+    data = [t.encode() for t in texts]
+    return [len(x) for x in data], zstandard.ZstdCompressor(level=3).compress(b"".join(data))
+
+
+def unpack_texts(lengths: list[int], data: bytes) -> list[str]:
+    whole_, ends = zstandard.ZstdDecompressor().decompress(data), np.cumsum([0, *lengths]).tolist()
+    return [whole_[a:b].decode() for a, b in zip(ends, ends[1:])]
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -135,24 +154,50 @@ def document_scores(texts: list[str], order: int, alpha: float, answers: list[np
     return n_words, np.bincount(owner, score, len(texts)), np.bincount(owner, top, len(texts)).astype(np.int64)
 
 
-def scored(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = 2, alpha: float = ALPHA) -> DataFrame:
+def scored(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
     """(id, n_words, n_seen, log_score): the stupid-backoff score of every whole text with the counts of all others.
 
     S(w | context) is count(context w) / count(context) if the n-gram occurs in another document, else alpha times S with
     a context shorter by a word; without context count(w) / words; for a word that no other document has, alpha / (words
     + 1). log_score sums the natural logarithms; n_seen counts words whose longest n-gram occurs elsewhere. Null and empty
     texts have no words and the score 0 (a document all the same). Repeated rows score each other. An empty table gives
-    an empty one. A very common n-gram is one number from each slice, so it makes no task heavier.
+    an empty one; other columns are not looked at, whatever their names. A very common n-gram is one number from each
+    slice, and equal rows lie in the slices of where they are read, so neither makes a task heavier. A text longer than a
+    slice is a slice. docs should be a table or a filter of one: slices follow the order in which rows are read, which a
+    repeated task must find unchanged.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
-    slices = max(2 * parts, -(-total // SLICE_BYTES))
     rows = docs.select(F.col(id).alias("id"), whole(text).alias("text"))
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(slices)).cast("int")).repartition(parts, "slice")
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def made() -> pa.RecordBatch:
+            lengths, data = pack_texts(texts)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["slice", "ids", "lengths", "data"])
+
+        for part, some in slices(batches, "text", SLICE_BYTES // 4):
+            id_type = part.column(0).type
+            for i, t in zip(part.column(0).to_pylist(), some, strict=True):
+                ids.append(i)
+                texts.append(t)
+                held += len(t)
+            if held >= SLICE_BYTES:
+                yield made()
+                number, ids, texts, held = number + 1, [], [], 0
+        if ids:
+            yield made()
+
+    sliced = rows.mapInArrow(pack, f"slice long, ids array<{kind}>, lengths array<long>, data binary").repartition(parts, "slice")
+
+    def texts_of(pdf: pd.DataFrame) -> list[str]:
+        return [t for n, x in zip(pdf["lengths"], pdf["data"], strict=True) for t in unpack_texts(list(n), x)]
 
     def ask(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = slice_counts(pdf["text"].tolist(), order)
+        keys, counts = slice_counts(texts_of(pdf), order)
         at = bounds(keys, parts)
         full = [p for p in range(parts) if at[p] < at[p + 1]]
         trim()
@@ -169,37 +214,42 @@ def scored(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
 
     def score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         totals = [unpacked(x, np.uint64) for x in answers.sort_values("part")["totals"]]
-        n, logs, seen = document_scores(docs["text"].tolist(), order, alpha, totals)
+        n, logs, seen = document_scores(texts_of(docs), order, alpha, totals)
         trim()
-        return pd.DataFrame({"id": docs["id"], "n_words": n, "n_seen": seen, "log_score": logs})
+        return pd.DataFrame({"id": [i for ids in docs["ids"] for i in ids], "n_words": n, "n_seen": seen, "log_score": logs})
 
-    kind = rows.schema["id"].dataType.simpleString()
-    asked = rows.groupBy("slice").applyInPandas(ask, "part int, slice int, keys binary, counts binary")
-    answered = asked.groupBy("part").applyInPandas(answer, "slice int, part int, totals binary")
-    out = rows.groupBy("slice").cogroup(answered.groupBy("slice")).applyInPandas(score, f"id {kind}, n_words long, n_seen long, log_score double")
+    asked = sliced.groupBy("slice").applyInPandas(ask, "part int, slice long, keys binary, counts binary")
+    answered = asked.groupBy("part").applyInPandas(answer, "slice long, part int, totals binary")
+    out = sliced.groupBy("slice").cogroup(answered.groupBy("slice")).applyInPandas(score, f"id {kind}, n_words long, n_seen long, log_score double")
     return out.withColumnRenamed("id", id)
 
 
-#: The same in DuckDB's SQL, for order 2, rounded like the query.
+#: The same in DuckDB's SQL, for order 3, rounded like the query.
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-t AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS cur, unnest(list_concat([''], w[:-2])) AS prev FROM d WHERE len(w) > 0),
+t AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS cur, unnest(list_concat([''], w[:-2])) AS p1, unnest(list_concat(['', ''], w[:-3])[:len(w)]) AS p2 FROM d WHERE len(w) > 0),
 size AS (SELECT r, len(w) AS n FROM d),
 allw AS (SELECT sum(n) AS words, count(*) AS docs FROM size),
-uni AS (SELECT cur AS word, count(*) AS c FROM t GROUP BY 1),
 uni_own AS (SELECT r, cur AS word, count(*) AS c FROM t GROUP BY 1, 2),
-bi AS (SELECT prev, cur, count(*) AS c FROM t GROUP BY 1, 2),
-bi_own AS (SELECT r, prev, cur, count(*) AS c FROM t GROUP BY 1, 2, 3),
+uni AS (SELECT word, sum(c) AS c FROM uni_own GROUP BY 1),
+bi_own AS (SELECT r, p1, cur, count(*) AS c FROM t GROUP BY 1, 2, 3),
+bi AS (SELECT p1, cur, sum(c) AS c FROM bi_own GROUP BY 1, 2),
+tri_own AS (SELECT r, p2, p1, cur, count(*) AS c FROM t GROUP BY 1, 2, 3, 4),
+tri AS (SELECT p2, p1, cur, sum(c) AS c FROM tri_own GROUP BY 1, 2, 3),
 x AS (
-  SELECT t.r, b.c - bo.c AS c2, u.c - uo.c AS c1,
-    CASE WHEN t.prev = '' THEN a.docs - 1 ELSE p.c - po.c END AS ctx, a.words - s.n AS rest
-  FROM t JOIN bi b USING (prev, cur) JOIN bi_own bo ON bo.r = t.r AND bo.prev = t.prev AND bo.cur = t.cur
+  SELECT t.r, tr.c - tro.c AS c3, b.c - bo.c AS c2, u.c - uo.c AS c1,
+    CASE WHEN t.p1 = '' THEN a.docs - 1 ELSE q.c - qo.c END AS ctx2,
+    CASE WHEN t.p1 = '' THEN a.docs - 1 ELSE p.c - po.c END AS ctx1, a.words - s.n AS rest
+  FROM t JOIN tri tr USING (p2, p1, cur) JOIN tri_own tro ON tro.r = t.r AND tro.p2 = t.p2 AND tro.p1 = t.p1 AND tro.cur = t.cur
+  JOIN bi b ON b.p1 = t.p1 AND b.cur = t.cur JOIN bi_own bo ON bo.r = t.r AND bo.p1 = t.p1 AND bo.cur = t.cur
   JOIN uni u ON u.word = t.cur JOIN uni_own uo ON uo.r = t.r AND uo.word = t.cur
-  LEFT JOIN uni p ON p.word = t.prev LEFT JOIN uni_own po ON po.r = t.r AND po.word = t.prev
+  LEFT JOIN bi q ON q.p1 = t.p2 AND q.cur = t.p1 LEFT JOIN bi_own qo ON qo.r = t.r AND qo.p1 = t.p2 AND qo.cur = t.p1
+  LEFT JOIN uni p ON p.word = t.p1 LEFT JOIN uni_own po ON po.r = t.r AND po.word = t.p1
   JOIN size s ON s.r = t.r, allw a),
 y AS (
-  SELECT r, count(*) FILTER (WHERE c2 > 0) AS n_seen,
-    sum(CASE WHEN c2 > 0 THEN ln(c2) - ln(greatest(ctx, 1)) WHEN c1 > 0 THEN ln(0.4) + ln(c1) - ln(greatest(rest, 1)) ELSE 2 * ln(0.4) - ln(rest + 1) END) AS s
+  SELECT r, count(*) FILTER (WHERE c3 > 0) AS n_seen,
+    sum(CASE WHEN c3 > 0 THEN ln(c3) - ln(greatest(ctx2, 1)) WHEN c2 > 0 THEN ln(0.4) + ln(c2) - ln(greatest(ctx1, 1))
+      WHEN c1 > 0 THEN 2 * ln(0.4) + ln(c1) - ln(greatest(rest, 1)) ELSE 3 * ln(0.4) - ln(rest + 1) END) AS s
   FROM x GROUP BY r)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_seen, 0) AS BIGINT) AS n_seen, round(coalesce(s, 0), 4) AS log_score,
   round(coalesce(s, 0) / greatest(len(w), 1), 6) AS per_word
