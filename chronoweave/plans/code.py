@@ -111,7 +111,7 @@ function plain(x): { n: number } { if (x && /a{/.test(x)) { throw new Error('%4$
 
 @query("""WITH o AS (SELECT *, 'm' || p_partkey || '.ts' AS path FROM part)
 SELECT path, CASE i WHEN 4 THEN 'make_' || p_partkey ELSE q END AS qualified_name, CASE i WHEN 1 THEN 5 WHEN 2 THEN 6 WHEN 4 THEN 8 ELSE 9 END::BIGINT AS start_line, CASE i WHEN 1 THEN 'value' WHEN 4 THEN 'value' WHEN 2 THEN 'none' ELSE 'bare' END AS kind,
-CASE i WHEN 2 THEN 'this.load' WHEN 4 THEN 'other' WHEN 5 THEN 'Error' ELSE '' END AS calls, CASE i WHEN 2 THEN 'Gt' WHEN 4 THEN 'Or' WHEN 5 THEN 'And' ELSE '' END AS operators,
+CASE i WHEN 2 THEN 'this.load' WHEN 4 THEN 'other' WHEN 5 THEN 'Error' ELSE '' END AS calls, CASE i WHEN 2 THEN '>' WHEN 4 THEN '||' WHEN 5 THEN '&&' ELSE '' END AS operators,
 CASE i WHEN 2 THEN 'async,attr_write' WHEN 4 THEN 'async' WHEN 5 THEN 'raises' ELSE '' END AS effects, CASE i WHEN 1 THEN '0,0,false' WHEN 2 THEN '0,1,true' WHEN 4 THEN '1,1,false' ELSE '1,0,false' END AS params
 FROM o, (VALUES (1, 'Box.get size'), (2, 'Box.grow'), (4, ''), (5, 'plain')) v(i, q)""")
 def js_defines(spark, sf_dir):

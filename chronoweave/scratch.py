@@ -14,9 +14,12 @@ _WRITTEN: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; under a local one only where that is unset, as in tests."""
+    """A new folder under spark.checkpoint.dir; under a local one only where that is unset and all tasks run on this machine,
+    as in tests. On a cluster executors would not see each other's files there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="chronoweave-"))
         base = _OWN[0]

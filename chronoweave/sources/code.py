@@ -19,6 +19,12 @@ def defines(files: DataFrame) -> DataFrame:
     return rows.withColumn("lang", language(F.col("path"))).withColumn("module", module_name(F.concat(F.lit("/"), "path"), F.lit("")))
 
 
+def parse_states(files: DataFrame) -> DataFrame:
+    """(path, ok) of Python and script files (path, text)."""
+    python, script = files.where(F.col("path").endswith(".py")), files.where(F.col("path").rlike(SCRIPTS))
+    return python_source.parse_state(python).unionByName(js_source.parse_state(script))
+
+
 def unresolved_calls(defines: DataFrame, edges: DataFrame, import_map: DataFrame) -> DataFrame:
     """P10: (caller, raw) of calls that name something of the project but lead to no define: undotted names that no import
     binds, or names whose head an import binds to a project module. Built-in and library names cannot be told from typos

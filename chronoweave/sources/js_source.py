@@ -27,10 +27,9 @@ TOKEN = re.compile(
 )
 REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
 PAIRS = {"(": ")", "[": "]", "{": "}"}
-OPERATORS = {
-    "+": "Add", "-": "Sub", "*": "Mult", "/": "Div", "%": "Mod", "**": "Pow", "<": "Lt", ">": "Gt", "<=": "LtE", ">=": "GtE", "==": "Eq", "===": "Eq", "!=": "NotEq", "!==": "NotEq",
-    "&&": "And", "||": "Or", "??": "Or", "!": "Not", "&": "BitAnd", "|": "BitOr", "^": "BitXor", "<<": "LShift", "+=": "AugAdd", "-=": "AugSub", "*=": "AugMult", "/=": "AugDiv",
-}
+OPERATORS = frozenset("+ - * / % ** < > <= >= == === != !== && || ?? ! & | ^ << += -= *= /=".split())
+#: Those that say the same.
+SAME = {"===": "==", "!==": "!=", "??": "||"}
 #: Names before a bracket that are no calls.
 NOT_CALLED = frozenset("if for while switch catch function return typeof await new delete void in of do else super import async with yield throw case".split())
 MODIFIERS = frozenset("static async public private protected readonly abstract override declare accessor get set".split())
@@ -183,7 +182,7 @@ class File:
             elif x.kind == "op" and x.text in OPERATORS:
                 before = self.t[i - 1]
                 unary = x.text in "+-" and before.kind == "op" and before.text not in ")]}" or before.text == "return"
-                operators.append({"+": "UAdd", "-": "USub"}.get(x.text, OPERATORS[x.text]) if unary else OPERATORS[x.text])
+                operators.append(f"unary {x.text}" if unary else SAME.get(x.text, x.text))
             if x.text in ("await", "yield", "throw") and x.kind == "name":
                 effects.add({"await": "async", "yield": "generator", "throw": "raises"}[x.text])
             if x.text.endswith("=") and x.text not in ("==", "===", "!=", "!==", "<=", ">=") and k:
@@ -515,8 +514,29 @@ def aliases_of(config: str) -> dict[str, str]:
     return dict(sorted(out.items(), key=lambda x: -len(x[0])))
 
 
+#: What reading a file raises: unmatched brackets, an end within a construct, too deep nesting.
+UNREADABLE = (SyntaxError, IndexError, RecursionError)
+
+
+def parse_state(files: DataFrame) -> DataFrame:
+    """(path, ok) of files (path, text), for the parse_skipped rule."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ok = []
+            for path, text in zip(batch["path"], batch["text"], strict=True):
+                try:
+                    file_defines(path, text or "")
+                    ok.append(True)
+                except UNREADABLE:
+                    ok.append(False)
+            yield pd.DataFrame({"path": batch["path"], "ok": ok})
+
+    return files.select("path", "text").mapInPandas(run, "path string, ok boolean")
+
+
 def defines(files: DataFrame) -> DataFrame:
-    """A row for each callable of files (path, text); files with unmatched brackets give none."""
+    """A row for each callable of files (path, text); files that cannot be read give none, see parse_state()."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -524,7 +544,7 @@ def defines(files: DataFrame) -> DataFrame:
             for path, text in zip(batch["path"], batch["text"], strict=True):
                 try:
                     rows += file_defines(path, text or "")
-                except (SyntaxError, IndexError, RecursionError):
+                except UNREADABLE:
                     continue
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in DEFINES.replace("struct<required:int,defaults:int,has_args:boolean,has_kwargs:boolean,keyword_only:int>", "struct").replace("map<string,string>", "map").split(", ")])
 

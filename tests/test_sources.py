@@ -293,7 +293,7 @@ def test_scripts(spark):
     rows = {r.qualified_name: r for r in J.defines(files).collect()}
     assert set(rows) == {"plain", "typed", "arrow", "hook", "one", "api.get", "api.post", "api.put", "<default>.run", "K.get size", "K.set size", "K.handler", "K.constructor", "K.load", "N.M.inner", "one2", "two2", "three", "K.four", "iife", "inIf", "inElse"}
     plain = rows["plain"]
-    assert tuple(plain.params) == (1, 1, True, False, 0) and plain.calls == ["ns.run", "Error"] and plain.operators == ["And", "Gt"] and plain.effects == ["raises"]
+    assert tuple(plain.params) == (1, 1, True, False, 0) and plain.calls == ["ns.run", "Error"] and plain.operators == ["&&", ">"] and plain.effects == ["raises"]
     assert (plain.start_line, plain.end_line, plain.returns_kind) == (7, 11, "value")
     assert rows["arrow"].bindings == {"a": "Store"} and rows["arrow"].effects == ["async"] and rows["arrow"].calls == ["a.get"]
     assert rows["K.constructor"].bindings == {"store": "Store", "this.cache": "Cache"} and rows["K.load"].calls == ["this.store.get"]
@@ -324,3 +324,12 @@ def test_defines_by_language_and_unresolved_calls(spark):
     found = P.imports(files.where("path like '%.py'"))
     edges = resolve_calls(rows, found, P.reexports(files.where("path like '%.py'")))
     assert sorted(r.raw for r in K.unresolved_calls(rows, edges, found).collect()) == ["b.gone", "helper", "print"]
+
+
+def test_states_of_both_languages(spark):
+    """A file that cannot be read has a state, whatever its language; others have none."""
+    from chronoweave.sources import code
+
+    files = spark.createDataFrame([("a.py", "x = 1"), ("b.py", "def f(:"), ("c.ts", "const f = () => 1;"), ("d.js", "function f() {"), ("e.ts", "("), ("f.md", "#"), ("g.py", None)], "path string, text string")
+    assert {r.path: r.ok for r in code.parse_states(files).collect()} == {"a.py": True, "b.py": False, "c.ts": True, "d.js": False, "e.ts": False, "g.py": True}
+    assert {r.path for r in code.defines(files).collect()} == {"c.ts"}
