@@ -15,27 +15,53 @@ from .ranks import top_rows
 #: Rules: callers, callees, churn, fixed load, its percentile, defines needed for it, how many to report.
 CALLERS, CALLEES, CHURN, LOAD, LOAD_SHARE, LOAD_DEFINES, TOP = 5, 6, 10, 20.0, 0.95, 50, 5
 HIGH_IMPACT, REACH = 5, 4
+#: Rows of the table of strides for each edge, at most, in closures from seeds.
+STRIDES = 8
 
 
 def closure(edges: DataFrame, node: str, up: str, seeds: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(node, ancestor, depth) of all pairs linked by a path of edges node -> up, with the least number of steps.
 
-    H02, H11 to H14: level by level from the edges, or from those of the seeds (a column `node`), so the work follows the
-    cones that are asked for. Each level is joined with the edges, reduced to new pairs and written; only whether a level
-    is empty reaches the driver. A node on a cycle is its own ancestor. most: greatest depth.
+    H02, H11 to H14: from all nodes, or from the seeds (a column `node`), so the work follows the cones that are asked for.
+    Pairs at the greatest depth so far go on by a table of strides: all pairs of up to s steps. Without seeds that table is
+    what is known already, so depths double and the rounds grow with the logarithm of the longest path; with seeds it is
+    doubled only as long as it stays within STRIDES times the edges, since it must hold all nodes. A pair at depth L + d
+    has a node at depth L exactly on its shortest path, so a round makes no pair over all nodes between. Each round's new
+    pairs are written; counts and the greatest depth reach the driver. A node on a cycle is its own ancestor. most:
+    greatest depth.
     """
-    hop = stored(edges.select(F.col(node).alias("node"), F.col(up).alias("ancestor")).where("node is not null and ancestor is not null and node <> ancestor").distinct())
-    level = hop if seeds is None else hop.join(seeds.select("node").distinct(), "node", "left_semi")
-    levels = [stored(level.withColumn("depth", F.lit(1).cast("long")))]
-    step = hop.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"))
-    while most is None or len(levels) < most:
-        known = reduce(DataFrame.unionByName, levels).select("node", "ancestor")
-        new = levels[-1].join(step, "ancestor").select("node", F.col("further").alias("ancestor")).distinct().join(known, ["node", "ancestor"], "left_anti")
-        new = stored(new.withColumn("depth", F.lit(len(levels) + 1).cast("long")))
-        if new.isEmpty():
+    hop = edges.select(F.col(node).alias("node"), F.col(up).alias("ancestor")).where("node is not null and ancestor is not null and node <> ancestor").distinct()
+    hop = stored(hop.withColumn("depth", F.lit(1).cast("long")))
+    level = hop if seeds is None else stored(hop.join(seeds.select("node").distinct(), "node", "left_semi"))
+    known, strides = [level], [hop]
+    deep, stride, room = 1, 1, 0 if seeds is None else STRIDES * hop.count()
+
+    def further(front: DataFrame, table: list[DataFrame], done: list[DataFrame]) -> DataFrame:
+        step = reduce(DataFrame.unionByName, table).select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
+        new = front.join(step, "ancestor").groupBy("node", F.col("further").alias("ancestor")).agg(F.min(F.col("depth") + F.col("more")).alias("depth"))
+        return new.join(reduce(DataFrame.unionByName, done).select("node", "ancestor"), ["node", "ancestor"], "left_anti")
+
+    while most is None or deep < most:
+        if seeds is None:
+            strides, stride = list(known), deep
+        elif room and stride <= deep:  # strides of twice as many steps, if there are not too many
+            wider = stored(further(strides[-1].where(F.col("depth") == stride), strides, strides))
+            n = wider.count()
+            room = max(0, room - n)
+            if n and room:
+                strides, stride = [*strides, wider], 2 * stride
+            else:
+                room = 0
+        new = further(known[-1].where(F.col("depth") == deep), strides, known)
+        new = stored(new if most is None else new.where(F.col("depth") <= most))
+        reached = new.agg(F.max("depth")).first()[0]
+        if reached is None:
             break
-        levels.append(new)
-    return reduce(DataFrame.unionByName, levels)
+        known.append(new)
+        if reached < deep + stride:
+            break
+        deep += stride
+    return reduce(DataFrame.unionByName, known)
 
 
 def cone_sizes(pairs: DataFrame) -> DataFrame:

@@ -313,3 +313,26 @@ def test_lateral_structure_has_ancestry_and_component_size(spark):
     targets = spark.createDataFrame([(2,), (7,)], "node long")
     got = {r.node: (r.shared_ancestry and [tuple(x) for x in r.shared_ancestry], r.component_size) for r in detectors.lateral_structure(targets, calls, edges).collect()}
     assert got == {2: ([(3, 2), (4, 2)], 5), 7: (None, 1)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_closure_depths_against_search(spark, seed):
+    """Least depths from all nodes and from seeds, on graphs with cycles, hubs and long paths; with and without a bound."""
+    rng = random.Random(seed)
+    links = {(i, i + 1) for i in range(20)} | {(rng.randrange(40), rng.randrange(40)) for _ in range(30)} | {(50, i) for i in range(10)}
+    e = spark.createDataFrame(sorted(links), "a long, b long")
+    want = {}
+    for start in {a for a, _ in links}:
+        level, depth, seen = {start}, 0, set()
+        while level:
+            depth += 1
+            level = {b for a, b in links if a in level and a != b} - seen
+            seen |= level
+            want |= {(start, b): depth for b in level}
+    found = lambda **how: {(r.node, r.ancestor): r.depth for r in graph.closure(e, "a", "b", **how).collect()}
+    assert found() == want
+    seeds = spark.createDataFrame([(0,), (50,), (33,), (99,)], "node long")
+    assert found(seeds=seeds) == {k: d for k, d in want.items() if k[0] in (0, 50, 33)}
+    for most in (1, 2, 3, 7):
+        assert found(most=most) == {k: d for k, d in want.items() if d <= most}
+        assert found(seeds=seeds, most=most) == {k: d for k, d in want.items() if k[0] in (0, 50, 33) and d <= most}
