@@ -70,10 +70,10 @@ def sessions(spark: SparkSession, sf_dir: str, length: int = 100) -> DataFrame:
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each define of an even user is covered by the two cases of the customer of that number that have its priority's place."""
-    c = raw(spark, sf_dir, "orders").where("o_custkey % 2 = 0 and o_custkey < 150").select("o_custkey", "o_orderpriority").distinct()
+    """Purchases and views of a user are covered by the cases of the customer of that number."""
+    c = raw(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority").distinct()
     e = raw(spark, sf_dir, "events").select("user_id", "event_type").distinct()
-    rows = c.join(e, c.o_custkey == e.user_id).where("length(event_type) % 2 = 0")
+    rows = c.join(e.where("event_type in ('purchase', 'view')"), c.o_custkey == e.user_id)
     return rows.select((1 + F.col("user_id") % 3).alias("project_id"), F.concat(F.lit("src/m"), "user_id", F.lit(".py")).alias("file_path"), F.col("event_type").alias("define_name"), F.concat(F.lit("tests.C"), "o_custkey").alias("classname"), F.col("o_orderpriority").alias("name"))
 
 

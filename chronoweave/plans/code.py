@@ -11,7 +11,7 @@ from chronoweave.sources import python_source as P
 
 from .registry import query
 
-#: Each part p gives a module: a class with two methods, a function that uses modules p div 2 and p div 3, and a stub.
+#: Part p - 1 gives module p: a class with two methods, a function that uses modules p div 2 and p div 3, and a stub.
 _TEXT = """import pkg.m%1$d as low
 from pkg.m%2$d import run as other, Box
 
@@ -46,13 +46,13 @@ def helper_%5$d(x) -> Box:
 
 
 def _files(spark, sf_dir):
-    p = A.raw(spark, sf_dir, "part").where("p_partkey > 5")
+    p = A.raw(spark, sf_dir, "part").withColumn("p_partkey", F.col("p_partkey") + 1)
     text = F.format_string(_TEXT, F.floor(F.col("p_partkey") / 2).cast("long"), F.floor(F.col("p_partkey") / 3).cast("long"), "p_size", "p_name", "p_partkey")
     broken = F.when(F.col("p_partkey") % 97 == 0, F.concat(text, F.lit("\ndef broken(:\n"))).otherwise(text)
     return p.select(F.concat(F.lit("pkg/m"), "p_partkey", F.lit(".py")).alias("path"), broken.alias("text")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
 
 
-_OK = "ok AS (SELECT *, 'pkg/m' || p_partkey || '.py' AS path FROM part WHERE p_partkey > 5 AND p_partkey % 97 > 0)"
+_OK = "ok AS (SELECT *, 'pkg/m' || p_partkey || '.py' AS path FROM (SELECT * REPLACE (p_partkey + 1 AS p_partkey) FROM part) WHERE p_partkey % 97 > 0)"
 
 
 @query(f"""WITH {_OK} SELECT path, u.q AS qualified_name, CASE u.i WHEN 1 THEN 7 WHEN 2 THEN 10 WHEN 3 THEN 15 WHEN 4 THEN 18 ELSE 27 END::BIGINT AS start_line, CASE u.i WHEN 4 THEN 'run' WHEN 1 THEN 'none' WHEN 5 THEN 'bare' ELSE 'value' END AS kind,
@@ -92,7 +92,7 @@ def call_edges_resolved(spark, sf_dir):
     return resolve_calls(with_return_types(rows, found), found, P.reexports(files))
 
 
-@query("SELECT 'pkg/m' || p_partkey || '.py' AS path, p_partkey % 97 > 0 AS ok FROM part WHERE p_partkey > 5")
+@query("SELECT 'pkg/m' || p_partkey + 1 || '.py' AS path, (p_partkey + 1) % 97 > 0 AS ok FROM part")
 def parse_states(spark, sf_dir):
     return P.parse_state(_files(spark, sf_dir))
 

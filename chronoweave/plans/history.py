@@ -167,14 +167,13 @@ def stale_covered(spark, sf_dir):
 
 @query("""WITH c AS (SELECT callee, count(DISTINCT caller) AS n FROM hub GROUP BY 1)
 SELECT project_id, file_path, define_name, coalesce(n, 0) AS callers, version_count FROM chains LEFT JOIN c ON c.callee = CAST(regexp_extract(file_path, '[0-9]+') AS BIGINT)
-WHERE (project_id, define_name) NOT IN (SELECT project_id, define_name FROM cov WHERE file_path < 'src/m14') ORDER BY callers DESC, version_count DESC, project_id, file_path, define_name LIMIT 20""")
+WHERE (project_id, define_name) NOT IN (SELECT project_id, define_name FROM cov) ORDER BY callers DESC, version_count DESC, project_id, file_path, define_name LIMIT 20""")
 def uncovered_ranked(spark, sf_dir):
     """the report shows the first 20."""
     summary = C.define_summary(A.determinations(spark, sf_dir))
     fan = G.fan_in(A.hub_calls(spark, sf_dir)).select(F.concat(F.lit("src/m"), "node", F.lit(".py")).alias("file_path"), "callers")
     callers = summary.select(*C.CHAIN).join(fan, "file_path")
-    cov = _coverage(spark, sf_dir).where("file_path < 'src/m14'")
-    return O.uncovered_ranked(summary, cov, callers).orderBy(F.desc("callers"), F.desc("version_count"), *C.CHAIN).limit(20)
+    return O.uncovered_ranked(summary, _coverage(spark, sf_dir), callers).orderBy(F.desc("callers"), F.desc("version_count"), *C.CHAIN).limit(20)
 
 
 @query("SELECT sess.project_id, session_id, count(*) AS changes, count(DISTINCT file_path) AS files FROM sess JOIN det ON det.project_id = sess.project_id AND seq > start_seq AND seq <= coalesce(end_seq, 1000000000) GROUP BY ALL")
@@ -222,12 +221,12 @@ def nearest_seq(spark, sf_dir):
     return I.nearest(artifacts, det, ["project_id"], "m", "at", "seq", width=21_600_000_000).select("project_id", "artifact", "seq")
 
 
-@query("""WITH d AS (SELECT l_orderkey, l_linenumber AS define, min(CAST(l_quantity AS BIGINT)) * 10 AS a, min(CAST(l_quantity AS BIGINT)) * 10 + 60 AS b FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1, 2),
-p AS (SELECT DISTINCT l_orderkey, CAST(l_extendedprice AS BIGINT) % 500 AS line FROM lineitem WHERE l_orderkey < 3000)
+@query("""WITH d AS (SELECT l_orderkey, l_linenumber AS define, min(CAST(l_quantity AS BIGINT)) * 10 AS a, min(CAST(l_quantity AS BIGINT)) * 10 + 60 AS b FROM lineitem GROUP BY 1, 2),
+p AS (SELECT DISTINCT l_orderkey, CAST(l_extendedprice AS BIGINT) % 500 AS line FROM lineitem)
 SELECT l_orderkey AS file_id, CAST(define AS BIGINT) AS define_id, count(*) AS lines FROM d JOIN p USING (l_orderkey) WHERE line BETWEEN a AND b GROUP BY ALL""")
 def line_range_cover(spark, sf_dir):
     """Covered lines within the line range of a define of the same file; orders stand for files."""
-    li = A.raw(spark, sf_dir, "lineitem").where("l_orderkey < 3000")
+    li = A.raw(spark, sf_dir, "lineitem")
     low = F.min(F.round("l_quantity").cast("long")) * 10
     defines = li.groupBy(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").cast("long").alias("define_id")).agg(low.alias("a")).withColumn("b", F.col("a") + 60)
     lines = li.select(F.col("l_orderkey").alias("file_id"), (F.bround("l_extendedprice").cast("long") % 500).alias("line")).distinct()

@@ -105,9 +105,9 @@ def otlp_flatten(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey AS run, 'C' || l_suppkey AS classname, 't' || l_partkey || ' & <x>' AS name, CASE l_linenumber % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'error' WHEN 2 THEN 'skipped' ELSE 'passed' END AS status,
-CASE l_linenumber % 4 WHEN 0 THEN 'boom ' || l_partkey WHEN 1 THEN 'msg' END AS failure_text FROM lineitem WHERE l_orderkey < 4000""")
+CASE l_linenumber % 4 WHEN 0 THEN 'boom ' || l_partkey WHEN 1 THEN 'msg' END AS failure_text FROM lineitem""")
 def junit_cases(spark, sf_dir):
-    li = _lines(spark, sf_dir).where("l_orderkey < 4000")
+    li = _lines(spark, sf_dir)
     k = F.col("n") % 4
     inner = F.when(k == 0, F.format_string("<failure message='m'> boom %d </failure><error/>", "l_partkey")).when(k == 1, F.lit('<error message="msg"></error>')).when(k == 2, "<skipped/>").otherwise("<system-out>a</system-out>")
     case = F.concat(F.format_string('<testcase classname="C%d" name="t%d &amp; &lt;x&gt;" time="0.1">', "l_suppkey", "l_partkey"), inner, F.lit("</testcase>"))
@@ -116,10 +116,10 @@ def junit_cases(spark, sf_dir):
     return S.junit_cases(rows.select("run", xml.alias("xml"))).select("run", "classname", "name", "status", "failure_text")
 
 
-@query("""WITH c AS (SELECT DISTINCT l_orderkey AS run, 'coverage::p' || l_suppkey % 5 || '.K' || l_partkey % 7 AS test_case, 'p' || l_suppkey % 5 || '.K' || l_partkey % 7 AS k, l_linenumber FROM lineitem WHERE l_orderkey < 4000)
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS run, 'coverage::p' || l_suppkey % 5 || '.K' || l_partkey % 7 AS test_case, 'p' || l_suppkey % 5 || '.K' || l_partkey % 7 AS k, l_linenumber FROM lineitem)
 SELECT run, test_case, k AS define_name FROM c UNION SELECT run, test_case, k || '.m' || l_linenumber FROM c""")
 def cobertura_cover(spark, sf_dir):
-    li = _lines(spark, sf_dir).where("l_orderkey < 4000")
+    li = _lines(spark, sf_dir)
     part = F.format_string('<package name="p%d"><classes><class name="K%d" filename="a.py"><methods><method name="m%d" hits="0"/></methods></class></classes></package>', F.col("l_suppkey") % 5, F.col("l_partkey") % 7, "n")
     rows = li.groupBy(F.col("l_orderkey").alias("run")).agg(F.concat(F.lit("<coverage><packages>"), F.array_join(F.collect_list(part), ""), F.lit("</packages></coverage>")).alias("xml"))
     return S.cobertura_entries(rows).distinct()

@@ -28,7 +28,7 @@ VIEWS = {
     "sess": """SELECT project_id, 's-' || project_id || '-' || n AS session_id, n * 100 AS start_seq, CASE WHEN n * 100 + 100 < top THEN n * 100 + 100 END AS end_seq
       FROM (SELECT project_id, top, unnest(range(0, (top - 1) // 100 + 1)) AS n FROM (SELECT project_id, max(seq) AS top FROM det GROUP BY 1))""",
     "cov": """SELECT DISTINCT 1 + user_id % 3 AS project_id, 'src/m' || user_id || '.py' AS file_path, event_type AS define_name, 'tests.C' || o_custkey AS classname, o_orderpriority AS name
-      FROM orders JOIN events ON o_custkey = user_id WHERE o_custkey % 2 = 0 AND o_custkey < 150 AND length(event_type) % 2 = 0""",
+      FROM orders JOIN events ON o_custkey = user_id WHERE event_type IN ('purchase', 'view')""",
     "crash": "SELECT id, project_id, seq, CASE k % 3 WHEN 0 THEN 'TypeError|undefined' WHEN 1 THEN 'KeyError|missing' END AS sig FROM det WHERE define_name = 'error'",
     "chains": "SELECT project_id, file_path, define_name, max(seq) AS latest_seq, count(*) AS version_count, arg_max(id, seq) AS latest_id FROM det GROUP BY ALL",
     "inc": """SELECT event_id AS id, 1 + user_id % 3 AS project_id, CASE event_id % 3 WHEN 0 THEN 'stuck_region' WHEN 1 THEN 'debug_loop' ELSE 'define_loop' END AS signal,

@@ -101,7 +101,7 @@ def safety_net(spark, sf_dir):
     return R.safety_net(det, A.test_runs(spark, sf_dir).select("project_id"), commits)
 
 
-@query(f"""WITH ch AS (SELECT project_id, file_path, define_name, max(seq) AS ls FROM det WHERE seq > {COMMIT} GROUP BY ALL), rn AS (SELECT classname, name, max(run) AS ran FROM cases WHERE run < 3000 GROUP BY ALL),
+@query(f"""WITH ch AS (SELECT project_id, file_path, define_name, max(seq) AS ls FROM det WHERE seq > {COMMIT} GROUP BY ALL), rn AS (SELECT classname, name, max(run // 5) AS ran FROM cases GROUP BY ALL),
 lt AS (SELECT ch.project_id, file_path || '::' || define_name AS target FROM ch JOIN cov USING (project_id, file_path, define_name) LEFT JOIN rn USING (classname, name) GROUP BY ALL HAVING bool_and(coalesce(ran < ls, true)))
 SELECT project_id, 'run_tests' AS kind, min(target) AS target FROM lt GROUP BY 1 UNION ALL
 SELECT project_id, 'blast_radius', file_path || '::' || define_name FROM (SELECT project_id, file_path, define_name, count(DISTINCT caller) AS c FROM ch JOIN hub ON callee = CAST(regexp_extract(file_path, '[0-9]+') AS BIGINT) WHERE project_id NOT IN (SELECT project_id FROM lt) GROUP BY ALL HAVING c >= 3)
@@ -112,18 +112,18 @@ def inline_assist(spark, sf_dir):
     fan = G.fan_in(A.hub_calls(spark, sf_dir)).select(F.concat(F.lit("src/m"), "node", F.lit(".py")).alias("file_path"), "callers")
     callers = C.define_summary(det).select(*C.CHAIN).join(fan, "file_path")
     cov = A.coverage(spark, sf_dir).select("project_id", "file_path", "define_name", F.concat_ws("::", "classname", "name").alias("test_case"))
-    ran = A.test_cases(spark, sf_dir).where("test_run_id < 3000").select(F.explode(F.array(*[F.lit(p).cast("long") for p in (1, 2, 3)])).alias("project_id"), F.concat_ws("::", "classname", "name").alias("test_case"), F.col("test_run_id").alias("seq"))
+    ran = A.test_cases(spark, sf_dir).select(F.explode(F.array(*[F.lit(p).cast("long") for p in (1, 2, 3)])).alias("project_id"), F.concat_ws("::", "classname", "name").alias("test_case"), F.floor(F.col("test_run_id") / 5).cast("long").alias("seq"))
     return R.inline_assist(det, callers, cov, ran, COMMIT)
 
 
 @query("""WITH u AS (SELECT f AS x, t AS y FROM forest UNION ALL SELECT t, f FROM forest), r AS (SELECT p_partkey AS node, p_partkey AS o FROM part UNION SELECT u.y, r.o FROM r JOIN u ON u.x = r.node), comp AS (SELECT node, min(o) AS c FROM r GROUP BY 1),
 z AS (SELECT c, count(*) AS size FROM comp GROUP BY 1), pr AS (SELECT node, count(*) AS peers FROM (SELECT DISTINCT a.f AS node, b.f AS peer FROM gd a JOIN gd b ON a.t = b.t AND a.f <> b.f) GROUP BY 1)
 SELECT node, (SELECT count(DISTINCT caller) FROM calls WHERE callee = node) AS callers, (SELECT count(DISTINCT callee) FROM calls WHERE caller = node) AS callees, coalesce(peers, 0) AS peers, size AS component_size
-FROM comp JOIN z USING (c) LEFT JOIN pr USING (node) WHERE node % 40 = 0""")
+FROM comp JOIN z USING (c) LEFT JOIN pr USING (node)""")
 def briefing(spark, sf_dir):
     nodes = A.raw(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
     parts = components(A.gd_forest(spark, sf_dir), "from_det", "to_det", nodes)
-    return R.briefing(nodes.where("node % 40 = 0"), A.calls(spark, sf_dir), A.gd_edges(spark, sf_dir), parts)
+    return R.briefing(nodes, A.calls(spark, sf_dir), A.gd_edges(spark, sf_dir), parts)
 
 
 @query("""SELECT id, 'define_loop' = signal AS is_loop, contains(target_node, '::') AS named, CASE date_diff('day', CAST(make_timestamp(created_us) AS DATE), DATE '2024-01-30') WHEN 0 THEN 'today' WHEN 1 THEN 'yesterday'

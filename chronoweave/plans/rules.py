@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-
-
-
 from pyspark.sql import functions as F
 
 from chronoweave import adapters as A
@@ -14,22 +11,20 @@ from chronoweave.operators import escalation as E
 from chronoweave.operators import intervals as I
 from chronoweave.operators import maintenance as M
 from chronoweave.operators import outcomes as O
+from chronoweave.scratch import stored
 from chronoweave.sources.files import outside
 
 from .history import COMMIT, KEY, _history
 from .registry import query
 
-#: Stuck chains are looked for among the first events, with short chains, so that each rule has something to say here.
-FIRST, LENGTH = 900, 3
-
-_STUCK = f"st AS (SELECT {KEY}, file_path || '::' || define_name AS target, count(*) AS n FROM det WHERE seq <= {FIRST} GROUP BY ALL HAVING count(*) >= {LENGTH} AND count(node_fingerprint) = count(DISTINCT node_fingerprint))"
+_STUCK = f"st AS (SELECT {KEY}, file_path || '::' || define_name AS target, count(*) AS n FROM det GROUP BY ALL HAVING count(*) >= {C.STUCK_LENGTH} AND count(node_fingerprint) = count(DISTINCT node_fingerprint))"
 _FAILING = """fl AS (SELECT file_path, define_name FROM (SELECT file_path, define_name, min(id) AS a, max(id) AS b FROM det GROUP BY ALL) s JOIN cov USING (file_path, define_name) JOIN cases USING (classname, name)
 WHERE run BETWEEN a AND b AND status <> 'skipped' GROUP BY ALL HAVING bool_and(status = 'failed'))"""
 _DEBUG = f"{_STUCK}, {_FAILING}, db AS (SELECT project_id, target FROM st JOIN fl USING (file_path, define_name))"
 
 
 def _stuck(spark, sf_dir):
-    return C.stuck(A.determinations(spark, sf_dir).where(F.col("seq") <= FIRST), length=LENGTH)
+    return C.stuck(A.determinations(spark, sf_dir))
 
 
 def _debug(spark, sf_dir):
@@ -60,21 +55,21 @@ def sig_waste(spark, sf_dir):
     return D.token_waste(C.define_summary(A.determinations(spark, sf_dir)), inc.where("state <> 'resolved'"), inc)
 
 
-_LOOP = f"""x AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY seq) AS i FROM det WHERE seq <= 600),
+_LOOP = f"""x AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY seq) AS i FROM det),
 lp AS (SELECT DISTINCT b.project_id, b.file_path, b.define_name FROM x a JOIN x b USING (project_id, file_path, define_name, node_fingerprint, fine_fingerprint) WHERE b.i - a.i >= 2)"""
 
 
 @query(f"WITH {_LOOP} SELECT project_id, 'define_loop' AS signal, file_path || '::' || define_name AS target_node, 'return' AS mechanism, false AS direct FROM lp")
 def sig_define_loop(spark, sf_dir):
     """No project's last events are five in a row on one define here, so returns are all there is."""
-    det = A.determinations(spark, sf_dir).where("seq <= 600")
+    det = stored(A.determinations(spark, sf_dir))
     evolution = I.error_evolution(I.round_signatures(det, A.crashes(spark, sf_dir), C.CHAIN), C.CHAIN)
     return D.define_loop(det, evolution, C.stuck(det), _debug(spark, sf_dir))
 
 
-@query("SELECT DISTINCT 1 + user_id % 3 AS project_id, 'boundary_breach' AS signal, 'w/' || user_id || '/a.py' AS target_node FROM events WHERE user_id NOT IN (1, 12) AND user_id % 2 = 1")
+@query("SELECT DISTINCT 1 + user_id % 3 AS project_id, 'boundary_breach' AS signal, 'w/' || user_id || '/a.py' AS target_node FROM events WHERE user_id NOT IN (1, 12)")
 def sig_boundary(spark, sf_dir):
-    paths = A.raw(spark, sf_dir, "events").where("user_id % 2 = 1").select((1 + F.col("user_id") % 3).alias("project_id"), F.concat(F.lit("w/"), "user_id", F.lit("/a.py")).alias("path"))
+    paths = A.raw(spark, sf_dir, "events").select((1 + F.col("user_id") % 3).alias("project_id"), F.concat(F.lit("w/"), "user_id", F.lit("/a.py")).alias("path"))
     return D.boundary_breach(outside(paths, ["w/1", "w/12"]))
 
 
@@ -119,7 +114,7 @@ def sig_parse_skipped(spark, sf_dir):
     return D.parse_skipped(failed, known)[0]
 
 
-_LATERAL = """tg AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 50 = 0), mv AS (SELECT p_partkey AS n FROM part WHERE p_size > 10 AND p_size <= 30),
+_LATERAL = """tg AS (SELECT p_partkey AS node FROM part), mv AS (SELECT p_partkey AS n FROM part WHERE p_size > 10 AND p_size <= 30),
 cl AS (SELECT caller AS node, count(DISTINCT callee) AS x FROM calls JOIN mv ON n = callee GROUP BY 1), pr AS (SELECT DISTINCT a.f AS node, b.f AS peer FROM gd a JOIN gd b ON a.t = b.t AND a.f <> b.f),
 ps AS (SELECT node, count(*) AS y, count(n) AS z FROM pr LEFT JOIN mv ON n = peer GROUP BY 1),
 lc AS (SELECT node, coalesce(x, 0) AS callees_changed, coalesce(y, 0) AS peers, coalesce(z, 0) AS peers_changed FROM tg LEFT JOIN cl USING (node) LEFT JOIN ps USING (node))"""
@@ -127,7 +122,7 @@ lc AS (SELECT node, coalesce(x, 0) AS callees_changed, coalesce(y, 0) AS peers,
 
 def _lateral(spark, sf_dir):
     p = A.raw(spark, sf_dir, "part")
-    targets = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("node"))
+    targets = p.select(F.col("p_partkey").alias("node"))
     moved = p.select(F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("seq"))
     return D.lateral_context(targets, A.calls(spark, sf_dir), A.gd_edges(spark, sf_dir), moved, 10, 30)
 

@@ -24,7 +24,7 @@ def _seeds(spark, sf_dir):
 
 def _asked(spark, sf_dir):
     """Neighbouring parts, as pairs whose distance is asked for."""
-    p = A.raw(spark, sf_dir, "part").where("p_partkey > 0 and p_partkey % 5 = 0")
+    p = A.raw(spark, sf_dir, "part").where("p_partkey > 0")
     return p.select(F.col("p_partkey").alias("u"), (F.col("p_partkey") - 1).alias("v"))
 
 
@@ -44,16 +44,16 @@ def ancestor_set(spark, sf_dir):
     return nodes.join(G.cone_sizes(_pairs(spark, sf_dir)), "node", "left").select("node", (F.coalesce("cone", F.lit(0)) + 1).alias("members"))
 
 
-@query("SELECT p_partkey AS node, EXISTS (SELECT 1 FROM anc WHERE node = p_partkey AND a = 5) AS below FROM part WHERE p_partkey % 7 = 0")
+@query("SELECT p_partkey AS node, EXISTS (SELECT 1 FROM anc WHERE node = p_partkey AND a = 5) AS below FROM part")
 def is_ancestor(spark, sf_dir):
     """By closure of the asked ancestor's successors only."""
-    edges, asked = A.gd_edges(spark, sf_dir), A.raw(spark, sf_dir, "part").where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("node"))
+    edges, asked = A.gd_edges(spark, sf_dir), A.raw(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
     start = A.raw(spark, sf_dir, "part").where("p_partkey = 5").select(F.col("p_partkey").alias("node"))
     under = G.closure(edges, "from_det", "to_det", start).select(F.col("ancestor").alias("node"), F.lit(True).alias("below"))
     return asked.join(under, "node", "left").select("node", F.coalesce("below", F.lit(False)).alias("below"))
 
 
-_ASKED = "q AS (SELECT p_partkey AS u, p_partkey - 1 AS v FROM part WHERE p_partkey > 0 AND p_partkey % 5 = 0)"
+_ASKED = "q AS (SELECT p_partkey AS u, p_partkey - 1 AS v FROM part WHERE p_partkey > 0)"
 
 
 @query(f"WITH {_ASKED} SELECT u, v, count(*) AS common FROM q JOIN anc x ON x.node = u JOIN anc y ON y.node = v AND y.a = x.a GROUP BY 1, 2")
@@ -191,12 +191,12 @@ def _redirects(spark, sf_dir):
 r AS (SELECT m AS bm, n AS en, CASE WHEN m % 40 = 39 THEN m - 39 ELSE m + 1 END AS tm FROM p WHERE z > 0 AND m % 4 > 0),
 s AS (SELECT DISTINCT m AS bm, CASE WHEN m % 40 = 39 THEN m - 39 ELSE m + 1 END AS tm FROM p WHERE z > 0 AND m % 4 = 0),
 k AS (SELECT m, n FROM p WHERE p_partkey % 11 = 0),
-w(module, name, here, i, done) AS (SELECT m, n, m, 0, EXISTS (SELECT 1 FROM k WHERE k.m = p.m AND k.n = p.n) FROM p WHERE p_partkey % 2 = 0
- UNION ALL SELECT w.module, w.name, coalesce(r.tm, s.tm), i + 1, EXISTS (SELECT 1 FROM k WHERE k.m = coalesce(r.tm, s.tm) AND k.n = w.name) FROM w LEFT JOIN r ON r.bm = w.here AND r.en = w.name LEFT JOIN s ON s.bm = w.here WHERE NOT done AND i < 15 AND coalesce(r.tm, s.tm) IS NOT NULL)
+w(module, name, here, done) AS (SELECT m, n, m, EXISTS (SELECT 1 FROM k WHERE k.m = p.m AND k.n = p.n) FROM p
+ UNION SELECT w.module, w.name, coalesce(r.tm, s.tm), EXISTS (SELECT 1 FROM k WHERE k.m = coalesce(r.tm, s.tm) AND k.n = w.name) FROM w LEFT JOIN r ON r.bm = w.here AND r.en = w.name LEFT JOIN s ON s.bm = w.here WHERE NOT done AND coalesce(r.tm, s.tm) IS NOT NULL)
 SELECT module, name, max(CASE WHEN done THEN here END) AS to_module, max(CASE WHEN done THEN name END) AS to_name FROM w GROUP BY 1, 2""")
 def reexport_chase(spark, sf_dir):
     p = A.raw(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_partkey") / 9).cast("long").alias("module"), F.concat(F.lit("n"), F.col("p_partkey") % 9).alias("name"))
-    return G.chase(_redirects(spark, sf_dir), p.where("p_partkey % 2 = 0"), p.where("p_partkey % 11 = 0"))
+    return G.chase(_redirects(spark, sf_dir), p, p.where("p_partkey % 11 = 0"))
 
 
 @query("""WITH l AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 3 = 0 THEN 'py' ELSE 'js_ts' END AS lang FROM part WHERE p_partkey < 20)
