@@ -201,26 +201,44 @@ def chase(redirects: DataFrame, names: DataFrame, known: DataFrame) -> DataFrame
     """Follows (module, name) through re-exports until a known symbol, the end of the chain or a cycle.
 
     redirects: (barrel_module, exported_name, target_module, target_name); an exact entry comes before a `*` one, whose
-    name goes on unchanged. names: (module, name). known: (module, name) symbols. Result: names with resolved module and
-    name, null if the chain ends at no symbol. Where a name has been before it does not go on, so chains may have any length and
-    a cycle ends as null.
+    name goes on unchanged; of several the least target counts. names: (module, name). known: (module, name) symbols.
+    Result: names with resolved module and name, null if the chain ends at no symbol.
+
+    First the places that names lead to are found, each once whatever leads there; then every place's target is replaced
+    by its target's target until nothing moves, so rounds grow with the logarithm of the longest chain. Who has not
+    arrived after as many steps as there are places goes round in a cycle.
     """
-    exact = redirects.where("exported_name <> '*'").select(F.col("barrel_module").alias("at"), F.col("exported_name").alias("as"), F.col("target_module").alias("to"), F.col("target_name").alias("to_name"))
-    star = redirects.where("exported_name = '*'").select(F.col("barrel_module").alias("at"), F.col("target_module").alias("star_to"))
-    symbols = known.select(F.col("module").alias("at"), F.col("name").alias("as"), F.lit(True).alias("found"))
-    rows = names.select("module", "name", F.col("module").alias("at"), F.col("name").alias("as")).distinct()
-    done, seen = [], []
+    least = lambda rows, *by: rows.groupBy(*by).agg(F.min(F.struct("to", "to_name")).alias("t")).select(*by, "t.to", "t.to_name")
+    exact = redirects.where("exported_name <> '*'").select(F.col("barrel_module").alias("at"), F.col("exported_name").alias("as"), F.col("target_module").alias("to"), F.coalesce("target_name", "exported_name").alias("to_name"))
+    star = redirects.where("exported_name = '*'").select(F.col("barrel_module").alias("at"), F.col("target_module").alias("to"), F.lit("*").alias("to_name"))
+    exact, star = stored(least(exact, "at", "as")), stored(least(star, "at").select("at", F.col("to").alias("star_to")))
+    symbols = stored(known.select(F.col("module").alias("at"), F.col("name").alias("as"), F.lit(True).alias("symbol")).distinct())
+    front = stored(names.select(F.col("module").alias("at"), F.col("name").alias("as")).distinct())
+    places, seen = [], [front]
     while True:
-        rows = stored(rows.join(symbols, ["at", "as"], "left"))
-        done.append(rows.where("found").select("module", "name", F.col("at").alias("to_module"), F.col("as").alias("to_name")))
-        going = rows.where("found is null").join(exact, ["at", "as"], "left").join(star, "at", "left").where("to is not null or star_to is not null")
-        seen.append(rows.select("module", "name", "at", "as"))
-        rows = going.select("module", "name", F.coalesce("to", "star_to").alias("at"), F.when(F.col("to").isNotNull(), F.coalesce("to_name", "as")).otherwise(F.col("as")).alias("as")).distinct()
-        rows = stored(rows.join(reduce(DataFrame.unionByName, seen), ["module", "name", "at", "as"], "left_anti"))
-        if rows.isEmpty():
+        rows = front.join(symbols, ["at", "as"], "left").join(exact, ["at", "as"], "left").join(star, "at", "left")
+        moves = F.col("symbol").isNull() & (F.col("to").isNotNull() | F.col("star_to").isNotNull())
+        to = F.when(moves, F.struct(F.coalesce("to", "star_to").alias("at"), F.when(F.col("to").isNotNull(), F.col("to_name")).otherwise(F.col("as")).alias("as")))
+        rows = stored(rows.select("at", "as", F.coalesce("symbol", F.lit(False)).alias("symbol"), to.alias("to")))
+        places.append(rows)
+        front = rows.where("to is not null").select("to.at", "to.as").distinct().join(reduce(DataFrame.unionByName, seen), ["at", "as"], "left_anti")
+        front = stored(front)
+        if front.isEmpty():
+            break
+        seen.append(front)
+    every = reduce(DataFrame.unionByName, places)
+    ends = every.where("to is null").select(F.struct("at", "as").alias("end"), "symbol")
+    jumps = stored(every.where("to is not null").select(F.struct("at", "as").alias("here"), "to"))
+    steps, most = 1, jumps.count()
+    while steps < most:
+        after = jumps.select(F.col("here").alias("to"), F.col("to").alias("further"))
+        step = stored(jumps.join(after, "to", "left").select("here", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
+        if step.where("moved").isEmpty():
             break
-    found = reduce(DataFrame.unionByName, done).groupBy("module", "name").agg(F.min(F.struct("to_module", "to_name")).alias("r"))
-    return names.select("module", "name").distinct().join(found, ["module", "name"], "left").select("module", "name", "r.to_module", "r.to_name")
+        jumps, steps = step.drop("moved"), 2 * steps
+    arrived = jumps.withColumnRenamed("to", "end").join(ends.where("symbol"), "end").select("here", "end").unionByName(ends.where("symbol").select(F.col("end").alias("here"), "end"))
+    out = names.select("module", "name").distinct().withColumn("here", F.struct(F.col("module").alias("at"), F.col("name").alias("as"))).join(arrived, "here", "left")
+    return out.select("module", "name", F.col("end.at").alias("to_module"), F.col("end.as").alias("to_name"))
 
 
 def propagate_labels(edges: DataFrame, labels: DataFrame, frm: str, to: str) -> DataFrame:

@@ -30,20 +30,32 @@ def _text(block: Column, path: str) -> Column:
     return F.xpath_string(block, F.lit(path))
 
 
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+_S = T.StringType()
+_NOTE = T.ArrayType(_struct(_message=_S, _VALUE=_S, __here=_S))
+_CASE = _struct(_classname=_S, _name=_S, _file=_S, failure=_NOTE, error=_NOTE, skipped=_NOTE)
+_CLASS = _struct(_name=_S, methods=_struct(method=T.ArrayType(_struct(_name=_S))))
+
+
 def junit_cases(reports: DataFrame, xml: str = "xml") -> DataFrame:
     """One row for each test case, however suites nest: classname, name, file, status, failure_text.
 
     failed before error before skipped before passed; the failure's text, or else its message. Texts that hold no test
-    case give no row. Other columns stay.
+    case give no row. Each case is parsed once. Other columns stay.
     """
-    rows = reports.withColumn("_case", F.explode(_blocks(F.col(xml), "testcase"))).drop(xml)
-    c = F.col("_case")
-    has = lambda tag: F.xpath_boolean(c, F.lit(f"/testcase/{tag}"))
+    keep = [x for x in reports.columns if x != xml]
+    rows = reports.withColumn("_text", F.explode(_blocks(F.col(xml), "testcase"))).drop(xml)
+    # an empty element has neither value nor attribute: a mark makes it one
+    marked = F.regexp_replace("_text", r"<(failure|error|skipped)(?=[\s/>])", '<$1 _here="1"')
+    rows = rows.withColumn("_c", F.from_xml(marked, _CASE, {"ignoreSurroundingSpaces": "true"}))
+    has = lambda tag: F.size(F.coalesce(F.col(f"_c.{tag}"), F.array())) > 0
     status = F.when(has("failure"), "failed").when(has("error"), "error").when(has("skipped"), "skipped").otherwise("passed")
-    tag = F.when(has("failure"), "failure").otherwise("error")
-    body = lambda t: F.coalesce(F.nullif(F.btrim(_text(c, f"/testcase/{t}")), F.lit("")), F.nullif(_text(c, f"/testcase/{t}/@message"), F.lit("")))
-    text = F.when(tag == "failure", body("failure")).otherwise(body("error"))
-    return rows.select(*[x for x in rows.columns if x != "_case"], _text(c, "/testcase/@classname").alias("classname"), _text(c, "/testcase/@name").alias("name"), F.nullif(_text(c, "/testcase/@file"), F.lit("")).alias("file"), status.alias("status"), text.alias("failure_text"))
+    body = lambda tag: F.coalesce(F.nullif(F.btrim(F.get(F.col(f"_c.{tag}"), F.lit(0))["_VALUE"]), F.lit("")), F.nullif(F.get(F.col(f"_c.{tag}"), F.lit(0))["_message"], F.lit("")))
+    text = F.when(has("failure"), body("failure")).when(has("error"), body("error"))
+    return rows.select(*keep, *[F.coalesce(f"_c._{x}", F.lit("")).alias(x) for x in ("classname", "name")], F.nullif(F.col("_c._file"), F.lit("")).alias("file"), status.alias("status"), text.alias("failure_text"))
 
 
 def case_files(cases: DataFrame, files: DataFrame) -> DataFrame:
@@ -64,9 +76,12 @@ def cobertura_entries(reports: DataFrame, xml: str = "xml") -> DataFrame:
     embedded = cases.where(name != "").select(*keep, "test_case", F.explode(defines).alias("define_name"))
     plain = reports.where(~F.col(xml).rlike(r"<testcase[\s/>]"))
     packages = plain.select("*", F.explode(_blocks(F.col(xml), "package")).alias("_p"))
-    classes = packages.select(*keep, _text(F.col("_p"), "/package/@name").alias("_n"), F.explode(_blocks(F.col("_p"), "class")).alias("_k"))
-    full = F.btrim(F.concat_ws(".", "_n", _text(F.col("_k"), "/class/@name")), F.lit("."))
-    methods = F.transform(F.filter(F.xpath("_k", F.lit("/class//method/@name")), lambda m: m != ""), lambda m: F.concat_ws(".", full, m))
+    head = F.concat(F.regexp_extract("_p", r"(?s)^<package(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?=/?>)", 0), F.lit("/>"))
+    classes = packages.select(*keep, _text(head, "/package/@name").alias("_n"), F.explode(_blocks(F.col("_p"), "class")).alias("_k"))
+    classes = classes.withColumn("_k", F.from_xml("_k", _CLASS))
+    full = F.btrim(F.concat_ws(".", "_n", F.nullif(F.col("_k._name"), F.lit(""))), F.lit("."))
+    names = F.transform(F.coalesce("_k.methods.method", F.array().cast(T.ArrayType(_struct(_name=_S)))), lambda m: m["_name"])
+    methods = F.transform(F.filter(names, lambda m: F.coalesce(m, F.lit("")) != ""), lambda m: F.concat_ws(".", full, m))
     return embedded.unionByName(classes.select(*keep, F.concat(F.lit("coverage::"), full).alias("test_case"), F.explode(F.concat(F.array(full), methods)).alias("define_name")))
 
 
