@@ -3,6 +3,10 @@
 A 64-bit SimHash within a radius that Golay keys can serve misses most of such pairs (similarity 0.8 is about 10 bits),
 so candidates come from MinHash: 16 bands of 4 minima, of which a pair of similarity 0.8 shares one with probability
 0.9998. Every candidate is verified exactly on the two texts, and verified links are closed to components.
+
+Buckets of a few sets are compared pair by pair. In larger ones all sets are first compared with centres, which joins
+copies without pairs; sets that are still apart then meet in blocks, where signatures of a byte for each minimum tell which
+pairs can be similar at all. So no link is left out for the size of its bucket.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,8 +28,10 @@ from .simhash import BATCH_SHINGLES, shingle_hashes
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 16, 4
-#: Members of buckets up to this size are compared pair by pair, those of larger ones with as many centres in each bucket.
-PAIRED, CENTRES = 24, 4
+#: Members of buckets up to this size are compared pair by pair; centres of larger ones; sets in a side of a block.
+PAIRED, CENTRES, BLOCK = 24, 4, 512
+#: Equal bytes of two signatures from which on a pair is verified: at similarity 0.8 fewer come once in 10,000 pairs.
+LIKELY = 38
 _RNG = np.random.default_rng(42)
 MASKS = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 FACTORS = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -41,10 +48,12 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if len(a) + len(b) else 1.0
 
 
-def signatures(texts: list[str], width: int = WIDTH) -> tuple[list[int], list[list[int]]]:
-    """For each text the digest of its shingle set (0 if empty) and the keys of its bands (none if empty)."""
+def signatures(texts: list[str], width: int = WIDTH) -> tuple[list[int], list[list[int]], list[bytes]]:
+    """For each text the digest of its shingle set (0 if empty), the keys of its bands (none if empty), and a byte of each
+    of its minima."""
     digests: list[int] = []
     bands: list[list[int]] = []
+    bytes_: list[bytes] = []
     pending: list[np.ndarray] = []
     held = 0
 
@@ -55,6 +64,7 @@ def signatures(texts: list[str], width: int = WIDTH) -> tuple[list[int], list[li
             sizes = np.array([len(x) for x in pending])
             starts = np.cumsum(sizes) - sizes
             least = np.stack([np.minimum.reduceat((flat ^ m) * f, starts) for m, f in zip(MASKS, FACTORS, strict=True)], axis=1)
+            bytes_.extend(row.tobytes() for row in (least & np.uint64(255)).astype(np.uint8))
             for row in least.reshape(len(pending), BANDS, ROWS):
                 bands.append([xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(row)])
         pending.clear()
@@ -66,6 +76,7 @@ def signatures(texts: list[str], width: int = WIDTH) -> tuple[list[int], list[li
             flush()
             digests.append(0)
             bands.append([])
+            bytes_.append(b"")
             continue
         digests.append(xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63))
         pending.append(found)
@@ -73,7 +84,7 @@ def signatures(texts: list[str], width: int = WIDTH) -> tuple[list[int], list[li
         if held >= BATCH_SHINGLES:
             flush()
     flush()
-    return digests, bands
+    return digests, bands, bytes_
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -95,18 +106,45 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def in_blocks(rows: DataFrame, block: int = BLOCK, likely: int = LIKELY) -> DataFrame:
+    """Pairs (a, b) of rows (key, fp, class, sig) of one key and different classes whose signatures agree in `likely` bytes.
+
+    A key's rows are dealt to parts of about `block` rows by hash; each two parts meet in a task of their own, and only
+    pairs that may be similar leave it.
+    """
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    rows = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("lo"), F.greatest("part", o).alias("hi")))
+    rows = rows.withColumn("at", F.explode(meets)).select("key", "at.lo", "at.hi", "part", "fp", "class", "sig")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+        fp, cls, part = (pdf[c].to_numpy() for c in ("fp", "class", "part"))
+        left, right = (np.flatnonzero(part == pdf[c].iloc[0]) for c in ("lo", "hi"))
+        out = []
+        for i in left:
+            agree = (sigs[right] == sigs[i]).sum(axis=1)
+            fit = right[(agree >= likely) & (cls[right] != cls[i])]
+            out += [(min(x, fp[i]), max(x, fp[i])) for x in fp[fit]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
+
+
 def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", component: str = "component_id", width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """(id, component) for every document; component is the least id reachable over links of similarity >= least, its own
-    included. Documents without words are one group.
+    included. Null, empty and blank texts, which have no words, are one group.
 
     Equal sets are merged first, so copies cost nothing. Each set is compared with the least one of each of its buckets;
     then those that are not connected yet are compared pair by pair in buckets of up to PAIRED sets, in larger ones with
-    CENTRES of each bucket, which differ from band to band. Texts move once, and once for each pair compared.
+    CENTRES of each bucket, which differ from band to band, and at last in blocks. Texts move once, and once for each pair
+    compared. Ids may repeat and may be null; each row has its result. Long texts count whole. Other columns are not looked
+    at. An empty table gives an empty one.
     """
-    names = T.StructType([T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    names = T.StructType([T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
     source = docs.select(F.col(id).alias("id"), whole(text).alias("text")).withColumn("h", F.xxhash64("text"))
     base = stored(map_texts(source, "text", lambda: lambda texts: list(signatures(texts, width)), names, keep_text=False))
-    distinct = stored(base.groupBy("fp").agg(F.min("id").alias("least"), F.min("h").alias("h"), F.first("keys").alias("keys")))
+    distinct = stored(base.groupBy("fp").agg(F.min("id").alias("least"), F.min("h").alias("h"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
     rows = distinct.select(F.explode("keys").alias("key"), "fp")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("centre")).where("n > 1")
     rows = stored(rows.join(sizes, "key"))
@@ -115,11 +153,15 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", component:
     first = stored(rows.where("fp <> centre").select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct())
     links = stored(verified(first, texts, width, least))
 
-    classes = components(links, "a", "b").withColumnRenamed("node", "fp")
-    open_rows = rows.join(classes, "fp", "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("class"))
-    mixed = open_rows.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
-    open_rows = stored(open_rows.join(mixed, "key"))
+    def apart(of: DataFrame) -> DataFrame:
+        """Rows (key, fp, n, class) of buckets that hold sets not connected yet."""
+        classes = components(links, "a", "b").withColumnRenamed("node", "fp")
+        marked = of.select("key", "fp", "n").join(classes, "fp", "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("class"))
+        mixed = marked.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
+        return stored(marked.join(mixed, "key"))
+
     side = lambda df, x: df.select("key", F.col("fp").alias(x), F.col("class").alias(f"c{x}"))
+    open_rows = apart(rows)
     small = open_rows.where(F.col("n") <= PAIRED)
     pairs = side(small, "a").join(side(small, "b"), "key").where("ca <> cb and a < b").select("a", "b")
     large = open_rows.where(F.col("n") > PAIRED)
@@ -127,8 +169,15 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", component:
     turns = large.withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(CENTRES)])))
     centres = turns.groupBy("key", "turn").agg(F.min(order).alias("m")).select("key", F.col("m.fp").alias("a"), F.col("m.class").alias("ca")).distinct()
     stars = centres.join(side(large, "b"), "key").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = pairs.unionByName(stars).distinct().join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(stored(verified(stored(more), texts, width, least)))
+    done = [first, stored(pairs.unionByName(stars).distinct().join(first, ["a", "b"], "left_anti"))]
+    links = stored(links.unionByName(verified(done[1], texts, width, least)))
+
+    if not large.isEmpty():
+        open_rows = apart(large)
+        if not open_rows.isEmpty():
+            compared = done[0].unionByName(done[1])
+            more = in_blocks(open_rows.join(distinct.select("fp", "sig"), "fp")).join(compared, ["a", "b"], "left_anti")
+            links = links.unionByName(stored(verified(stored(more), texts, width, least)))
 
     found = components(links, "a", "b")
     classes = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))

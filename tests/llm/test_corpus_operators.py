@@ -439,3 +439,43 @@ def test_copies_of_one_id_leave_room_for_other_ids(spark):
     v = [1.0, 0.0, 2.0, 0.5]
     table = spark.createDataFrame([(0, v)] * 30 + [(i, v) for i in (1, 2, 3)], "vec_id long, embedding array<double>")
     assert {r.vec_id for r in ann.neighbours(table).collect() if r.query_id == 0} == {1, 2, 3}
+
+
+def test_blocks_lose_no_likely_pair(spark):
+    """Whatever the size of blocks: all pairs of a key, of different classes, with as many equal bytes."""
+    from chronoweave.llm import near_copies
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (6, 64), dtype=np.uint8)
+    rows = []
+    for i in range(150):
+        sig = base[i % 6].copy()
+        at = rng.choice(64, rng.integers(0, 40), replace=False)
+        sig[at] = rng.integers(0, 256, len(at))
+        rows.append((i % 2, 1000 + i, i // 3, sig.tobytes()))
+    want = {(x[1], y[1]) for x, y in itertools.combinations(rows, 2) if x[0] == y[0] and x[2] != y[2] and (np.frombuffer(x[3], np.uint8) == np.frombuffer(y[3], np.uint8)).sum() >= 38}
+    table = spark.createDataFrame(rows, "key long, fp long, class long, sig binary")
+    for block in (10, 1000):
+        assert {(r.a, r.b) for r in near_copies.in_blocks(table, block).collect()} == want
+
+
+def test_large_buckets_are_compared_whole(spark, documents, monkeypatch):
+    """Texts of one template, in groups that are near each other but not near the centres: as the closure of all pairs."""
+    from chronoweave.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "PAIRED", 2)
+    monkeypatch.setattr(near_copies, "CENTRES", 1)
+    rng = random.Random(11)
+    shared = [f"s{i}" for i in range(120)]
+    rows = []
+    for g in range(12):
+        own = [f"g{g}x{j}" for j in range(60)]
+        for k in range(3):
+            words = shared + own
+            words[rng.randrange(180)] = f"new{g}{k}"
+            rows.append((10 * g + k, " ".join(words)))
+    rows += [(900, None), (901, ""), (902, " ")]
+    got = {r.doc_id: r.component_id for r in near_copies.similar(documents(rows, FP=1)).collect()}
+    roots = like([t or "" for _, t in rows])
+    assert got == {i: min(j for (j, _), x in zip(rows, roots, strict=True) if x == root) for (i, _), root in zip(rows, roots, strict=True)}
+    assert len(set(got.values())) == 13
