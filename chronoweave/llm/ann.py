@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Vectors the index is fitted on at most; among them queries for calibration, and vectors to bound scores by.
-SAMPLE, CALIBRATION, BOUNDING = 32_768, 256, 16_384
+SAMPLE, CALIBRATION, BOUNDING = 131_072, 256, 16_384
 #: Distinct vectors of a list, lists at most, lists of a vector at most, how much farther these may be.
-LIST_SIZE, MOST_LISTS, REPLICAS, CLOSURE = 200, 4096, 4, 1.08
+LIST_SIZE, MOST_LISTS, REPLICAS, CLOSURE = 200, 8192, 4, 1.08
 #: Recall that the ratio is calibrated for, links of a centroid in the graph.
-RECALL, LINKS = 0.97, 16
+RECALL, LINKS = 0.985, 16
 #: Postings and queries that one task holds at most, about.
 BLOCK, QUERY_BLOCK = 40_000, 20_000
 
@@ -143,9 +143,12 @@ def linked(centroids: np.ndarray, links: int = LINKS) -> np.ndarray:
     if n <= 3:
         return ring
     m = min(links, n - 1)
-    d = distances(centroids, centroids)
-    np.fill_diagonal(d, np.inf)
-    return np.hstack([np.argpartition(d, m - 1, axis=1)[:, :m], ring])
+    near = []
+    for first in range(0, n, 1024):  # distances to all, for some at once
+        d = distances(centroids[first : first + 1024], centroids)
+        d[np.arange(len(d)), first + np.arange(len(d))] = np.inf
+        near.append(np.argpartition(d, m - 1, axis=1)[:, :m])
+    return np.hstack([np.concatenate(near), ring])
 
 
 def fit(sample: np.ndarray, longest: float, lists: int, k: int, recall: float = RECALL, seed: int = 1) -> Index:
@@ -181,7 +184,10 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, id: str = "vec_
     Null vectors, zero vectors, those with null or non-finite components, of another length than most, or without id take
     no part. Rows of one id are not each other's neighbours. With fewer than k candidates all are returned. Every vector
     is indexed; the index is fitted on `sample` of the distinct ones at most, by hash. At most MOST_LISTS list sizes and
-    the sample reach the driver, the centroids are broadcast; postings and queries meet in blocks of bounded size.
+    the sample reach the driver, the centroids, and a row for each list and group, are broadcast. Lists grow in number with
+    the table up to MOST_LISTS; a query goes to the lists it visits and postings to their group, so both move once, but
+    for groups visited by more than QUERY_BLOCK queries. Repeated rows count once; other columns are not looked at. An
+    empty table gives an empty one.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
@@ -240,12 +246,14 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, id: str = "vec_
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(which, pa.list_(pa.int32())), batch.column(0).take(take), batch.column(1).take(take), least], names=["group", "lists", "v", "q", "least"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but a walk and a bound for each
-    visits = questions.select("v", "q").repartition(parts).mapInArrow(ask, "group int, lists array<int>, v array<double>, q long, least double")
-    share = max(1, -(-questions.count() // QUERY_BLOCK))  # blocks of queries; each meets every group
-    visits = visits.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(share)).cast("int"))
-    at_list = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("list") + 1)
-    placed = postings.withColumn("group", (at_list(first) + F.pmod(F.col("key"), at_list(pieces))).cast("int"))
-    placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(share - 1))))
+    visits = stored(questions.select("v", "q").repartition(parts).mapInArrow(ask, "group int, lists array<int>, v array<double>, q long, least double"))
+    # A group that more queries visit than a task may hold has its postings once for each part of them; others once.
+    blocks = visits.groupBy("group").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / QUERY_BLOCK)).cast("int").alias("blocks"))
+    blocks = F.broadcast(stored(blocks))
+    lists = spark.createDataFrame([(c, int(f), int(p)) for c, (f, p) in enumerate(zip(first, pieces, strict=True))], "list int, first int, pieces int")
+    visits = visits.join(blocks, "group").withColumn("part", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int")).drop("blocks")
+    placed = postings.join(F.broadcast(lists), "list").withColumn("group", (F.col("first") + F.pmod(F.col("key"), F.col("pieces"))).cast("int")).drop("first", "pieces")
+    placed = placed.join(blocks, "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
