@@ -96,13 +96,36 @@ def should_ingest(rel: Column, ignored: tuple[str, ...] = ()) -> Column:
     return ~F.arrays_overlap(F.split(rel, "/"), F.array(*map(F.lit, (*EXCLUDED_DIRS, *ignored))))
 
 
+def folded(path: Column) -> Column:
+    """The path without empty steps, single dots, and folders that are left again, however many; a path that leaves its
+    start keeps its leading double dots, an absolute one has none."""
+    absolute = path.startswith("/")
+
+    def walk(done: Column, step: Column) -> Column:
+        back = step == ".."
+        inside = (F.size(done) > 0) & ~F.coalesce(F.try_element_at(done, F.lit(-1)) == "..", F.lit(False))
+        return F.when(back & inside, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(back & absolute, done).otherwise(F.concat(done, F.array(step)))
+
+    steps = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    return F.concat(F.when(absolute, "/").otherwise(""), F.array_join(F.aggregate(steps, F.array().cast("array<string>"), walk), "/"))
+
+
 def comparable(path: Column, root: Column) -> Column:
     """Root-relative path; the file name for absolute paths outside the root and for relative ones that leave it."""
-    norm = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, "/+", "/"), r"/(\./)+", "/"), r"^(\./)+", "")
-    for _ in range(3):  # folders that are left again at once
-        norm = F.regexp_replace(norm, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    inside = F.when(in_folder(norm, root), relative(norm, root)).otherwise(basename(norm))
-    return F.when(path.startswith("/"), inside).otherwise(F.when(norm.startswith(".."), basename(norm)).otherwise(norm))
+    norm = folded(path)
+    outside = F.when(path.startswith("/"), ~in_folder(norm, root)).otherwise(norm.startswith("../") | (norm == ".."))
+    return F.when(outside, basename(norm)).otherwise(F.when(path.startswith("/"), relative(norm, root)).otherwise(norm))
+
+
+def in_module(module: Column, of: Column) -> Column:
+    """Whether a module is another or lies below it; a prefix of text, so no sign is a wildcard."""
+    return (module == of) | module.startswith(F.concat(of, F.lit(".")))
+
+
+def glob_matches(path: Column, glob: Column) -> Column:
+    """B13 for patterns in a column: * also crosses slashes."""
+    safe = F.regexp_replace(glob, r"([\\.^$|(){}+])", r"\\$1")
+    return F.regexp_like(path, F.concat(F.lit("(?s)^"), F.replace(F.replace(F.replace(safe, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("[!"), F.lit("[^")), F.lit("$")))
 
 
 def ignore_names(line: Column) -> Column:

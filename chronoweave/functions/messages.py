@@ -28,6 +28,12 @@ def message(signal: Column, target: Column, channel: Column) -> Column:
     return out
 
 
+def listed(names: Column, shown: int) -> Column:
+    """the first names, comma-joined, and how many more there are."""
+    more = F.size(names) - shown
+    return F.concat(F.array_join(F.slice(names, 1, shown), ", "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise(""))
+
+
 def days_ago(day: Column, today: Column) -> Column:
     """today, yesterday, N days ago up to a week, else the date."""
     n = F.datediff(today, day)

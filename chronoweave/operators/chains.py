@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .ranks import last_row
+from .ranks import last_row, top_rows
 
 CHAIN = ["project_id", "file_path", "define_name"]
 
@@ -54,9 +54,23 @@ def snapshot_diff(det: DataFrame, before: int, after: int) -> DataFrame:
 
 
 def resolve_snapshot(snapshots: DataFrame, prefix: str, newest: int = 200) -> DataFrame:
-    """The newest snapshot whose commit begins with the prefix, among the newest ones of the project."""
-    recent = snapshots.orderBy(F.desc("taken_at"), F.desc("id")).limit(newest)
-    return recent.where(F.col("commit_hash").startswith(prefix)).orderBy(F.desc("taken_at"), F.desc("id")).limit(1)
+    """For each project the newest snapshot (project_id, id, commit_hash, taken_at) whose commit begins with the
+    prefix, among its newest ones."""
+    order = [F.desc("taken_at"), F.desc("id")]
+    return top_rows(top_rows(snapshots, ["project_id"], order, newest).where(F.col("commit_hash").startswith(prefix)), ["project_id"], order, 1)
+
+
+def diff_commits(det: DataFrame, snapshots: DataFrame, before: str, after: str) -> DataFrame:
+    """What changed in each project between the snapshots of two commits given by prefix; projects without either
+    have no row. As snapshot_diff, but each project has its own two points (snapshot_at_seq)."""
+    points = [resolve_snapshot(snapshots, p).select("project_id", F.col("snapshot_at_seq").alias(name)) for p, name in ((before, "_a"), (after, "_b"))]
+    rows = det.join(F.broadcast(points[0].join(points[1], "project_id")), "project_id")  # a row for each project
+    state = F.struct("edit_type", F.coalesce("content_hash", F.lit("")).alias("content_hash"))
+    at = lambda point: F.max_by(F.when(F.col("seq") <= F.col(point), state), F.when(F.col("seq") <= F.col(point), F.col("seq")))
+    both = rows.groupBy(*CHAIN).agg(at("_a").alias("a"), at("_b").alias("b"))
+    both = both.select(*CHAIN, *[F.when(F.col(f"{x}.edit_type") != "delete", F.col(f"{x}.content_hash")).alias(n) for x, n in (("a", "before_hash"), ("b", "after_hash"))])
+    change = F.when(F.col("before_hash").isNull(), "added").when(F.col("after_hash").isNull(), "removed").otherwise("changed")
+    return both.where(~F.col("before_hash").eqNullSafe(F.col("after_hash"))).withColumn("change", change)
 
 
 def define_summary(det: DataFrame) -> DataFrame:

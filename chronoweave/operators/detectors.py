@@ -104,6 +104,16 @@ def test_tampering(turned_green: DataFrame, edited_tests: DataFrame, changes: Da
     return _signal(rows.join(why, ["classname", "name"], "left_anti"), "test_tampering", F.concat_ws("::", "classname", "name"))
 
 
+def explained(changes: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(classname, name, explains) of production defines changed since a case's last red (classname, name,
+    define_key): a define explains a green case unless its coverage (define_key, classname, name) is known and does not
+    hold the case."""
+    known = coverage.select("define_key", F.lit(True).alias("_known")).distinct()
+    held = coverage.select("define_key", "classname", "name", F.lit(True).alias("_held")).distinct()
+    rows = changes.join(known, "define_key", "left").join(held, ["define_key", "classname", "name"], "left")
+    return rows.select("classname", "name", (F.col("_known").isNull() | F.col("_held").isNotNull()).alias("explains")).distinct()
+
+
 def dangling_reference(observations: DataFrame, least: int = 2) -> DataFrame:
     """Unresolved calls seen in at least two different versions of their caller."""
     by = ["project_id", "file_path", "caller_define", "callee_text"]

@@ -271,6 +271,34 @@ def current_edges(calls: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def suspects(cone: DataFrame, stacks: DataFrame, last: int = 3) -> DataFrame:
-    """Nodes of a cone (node) that the project's last crash stacks (id, stack_fqns) hold."""
-    recent = stacks.orderBy(F.desc("id")).limit(last).select(F.explode("stack_fqns").alias("node")).distinct()
-    return cone.join(recent, "node", "left_semi")
+    """Nodes of cones that the last crash stacks (id, stack_fqns) hold: those of each project, if both sides have a
+    project_id."""
+    by = [c for c in ("project_id",) if c in cone.columns and c in stacks.columns]
+    newest = top_rows(stacks, by, [F.desc("id")], last) if by else stacks.orderBy(F.desc("id")).limit(last)
+    recent = newest.select(*by, F.explode("stack_fqns").alias("node")).distinct()
+    return cone.join(recent, [*by, "node"], "left_semi")
+
+
+def loop_suspects(targets: DataFrame, calls: DataFrame, stacks: DataFrame, last: int = 5, k: int = 3) -> DataFrame:
+    """(node, suspects) for each target: of its transitive callees those on the last crash stacks, the first k by name;
+    without any the k with most transitive callees of their own."""
+    pairs = closure(calls, "caller", "callee", targets).where("node <> ancestor").select(F.col("node").alias("target"), F.col("ancestor").alias("node"))
+    crashed = suspects(pairs, stacks, last)
+    deep = closure(calls, "caller", "callee", pairs.select("node")).where("node <> ancestor").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    deep = pairs.join(crashed.select("target").distinct(), "target", "left_anti").join(deep, "node", "left").fillna(0, ["n"])
+    first = top_rows(crashed, ["target"], [F.col("node")], k).select("target", F.lit(0).cast("long").alias("n"), "node")
+    rows = first.unionByName(top_rows(deep, ["target"], [F.desc("n"), F.col("node")], k).select("target", "n", "node"))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "node")))
+    found = rows.groupBy(F.col("target").alias("node")).agg(F.transform(listed, lambda x: x["node"]).alias("suspects"))
+    return targets.select("node").distinct().join(found, "node", "left")
+
+
+def not_warned(found: DataFrame, warned: DataFrame, by: list[str]) -> DataFrame:
+    """Findings that were not told yet with these keys (project, session, define), each once."""
+    return found.join(warned.select(*by).distinct(), by, "left_anti").dropDuplicates(by)
+
+
+def alive(nodes: DataFrame, members: DataFrame, node: str = "node") -> DataFrame:
+    """Nodes (lang::module.define, or without the language) that are members of an equivalence class, that is, live."""
+    bare = F.regexp_replace(node, "^[a-z_]+::", "")
+    return nodes.withColumn("_bare", bare).join(members.select(F.regexp_replace("member", "^[a-z_]+::", "").alias("_bare")).distinct(), "_bare", "left_semi").drop("_bare")

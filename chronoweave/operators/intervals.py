@@ -69,6 +69,18 @@ def longest_prefix(files: DataFrame, roots: DataFrame, path: str = "path", root:
     return rows.groupBy(*files.columns).agg(packed).select(*files.columns, "_best.*")
 
 
+def project_of(files: DataFrame, projects: DataFrame, path: str = "path") -> DataFrame:
+    """For each file (path, branch) its project (project_id, root_path, branch): of the longest root that holds it, the
+    one on the file's branch, else, or for a file without a branch, the one with the least id."""
+    parts = F.split(F.col(path), "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    known = projects.select("project_id", F.col("root_path").alias("_up"), F.coalesce("branch", F.lit("")).alias("_on"))
+    rows = files.withColumn("_up", F.explode(ups)).join(known, "_up")
+    fits = F.coalesce(F.col("branch").isNotNull() & (F.col("branch") == F.col("_on")), F.lit(False))
+    best = F.max(F.struct(F.length("_up").alias("l"), fits.alias("f"), (-F.col("project_id")).alias("p"))).alias("_best")
+    return rows.groupBy(*files.columns).agg(best).select(*files.columns, (-F.col("_best.p")).alias("project_id"))
+
+
 def rounds_of(det: DataFrame, chain: list[str], last: int = 5) -> DataFrame:
     """The intervals (prev_seq, seq] of each chain's last versions, and the tail after the last one (round 0)."""
     order = Window.partitionBy(*chain).orderBy("seq")

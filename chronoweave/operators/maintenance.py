@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.schemas import ENUMS
+from chronoweave.scratch import stored
 
 from .chains import CHAIN, current_version
 from .ranks import global_rank
@@ -29,11 +30,28 @@ def capture(det: DataFrame, current: DataFrame, files: DataFrame | None = None,
 
 
 def numbered(events: DataFrame, det: DataFrame, order: list[str]) -> DataFrame:
-    """Events with the next seqs of their projects, in order of the given columns."""
-    rank = F.row_number().over(Window.partitionBy("project_id").orderBy(*order))
+    """Events with the next seqs of their projects, in order of the given columns.
+
+    Two levels: each range of the order is counted, and a row's rank is the count of the ranges before it and its rank
+    within; so a project that holds most events is spread over as many tasks as there are ranges.
+    """
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(events.repartitionByRange(parts, "project_id", *order).withColumn("_bin", F.spark_partition_id()))
+    counts = ranged.groupBy("project_id", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select("project_id", "_bin", (F.sum("_n").over(Window.partitionBy("project_id").orderBy("_bin")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("project_id", "_bin").orderBy(*order))
     top = det.groupBy("project_id").agg(F.max("seq").alias("_top"))
-    rows = events.withColumn("_n", rank).join(top, "project_id", "left")
-    return rows.withColumn("seq", (F.coalesce("_top", F.lit(0)) + F.col("_n")).cast("long")).drop("_n", "_top")
+    rows = ranged.withColumn("_n", rank).join(counts, ["project_id", "_bin"]).join(top, "project_id", "left")
+    return rows.withColumn("seq", (F.coalesce("_top", F.lit(0)) + F.col("_before") + F.col("_n")).cast("long")).drop("_n", "_top", "_bin", "_before")
+
+
+def ingested(current: DataFrame, head: str, branch: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, snapshots) of a project's first full ingest: a create for every define (CHAIN, content_hash), numbered
+    by file and define, and a snapshot of the commit at its end. One job, whatever the number of files."""
+    events = current.select(*CHAIN, "content_hash").withColumn("edit_type", F.lit("create"))
+    events = numbered(events, events.limit(0).withColumn("seq", F.lit(0).cast("long")), ["file_path", "define_name"])
+    marks = events.groupBy("project_id").agg(F.max("seq").alias("snapshot_at_seq"))
+    return events, marks.select("project_id", F.lit(head).alias("commit_hash"), F.lit(branch).cast("string").alias("branch"), "snapshot_at_seq", F.lit("initial").alias("reason"))
 
 
 def upserted(table: DataFrame, rows: DataFrame, key: list[str], version: str) -> DataFrame:

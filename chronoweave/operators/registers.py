@@ -39,6 +39,14 @@ def net_states(commands: DataFrame) -> DataFrame:
     return commands.groupBy("project_id", "net_type").agg(F.when(F.max((F.col("action") == "dismiss").cast("int")) == 1, "dismissed").otherwise("triggered").alias("state"))
 
 
+def commit_points(commands: DataFrame, det: DataFrame) -> DataFrame:
+    """For each project the place in the order at its last acknowledged commit: the last event not after the command
+    (project_id, seq_at, action); a project without one has none."""
+    acked = commands.where("action = 'acknowledge_commit'").groupBy("project_id").agg(F.max("seq_at").alias("at"))
+    rows = det.join(acked, "project_id").where("seq <= at").groupBy("project_id").agg(F.max("seq").alias("last_commit_seq"))
+    return acked.join(rows, "project_id", "left").select("project_id", F.coalesce("last_commit_seq", F.lit(0).cast("long")).alias("last_commit_seq"))
+
+
 def sessions(events: DataFrame) -> DataFrame:
     """Sessions (project_id, session_id, start_seq, end_seq) of hook events (project_id, session_id, kind, seq): the first
     start counts, so a resumed session keeps its place; the last stop ends it."""
