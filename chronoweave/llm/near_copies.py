@@ -6,7 +6,7 @@ so candidates come from MinHash: 16 bands of 4 minima, of which a pair of simila
 
 Buckets of a few sets are compared pair by pair. In larger ones all sets are first compared with centres, which joins
 copies without pairs; sets that are still apart then meet in blocks, where signatures of a byte for each minimum tell which
-pairs can be similar at all. So no link is left out for the size of its bucket.
+pairs can be similar at all, and these are verified there. So no link is left out for the size of its bucket.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from .simhash import BATCH_SHINGLES, shingle_hashes
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Members of buckets up to this size are compared pair by pair; centres of larger ones; sets in a side of a block.
-PAIRED, CENTRES, BLOCK = 24, 4, 512
+PAIRED, CENTRES, BLOCK, BLOCK_BYTES = 24, 4, 512, 8 << 20
 #: Equal bytes of two signatures from which on a pair is verified: at similarity 0.8 fewer come once in 10,000 pairs.
 LIKELY = 38
 _RNG = np.random.default_rng(42)
@@ -106,26 +106,33 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def in_blocks(rows: DataFrame, block: int = BLOCK, likely: int = LIKELY) -> DataFrame:
-    """Pairs (a, b) of rows (key, fp, class, sig) of one key and different classes whose signatures agree in `likely` bytes.
+def in_blocks(rows: DataFrame, least: float = LEAST, block: int = BLOCK, likely: int = LIKELY) -> DataFrame:
+    """Links (a, b) that join all rows (key, fp, class, sig, shingles) of a key which are similar enough, where rows of a
+    class are joined already.
 
-    A key's rows are dealt to parts of about `block` rows by hash; each two parts meet in a task of their own, and only
-    pairs that may be similar leave it.
+    A key's rows are dealt by hash to parts of about `block` rows and BLOCK_BYTES bytes; each two parts meet in a task of
+    their own. Pairs whose signatures agree in `likely` bytes are verified there on their whole sets, unless they are
+    joined by then, so only as many links as rows leave a block, however many pairs are similar.
     """
-    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    rows = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("int")
+    rows = rows.join(rows.groupBy("key").agg(size.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("lo"), F.greatest("part", o).alias("hi")))
-    rows = rows.withColumn("at", F.explode(meets)).select("key", "at.lo", "at.hi", "part", "fp", "class", "sig")
+    rows = rows.withColumn("at", F.explode(meets)).select("key", "at.lo", "at.hi", "part", "fp", "class", "sig", "shingles")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-        fp, cls, part = (pdf[c].to_numpy() for c in ("fp", "class", "part"))
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        fp, part = pdf["fp"].to_numpy(), pdf["part"].to_numpy()
+        _, group = np.unique(pdf["class"].to_numpy(), return_inverse=True)  # of each row; joined ones take one number
         left, right = (np.flatnonzero(part == pdf[c].iloc[0]) for c in ("lo", "hi"))
         out = []
-        for i in left:
-            agree = (sigs[right] == sigs[i]).sum(axis=1)
-            fit = right[(agree >= likely) & (cls[right] != cls[i])]
-            out += [(min(x, fp[i]), max(x, fp[i])) for x in fp[fit]]
+        for i in left.tolist():
+            agree = right[((sigs[right] == sigs[i]).sum(axis=1) >= likely)]
+            for j in agree[group[agree] != group[i]].tolist():
+                if group[j] != group[i] and similarity(sets[i], sets[j]) >= least:
+                    out.append((min(fp[i], fp[j]), max(fp[i], fp[j])))
+                    group[group == group[j]] = group[i]
+        trim()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
@@ -169,15 +176,17 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", component:
     turns = large.withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(CENTRES)])))
     centres = turns.groupBy("key", "turn").agg(F.min(order).alias("m")).select("key", F.col("m.fp").alias("a"), F.col("m.class").alias("ca")).distinct()
     stars = centres.join(side(large, "b"), "key").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    done = [first, stored(pairs.unionByName(stars).distinct().join(first, ["a", "b"], "left_anti"))]
-    links = stored(links.unionByName(verified(done[1], texts, width, least)))
+    more = stored(pairs.unionByName(stars).distinct().join(first, ["a", "b"], "left_anti"))
+    links = stored(links.unionByName(verified(more, texts, width, least)))
 
     if not large.isEmpty():
         open_rows = apart(large)
         if not open_rows.isEmpty():
-            compared = done[0].unionByName(done[1])
-            more = in_blocks(open_rows.join(distinct.select("fp", "sig"), "fp")).join(compared, ["a", "b"], "left_anti")
-            links = links.unionByName(stored(verified(stored(more), texts, width, least)))
+            asked = open_rows.select("fp").distinct()
+            whole_sets = T.StructType([T.StructField("shingles", T.BinaryType())])
+            sets = stored(map_texts(texts.join(asked, "fp", "left_semi"), "text", lambda: lambda some: [[shingle_set(t, width).tobytes() for t in some]], whole_sets, keep_text=False))
+            marked = open_rows.select("key", "fp", "class").join(distinct.select("fp", "sig"), "fp").join(sets, "fp")
+            links = links.unionByName(stored(in_blocks(marked, least)))
 
     found = components(links, "a", "b")
     classes = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))

@@ -441,22 +441,32 @@ def test_copies_of_one_id_leave_room_for_other_ids(spark):
     assert {r.vec_id for r in ann.neighbours(table).collect() if r.query_id == 0} == {1, 2, 3}
 
 
-def test_blocks_lose_no_likely_pair(spark):
-    """Whatever the size of blocks: all pairs of a key, of different classes, with as many equal bytes."""
+def test_blocks_join_what_all_pairs_join(spark):
+    """Whatever the size of blocks: the closure of all similar pairs of a key, with as many links as rows at most."""
     from chronoweave.llm import near_copies
 
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 256, (6, 64), dtype=np.uint8)
-    rows = []
-    for i in range(150):
-        sig = base[i % 6].copy()
-        at = rng.choice(64, rng.integers(0, 40), replace=False)
-        sig[at] = rng.integers(0, 256, len(at))
-        rows.append((i % 2, 1000 + i, i // 3, sig.tobytes()))
-    want = {(x[1], y[1]) for x, y in itertools.combinations(rows, 2) if x[0] == y[0] and x[2] != y[2] and (np.frombuffer(x[3], np.uint8) == np.frombuffer(y[3], np.uint8)).sum() >= 38}
-    table = spark.createDataFrame(rows, "key long, fp long, class long, sig binary")
+    rng = random.Random(3)
+    base = [[f"b{g}w{i}" for i in range(80)] for g in range(6)]
+    texts = []
+    for i in range(120):
+        words = list(base[i % 6])
+        for at in rng.sample(range(80), rng.randint(0, 4)):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    _, _, sigs = near_copies.signatures(texts)
+    rows = [(i % 2, 1000 + i, 5000 + i, sigs[i], near_copies.shingle_set(t).tobytes()) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "key long, fp long, class long, sig binary, shingles binary")
     for block in (10, 1000):
-        assert {(r.a, r.b) for r in near_copies.in_blocks(table, block).collect()} == want
+        found = near_copies.in_blocks(table, block=block).collect()
+        for key in (0, 1):
+            mine = [i for i in range(120) if i % 2 == key]
+            root = {1000 + i: 1000 + i for i in mine}
+            for r in found:
+                if r.a in root:
+                    a, b = root[r.a], root[r.b]
+                    root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+            assert [root[1000 + i] for i in mine] == [1000 + mine[x] for x in like([texts[i] for i in mine])]
+        assert block < 1000 or len(found) < 120
 
 
 def test_large_buckets_are_compared_whole(spark, documents, monkeypatch):
