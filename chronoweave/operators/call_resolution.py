@@ -16,6 +16,18 @@ def symbols(defines: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def stored_symbols(det: DataFrame, root: Column) -> DataFrame:
+    """(project_id, fqn, lang, module, name, simple) of the defines that the log says live now: the index without
+    reading any source."""
+    from chronoweave.functions.idents import language, module_name
+
+    from .chains import CHAIN, current_version
+
+    live = current_version(det).where("edit_type <> 'delete' and define_name is not null").select(*CHAIN)
+    rows = live.select("project_id", language(F.col("file_path")).alias("lang"), module_name(F.col("file_path"), root).alias("module"), F.col("define_name").alias("name"))
+    return rows.select("project_id", F.concat("lang", F.lit("::"), "module", F.lit("."), "name").alias("fqn"), "lang", "module", "name", F.substring_index("name", ".", -1).alias("simple"))
+
+
 def resolve_calls(defines: DataFrame, import_map: DataFrame, redirects: DataFrame) -> DataFrame:
     """2.N, C13: (caller, callee, edge_kind) edges of all defines.
 

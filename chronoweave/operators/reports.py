@@ -9,6 +9,7 @@ from chronoweave.functions.idents import is_test_file
 
 from .chains import CHAIN, changed_since, define_summary
 from .intervals import within
+from .ranks import top_rows
 
 # Tokens of a round, list prices per million tokens (input, cache read, output), rounds saved by a stop.
 ROUND_TOKENS = (5000, 1000, 2000)
@@ -150,5 +151,63 @@ def briefing(nodes: DataFrame, calls: DataFrame, edges: DataFrame, parts: DataFr
     return out.select("node", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("callers", "callees", "peers")], F.coalesce("size", F.lit(1)).cast("long").alias("component_size"))
 
 
-def version_totals(det: DataFrame) -> DataFrame:
-    return define_summary(det).groupBy("project_id").agg(F.sum("version_count").alias("versions"))
+def resolve_histogram(incidents: DataFrame, reasons: Column) -> DataFrame:
+    """Resolved incidents by signal and how they ended."""
+    return incidents.where("state = 'resolved'").groupBy("signal", reasons.alias("resolved_by")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def modules(det: DataFrame, k: int = 5) -> DataFrame:
+    """The k files of each project with most events, ties by path: (project_id, modules), each as path:events."""
+    edits = det.groupBy("project_id", "file_path").agg(F.count(F.lit(1)).alias("n"))
+    best = top_rows(edits, ["project_id"], [F.desc("n"), F.col("file_path")], k)
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "file_path", "n")))
+    return best.groupBy("project_id").agg(F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["file_path"], x["n"])), ",").alias("modules"))
+
+
+def project_overview(det: DataFrame, incidents: DataFrame, calls: DataFrame, net: DataFrame, concerns: DataFrame, k: int = 3) -> DataFrame:
+    """Overview, the busiest files, the hubs of each project's calls (project_id, caller, callee), warnings of the safety
+    net, and the nodes of structural concern (project_id, node)."""
+    fan = calls.groupBy("project_id", "callee").agg(F.count_distinct("caller").alias("n"))
+    best = top_rows(fan, ["project_id"], [F.desc("n"), F.col("callee")], k)
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "callee", "n")))
+    hubs = best.groupBy("project_id").agg(F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["callee"], x["n"])), ",").alias("hubs"))
+    odd = concerns.groupBy("project_id").agg(F.array_join(F.sort_array(F.collect_set(F.col("node").cast("string"))), ",").alias("concerns"))
+    rows = overview(det, incidents).join(modules(det), "project_id", "left").join(hubs, "project_id", "left").join(odd, "project_id", "left")
+    return rows.join(net.select("project_id", "no_tests", "uncommitted"), "project_id", "left").fillna("", ["hubs", "concerns"])
+
+
+def range_report(sessions: DataFrame, det: DataFrame, calls: DataFrame, stacks: DataFrame, last: int = 3, k: int = 5) -> DataFrame:
+    """For each project the range of its last sessions with its changes, the cone of callers (calls: project_id, caller,
+    callee, of names file::define) around the changed defines, the suspects on the last crash stacks, and the first nodes of
+    the cone by callers and by distance."""
+    from .graph import closure, suspects
+
+    span = debug_range(sessions, det, last)
+    rows = within(det, span.select("project_id", "low", "high"), ["project_id"], "seq", "low", "high")
+    tag = lambda name: F.concat_ws("|", F.col("project_id").cast("string"), name)  # noqa: E731  # one graph of all projects
+    changed = rows.select(tag(F.concat_ws("::", "file_path", "define_name")).alias("node")).distinct()
+    graph = calls.select(tag(F.col("caller")).alias("caller"), tag(F.col("callee")).alias("callee"))
+    cone = closure(graph, "callee", "caller", changed).groupBy(F.col("ancestor").alias("node")).agg(F.min("depth").alias("depth"))
+    cone = cone.unionByName(changed.withColumn("depth", F.lit(0).cast("long"))).groupBy("node").agg(F.min("depth").alias("depth"))
+    cone = cone.select(F.substring_index("node", "|", 1).cast("long").alias("project_id"), F.expr("substring(node, instr(node, '|') + 1)").alias("node"), "depth")
+    fan = calls.groupBy("project_id", F.col("callee").alias("node")).agg(F.count_distinct("caller").alias("callers"))
+    ranked = cone.join(fan, ["project_id", "node"], "left").fillna(0, ["callers"])
+
+    def first(order: Column, name: str) -> DataFrame:
+        best = top_rows(ranked.withColumn("_o", order), ["project_id"], [F.col("_o"), F.col("node")], k)
+        return best.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "node"))), lambda x: x["node"]), ",").alias(name))
+
+    odd = suspects(cone, stacks).groupBy("project_id").agg(F.array_join(F.sort_array(F.collect_set("node")), ",").alias("suspects"))
+    out = span.join(cone.groupBy("project_id").agg(F.count(F.lit(1)).alias("cone")), "project_id", "left").join(odd, "project_id", "left")
+    return out.join(first(-F.col("callers"), "by_callers"), "project_id", "left").join(first(F.col("depth"), "by_distance"), "project_id", "left").fillna("", ["suspects", "by_callers", "by_distance"])
+
+
+def savings_report(rounds: DataFrame, measured: DataFrame, models: DataFrame, prices: DataFrame, incidents: DataFrame) -> DataFrame:
+    """For each project the best tier that its data allow: measured cost (project_id, total_cost); else its model's
+    (project_id, model) list price for its rounds; else counts alone. Saved is what five rounds of each stopped loop cost."""
+    price = round_cost(priced(models.select("model").distinct(), prices))
+    rows = savings(incidents, measured, rounds).drop("saved").join(models, "project_id", "left").join(price, "model", "left")
+    tier = F.when(F.col("total_cost") > 0, 1).when(F.col("round_cost").isNotNull(), 2).otherwise(3)
+    cost = F.when(tier == 1, F.col("total_cost")).when(tier == 2, F.col("max_seq") * F.col("round_cost"))
+    each = F.when(tier == 1, F.col("total_cost") / F.col("max_seq")).when(tier == 2, F.col("round_cost"))
+    return rows.select("project_id", tier.alias("tier"), "max_seq", "stopped", cost.alias("cost"), (F.col("stopped") * ROUNDS_SAVED * each).alias("saved"))

@@ -119,22 +119,32 @@ def junit_cases(spark, sf_dir):
 @query("""WITH c AS (SELECT DISTINCT l_orderkey AS run, 'coverage::p' || l_suppkey % 5 || '.K' || l_partkey % 7 AS test_case, 'p' || l_suppkey % 5 || '.K' || l_partkey % 7 AS k, l_linenumber FROM lineitem)
 SELECT run, test_case, k AS define_name FROM c UNION SELECT run, test_case, k || '.m' || l_linenumber FROM c""")
 def cobertura_cover(spark, sf_dir):
+    return S.cobertura_entries(cobertura_reports(spark, sf_dir)).distinct()
+
+
+def cobertura_reports(spark, sf_dir):
+    """A report for each order, with a class and method for each line: (run, xml)."""
     li = _lines(spark, sf_dir)
     part = F.format_string('<package name="p%d"><classes><class name="K%d" filename="a.py"><methods><method name="m%d" hits="0"/></methods></class></classes></package>', F.col("l_suppkey") % 5, F.col("l_partkey") % 7, "n")
-    rows = li.groupBy(F.col("l_orderkey").alias("run")).agg(F.concat(F.lit("<coverage><packages>"), F.array_join(F.collect_list(part), ""), F.lit("</packages></coverage>")).alias("xml"))
-    return S.cobertura_entries(rows).distinct()
+    return li.groupBy(F.col("l_orderkey").alias("run")).agg(F.concat(F.lit("<coverage><packages>"), F.array_join(F.collect_list(part), ""), F.lit("</packages></coverage>")).alias("xml"))
 
 
 @query("""WITH l AS (SELECT DISTINCT 'T' || l_orderkey % 100 AS tn, 'src/m' || l_suppkey % 20 || '.py' AS f, CAST(l_quantity AS BIGINT) AS line FROM lineitem WHERE l_linenumber > 1 AND l_quantity >= 5)
 SELECT DISTINCT tn || '::m' || regexp_extract(f, '[0-9]+') || '.py' AS test_case, 'd' || line // 5 AS define_name FROM l""")
 def lcov_cover(spark, sf_dir):
     """A report for each order; every fifth line of a source begins a function, from line 5."""
+    reports, sources = lcov_reports(spark, sf_dir)
+    return S.lcov_entries(S.lcov_lines(reports), S.headers(sources))
+
+
+def lcov_reports(spark, sf_dir):
+    """(reports (path, text), sources (path, text))."""
     li = _lines(spark, sf_dir)
     record = F.format_string("SF:src/m%d.py\nDA:%d,%d\nDA:%d,0\nend_of_record", F.col("l_suppkey") % 20, "q", F.when(F.col("n") > 1, 3).otherwise(0), F.col("q") + 1)
     rows = li.groupBy("l_orderkey").agg(F.concat(F.format_string("TN:T%d\n", F.first(F.col("l_orderkey") % 100)), F.array_join(F.collect_list(record), "\n")).alias("text"))
     text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(55)), lambda i: F.when(i % 5 == 0, F.concat(F.lit("  def d"), (i / 5).cast("int"), F.lit("(x):"))).otherwise("    pass")), "\n")
     sources = li.select((F.col("l_suppkey") % 20).alias("s")).distinct().select(F.concat(F.lit("src/m"), "s", F.lit(".py")).alias("path"), text.alias("text"))
-    return S.lcov_entries(S.lcov_lines(rows.withColumnRenamed("l_orderkey", "path")), S.headers(sources))
+    return rows.withColumnRenamed("l_orderkey", "path"), sources
 
 
 @query("""SELECT p_partkey AS id, array_to_string(CASE p_partkey % 4 WHEN 0 THEN ['load_' || p_size, 'Cache', 'Cache.load_' || p_size] WHEN 1 THEN ['clampValue', 'clamp_value', 'normalizers'] WHEN 2 THEN ['ParseTree', 'parse_tree', 'util', 'util.ParseTree'] ELSE ['saves a file', 'utils'] END, '|') AS names FROM part""")

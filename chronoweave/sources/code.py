@@ -30,8 +30,10 @@ def unresolved_calls(defines: DataFrame, edges: DataFrame, import_map: DataFrame
     binds, or names whose head an import binds to a project module. Built-in and library names cannot be told from typos
     without their libraries, so names that nothing in the project resembles are left to similar_names()."""
     me = F.concat("lang", F.lit("::"), "module", F.lit("."), "qualified_name")
-    raw = defines.select("path", me.alias("caller"), F.explode(F.array_distinct("calls")).alias("raw"))
+    own = F.transform("imports", lambda x: F.substring_index(x, ".", 1))  # what a body imports is bound there
+    raw = defines.select("path", me.alias("caller"), own.alias("own"), F.explode(F.array_distinct("calls")).alias("raw"))
     raw = raw.withColumn("last", F.substring_index("raw", ".", -1)).withColumn("head", F.substring_index("raw", ".", 1))
+    raw = raw.where(~F.array_contains("own", F.col("head"))).drop("own")
     done = edges.where("edge_kind = 'call'").select("caller", F.regexp_extract("callee", r"([^.]+)$", 1).alias("last")).distinct()
     bound = import_map.select("path", F.col("name").alias("head"), "target").distinct()
     modules = defines.select(F.col("module").alias("m")).distinct()

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .python_source import DEFINES
 
@@ -514,6 +515,19 @@ def aliases_of(config: str) -> dict[str, str]:
     return dict(sorted(out.items(), key=lambda x: -len(x[0])))
 
 
+def aliases(configs: DataFrame) -> DataFrame:
+    """(project_id, prefix, folder) of configuration files (project_id, path, text); of a project with both a tsconfig
+    and a jsconfig the first counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(p, k, v) for p, text in zip(batch["project_id"], batch["text"], strict=True) for k, v in aliases_of(text or "").items()]
+            yield pd.DataFrame(rows, columns=["project_id", "prefix", "folder"])
+
+    first = configs.groupBy("project_id").agg(F.max_by("text", F.col("path").endswith("tsconfig.json").cast("int")).alias("text"))
+    return first.mapInPandas(run, "project_id long, prefix string, folder string")
+
+
 #: What reading a file raises: unmatched brackets, an end within a construct, too deep nesting.
 UNREADABLE = (SyntaxError, IndexError, RecursionError)
 

@@ -47,10 +47,10 @@ def once(events: DataFrame, key: list[str], at: str = "at", window: str = "120 s
     return events.withWatermark(at, window).dropDuplicatesWithinWatermark(key)
 
 
-def run_rounds(events: DataFrame, stage: Callable[[DataFrame, int], None], checkpoint: str, once_only: bool = True) -> StreamingQuery:
+def run_rounds(events: DataFrame, stage: Callable[[DataFrame, int], None], checkpoint: str, once_only: bool = True, mode: str = "append") -> StreamingQuery:
     """L1: stage(batch, round) for each micro-batch; a round that failed is repeated whole, so stages must be idempotent
     in their round's number."""
-    writer = events.writeStream.foreachBatch(stage).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.outputMode(mode).foreachBatch(stage).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once_only else writer.trigger(processingTime="5 seconds")).start()
 
 
