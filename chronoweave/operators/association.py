@@ -35,24 +35,30 @@ def similar_names(asked: DataFrame, names: DataFrame, most: int = 2, k: int = 3)
     containing it or contained in it (distance 3); equal names are left out. Ties by name.
 
     Candidates meet on deletion neighbourhoods: two texts within two edits share a variant with at most two characters
-    removed, so there is no comparison of all with all. Containment meets on the shorter text among the longer's parts.
+    removed, so there is no comparison of all with all. Containment meets on the shorter text's rarest three characters,
+    which the longer one must hold, too, so both sides are linear in the names' length.
     """
     def variants(c):
         cut = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
         one = cut(F.lower(c))
         return F.array_distinct(F.concat(F.array(F.lower(c)), one, F.flatten(F.transform(one, cut))))
 
-    def parts(c):
-        n = F.length(c)
-        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(3), F.greatest(n - i + 1, F.lit(3))), lambda m: F.substring(F.lower(c), i, m)))))
+    def grams(rows, name):
+        n = F.length(name)
+        return rows.where(n >= 3).select(name, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(F.lower(name), i, F.lit(3))))).alias("g"))
+
+    def holding(outer, inner, long, short):
+        """Pairs whose long text contains the short one."""
+        held = grams(outer, long)
+        often = held.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        rarest = grams(inner, short).join(often, "g", "left").fillna(0, ["n"]).groupBy(short).agg(F.min_by("g", F.struct("n", "g")).alias("g"))
+        return held.join(rarest, "g").where(F.contains(F.lower(long), F.lower(short))).select("text", "name")
 
     a = asked.select("text").distinct().where("length(text) > 0")
     b = names.select("name").distinct().where("length(name) > 0")
     near = a.select("text", F.explode(variants(F.col("text"))).alias("v")).join(b.select("name", F.explode(variants(F.col("name"))).alias("v")), "v").select("text", "name").distinct()
     near = near.withColumn("distance", F.levenshtein(F.lower("text"), F.lower("name"))).where(F.col("distance") <= most)
-    longer = b.where("length(name) >= 3").select("name", F.explode(parts(F.col("name"))).alias("v")).join(a.select("text", F.lower("text").alias("v")), "v")
-    shorter = a.where("length(text) >= 3").select("text", F.explode(parts(F.col("text"))).alias("v")).join(b.select("name", F.lower("name").alias("v")), "v")
-    held = longer.select("text", "name").unionByName(shorter.select("text", "name")).distinct().withColumn("distance", F.lit(3))
+    held = holding(b, a, "name", "text").unionByName(holding(a, b, "text", "name")).distinct().withColumn("distance", F.lit(3))
     every = near.unionByName(held).where("text <> name").groupBy("text", "name").agg(F.min("distance").cast("long").alias("distance"))
     return top_rows(every, ["text"], [F.col("distance"), F.col("name")], k)
 

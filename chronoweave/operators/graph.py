@@ -250,14 +250,20 @@ def propagate_labels(edges: DataFrame, labels: DataFrame, frm: str, to: str) ->
 
 def acyclic_edges(edges: DataFrame, order: DataFrame) -> DataFrame:
     """Edges without self-loops and cycles. Edges between strongly connected components stay; inside one only those
-    that ascend in order (node, seq, id) do, so the result is acyclic whatever the order of arrival."""
+    that ascend in order (node, seq, id) do, so the result is acyclic whatever the order of arrival.
+
+    Edges that ascend stay anyway, so only the others, which arrive out of order, are followed: one closes a cycle if its
+    end leads back to its begin."""
     e = edges.select("from_det", "to_det").where("from_det <> to_det").distinct()
-    reach = closure(e, "from_det", "to_det").select("node", "ancestor")
-    back = reach.select(F.col("node").alias("to_det"), F.col("ancestor").alias("from_det"), F.lit(True).alias("cycle"))
     o = order.select("node", F.struct("seq", "id").alias("o"))
-    rows = e.join(back, ["from_det", "to_det"], "left")
-    rows = rows.join(o.select(F.col("node").alias("from_det"), F.col("o").alias("a")), "from_det").join(o.select(F.col("node").alias("to_det"), F.col("o").alias("b")), "to_det")
-    return rows.where("cycle is null or a < b").select("from_det", "to_det")
+    rows = e.join(o.select(F.col("node").alias("from_det"), F.col("o").alias("a")), "from_det").join(o.select(F.col("node").alias("to_det"), F.col("o").alias("b")), "to_det")
+    rows = stored(rows.select("from_det", "to_det", (F.col("a") < F.col("b")).alias("up")))
+    late = rows.where("not up").select("from_det", "to_det")
+    if late.isEmpty():
+        return rows.select("from_det", "to_det")
+    reach = closure(e, "from_det", "to_det", late.select(F.col("to_det").alias("node")))
+    back = reach.select(F.col("node").alias("to_det"), F.col("ancestor").alias("from_det"))
+    return rows.where("up").select("from_det", "to_det").unionByName(late.join(back, ["from_det", "to_det"], "left_anti"))
 
 
 def current_edges(calls: DataFrame, current: DataFrame) -> DataFrame:

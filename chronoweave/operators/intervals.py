@@ -9,15 +9,21 @@ from pyspark.sql import functions as F
 def within(points: DataFrame, spans: DataFrame, by: list[str], at: str, low: str, high: str, width: int = 256, open_low: bool = True) -> DataFrame:
     """Inner join of points with the spans that hold them: low < at <= high (or low <= at). A null high is unbounded.
 
-    Both sides meet on by and a bin of the long column, so no task compares all points with all spans. A span goes to
-    each bin it touches; unbounded ones, found by the points' largest value for the key, end there.
+    Both sides meet on by and a bin of the long column, so no task compares all points with all spans. Bins are `width`
+    wide, or for longer spans the next power of two times that, so a span touches two bins at most, however long it is; a
+    point goes to one bin of each width that occurs. These widths, 60 at most, reach the driver. Unbounded spans end at the
+    points' largest value for the key.
     """
     top = points.groupBy(*by).agg(F.max(at).alias("_top"))
     spans = spans.join(top, by).withColumn("_end", F.least(F.coalesce(F.col(high), F.col("_top")), F.col("_top")))
-    spans = spans.where(F.col("_end") >= F.col(low)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col("_end") / width))))
-    rows = points.withColumn("_bin", F.floor(F.col(at) / width)).join(spans, [*by, "_bin"])
+    spans = spans.where(F.col("_end") >= F.col(low))
+    spans = spans.withColumn("_size", (width * F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2((F.col("_end") - F.col(low) + 1) / width))))).cast("long"))
+    sizes = [r["_size"] for r in spans.select("_size").distinct().collect()]
+    spans = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / F.col("_size")), F.floor(F.col("_end") / F.col("_size")))))
+    rows = points.withColumn("_size", F.explode(F.array(*[F.lit(s).cast("long") for s in sizes]).cast("array<bigint>")))
+    rows = rows.withColumn("_bin", F.floor(F.col(at) / F.col("_size"))).join(spans, [*by, "_size", "_bin"])
     above = F.col(at) > F.col(low) if open_low else F.col(at) >= F.col(low)
-    return rows.where(above & (F.col(at) <= F.col("_end"))).drop("_bin", "_top", "_end")
+    return rows.where(above & (F.col(at) <= F.col("_end"))).drop("_bin", "_size", "_top", "_end")
 
 
 def _neighbours(left: DataFrame, right: DataFrame, by: list[str], left_at: str, width: int) -> DataFrame:

@@ -336,3 +336,16 @@ def test_closure_depths_against_search(spark, seed):
     for most in (1, 2, 3, 7):
         assert found(most=most) == {k: d for k, d in want.items() if d <= most}
         assert found(seeds=seeds, most=most) == {k: d for k, d in want.items() if k[0] in (0, 50, 33) and d <= most}
+
+
+def test_long_spans_touch_two_bins(spark):
+    """Spans of very different lengths, with a narrow width: all pairs, and no more rows than two for each span."""
+    rng = random.Random(5)
+    points = [(1, rng.randrange(10**7)) for _ in range(300)]
+    spans = [(1, i, low, low + rng.choice([0, 3, 100, 10**4, 5 * 10**6])) for i, low in enumerate(rng.randrange(10**7) for _ in range(60))] + [(1, 99, 5 * 10**6, None)]
+    p = spark.createDataFrame(points, "k long, at long")
+    s = spark.createDataFrame(spans, "k long, i long, low long, high long")
+    top = max(at for _, at in points)
+    want = sorted((at, i) for _, at in points for _, i, low, high in spans if low < at <= (top if high is None else high))
+    assert sorted((r.at, r.i) for r in intervals.within(p, s, ["k"], "at", "low", "high", width=16).collect()) == want
+    assert intervals.within(p, s.limit(0), ["k"], "at", "low", "high").count() == 0
