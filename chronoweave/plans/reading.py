@@ -327,7 +327,61 @@ def savings_report(spark, sf_dir):
     return out.withColumn("cost", F.round("cost", 4)).withColumn("saved", F.round("saved", 4))
 
 
-# 2.Q: streams
+# 2.Q, I01: streams and rounds
+
+#: Points of the order at which a tree was read.
+READ = (150, 600, 1_000_000)
+_STATES = " UNION ALL ".join(f"SELECT {n} AS round, project_id, file_path, define_name, content_hash FROM (SELECT * FROM det WHERE seq <= {cut} QUALIFY row_number() OVER (PARTITION BY project_id, file_path, define_name ORDER BY seq DESC) = 1) WHERE edit_type <> 'delete'" for n, cut in enumerate(READ, 1))
+
+
+def _rounds(spark, sf_dir):
+    from chronoweave.operators import reconcile as whole
+
+    det, tables, nothing = stored(A.determinations(spark, sf_dir)), whole.empty(spark), whole.seen_nothing(spark)
+    for n, cut in enumerate(READ, 1):
+        now = C.current_version(det.where(F.col("seq") <= cut)).where("edit_type <> 'delete'")
+        defines = now.select(*C.CHAIN, "content_hash", "node_fingerprint", "fine_fingerprint")
+        breaches = now.where("file_path like '%9.py'").select("project_id", F.col("file_path").alias("path")) if n < 3 else nothing.breaches
+        tables, _, _ = whole.round_(tables, whole.replace(nothing, defines=defines, breaches=breaches), n)
+    return tables
+
+
+@query(f"""WITH st AS ({_STATES}), d AS (SELECT n AS round, coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.file_path, b.file_path) AS file_path, coalesce(a.define_name, b.define_name) AS define_name, b.content_hash,
+CASE WHEN a.round IS NULL THEN 'create' WHEN b.round IS NULL THEN 'delete' ELSE 'modify' END AS edit_type
+FROM (SELECT *, round + 1 AS n FROM st WHERE round < 3) a FULL JOIN (SELECT *, round AS n FROM st) b USING (n, project_id, file_path, define_name) WHERE a.content_hash IS DISTINCT FROM b.content_hash)
+SELECT project_id, file_path, define_name, content_hash, edit_type, CAST(round AS BIGINT) AS round, row_number() OVER (PARTITION BY project_id ORDER BY round, file_path, define_name) AS seq FROM d""")
+def reconcile_log(spark, sf_dir):
+    """I01, phase 1 over three rounds: what each reading of the tree found new, changed or gone, numbered in order."""
+    return _rounds(spark, sf_dir).log.select(*C.CHAIN, "content_hash", "edit_type", "round", "seq")
+
+
+@query(f"""WITH st AS ({_STATES}), b AS (SELECT project_id, file_path, min(round) AS first, max(round) AS last FROM st WHERE file_path LIKE '%9.py' AND round < 3 GROUP BY 1, 2)
+SELECT project_id, 'boundary_breach' AS signal, file_path AS target_node, CASE WHEN first = 1 AND last = 2 THEN 'escalated_user' ELSE 'notified_agent' END AS state, CAST(first AS BIGINT) AS round FROM b""")
+def reconcile_incidents(spark, sf_dir):
+    """Breaches open in a round, recur in the next, and rest for one in the third; the user hears of the second."""
+    rows = _rounds(spark, sf_dir).incidents.where("signal = 'boundary_breach'")
+    return rows.select("project_id", "signal", "target_node", "state", "round")
+
+
+@query("""WITH e AS (SELECT DISTINCT event_id // 2 AS id, CASE event_type WHEN 'view' THEN 'post_read' WHEN 'click' THEN 'post_edit' WHEN 'signup' THEN 'session_start' WHEN 'purchase' THEN 'stop' END AS kind FROM events WHERE event_type <> 'error' AND NOT (event_type = 'purchase' AND event_id % 3 = 0))
+SELECT kind, count(*) AS events FROM e GROUP BY 1""")
+def stream_once(spark, sf_dir):
+    """A22, Q-dedup, Q-guard: hook events from JSON files; unknown kinds, broken lines and stops within a stop go, and each
+    event counts once."""
+    source, out, marks = scratch_dir(spark), scratch_dir(spark), scratch_dir(spark)
+    e, kind = A.raw(spark, sf_dir, "events"), F.col("event_type")
+    name = F.when(kind == "view", "post_read").when(kind == "click", "post_edit").when(kind == "signup", "session_start").when(kind == "purchase", "stop").otherwise("unknown")
+    body = F.to_json(F.struct(F.concat(F.lit("e"), F.floor(F.col("event_id") / 2)).alias("event_id"), name.alias("kind"), (F.col("event_id") % 3 == 0).alias("stop_active"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("at")))
+    lines = e.select(body.alias("value"))
+    lines.union(spark.range(1).select(F.lit("not json").alias("value"))).coalesce(2).write.text(source)
+    events = W.once(W.hook_events(spark, source), ["event_id", "kind"], window="60 days")
+
+    def keep(batch, number):
+        batch.select("event_id", "kind").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    W.run_rounds(events, keep, marks).awaitTermination()
+    return spark.read.parquet(out).groupBy("kind").agg(F.count(F.lit(1)).alias("events"))
+
 
 
 @query("""WITH r AS (SELECT user_id AS incident, CASE WHEN user_id % 2 = 0 THEN 'stuck_region' ELSE 'test_tampering' END AS signal, event_id AS round, event_type = 'error' AS rec FROM events) SELECT incident, signal, count(*) AS rounds FROM r GROUP BY 1, 2""")

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronoweave.operators.escalation import INTEGRITY, QUIET_ROUNDS, STATE_BASED, THETA
+from chronoweave.operators.reconcile import Seen
 
 #: A hook event: what happened, where, in which project and session.
 EVENT = T.StructType(
@@ -54,6 +55,24 @@ def run_rounds(events: DataFrame, stage: Callable[[DataFrame, int], None], check
     return (writer.trigger(availableNow=True) if once_only else writer.trigger(processingTime="5 seconds")).start()
 
 
+def whole_rounds(folder: str, see: Callable[[DataFrame], Seen]) -> Callable[[DataFrame, int], None]:
+    """The stage of a round with all its rules (operators.reconcile): see(batch) says what a batch of events looked
+    at. Round n reads the tables that round n - 1 left in its folder and overwrites its own, so repeating it is harmless."""
+    from chronoweave.operators import reconcile as whole
+
+    def stage(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = whole.empty(spark)
+        names = ("log", "calls", "edges", "incidents", "messages")
+        if number:
+            before = whole.Tables(*(spark.read.schema(getattr(before, n).schema).parquet(f"{folder}/round={number - 1}/{n}") for n in names))
+        after, net, assist = whole.round_(before, see(batch), number)
+        for name, df in (*((n, getattr(after, n)) for n in names), ("net", net), ("assist", assist)):
+            df.write.mode("overwrite").parquet(f"{folder}/round={number}/{name}")
+
+    return stage
+
+
 def reconcile(log: str, incidents: str, defines_of: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """The stage of a round over Parquet tables: the changed files' defines become events of the log, numbered in
     order, and rules over the log open incidents that are not open yet.
