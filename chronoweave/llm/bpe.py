@@ -212,7 +212,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", ids:
 
     vocabulary: path of a `tokenizers` BPE file on the driver; its content (a few MB, whatever the corpus) goes along
     with the tasks. Null texts count as empty: no ids, decoded to "". Extra columns stay; columns named like the two
-    results are replaced. Rows are independent: no shuffle, any number of repeated rows, empty tables give empty ones.
+    results are replaced. Rows are independent: no shuffle, equal texts have equal ids, any number of repeated rows; long
+    texts are encoded whole, word by word. Empty tables give empty ones.
     """
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as f:

@@ -104,7 +104,9 @@ def delete(fingerprint: str, removed: list[str]) -> str:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", fingerprint: str = "fingerprint", keep_text: bool = True) -> DataFrame:
-    """docs with a fingerprint of every whole text. Null and empty texts have the zero vector. No shuffle."""
+    """docs with a fingerprint of every whole text. Null and empty texts have the zero vector, equal texts equal ones.
+    Repeated rows stay; extra columns too, one named like the result is replaced; an empty table gives an empty one. No
+    shuffle; long texts cost their length."""
     return map_texts(docs, text, lambda: lambda texts: [[to_text(v) for v in vectors([paragraphs(x) for x in texts])]], T.StructType([T.StructField(fingerprint, T.StringType())]), keep_text)
 
 
@@ -139,8 +141,9 @@ def with_next(docs: DataFrame, key: str, text: str, blocks: int) -> DataFrame:
 def edited_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document beside an edited copy: the last half of its characters replaced by the next document's first as many.
 
-    The next document is the one that follows in ascending order of key (equal keys: by text; null keys first; the first
-    one after the last). The edited fingerprint is updated from the document's: the paragraphs of its second half are
+    The next document is the one that follows in ascending order of key (equal keys: by text, so repeated rows follow each
+    other; null keys first; the first one after the last). Null texts count as empty. Long texts count whole; a worker
+    holds two neighbours at once. Extra columns are not looked at, whatever their names. The edited fingerprint is updated from the document's: the paragraphs of its second half are
     deleted, the new ones inserted. Returns key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next. An empty table gives an empty one; a single document follows itself.
     """

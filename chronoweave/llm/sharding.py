@@ -86,15 +86,17 @@ def sharded(docs: DataFrame, id: str = "doc_id", text: str = "text", shards: int
 
     size: UTF-8 bytes of the text plus 1; null texts count as empty, and are in one group with empty ones. slot: place in
     the shard, from 0 without gaps. Groups are equal texts, or those of the column `group` (null: no links). Groups keep
-    together as far as the counts allow. Repeated ids and rows are placed row by row. Empty tables give empty ones.
+    together as far as the counts allow; ties between shards go by hash. Repeated ids and rows are placed row by row, null
+    ids too. Of a text only its length and two hashes are kept, however long it is. Extra columns are not looked at,
+    whatever their names (but for `group`). Empty tables give empty ones.
     """
     rows = docs.select(F.col(id).alias("id"), F.octet_length(whole(text)).cast("long").alias("size"), F.crc32(whole(text)).alias("crc"), (F.xxhash64(whole(text)) if group is None else F.xxhash64(group)).alias("group"), (F.lit(True) if group is None else group.isNotNull()).alias("linked"))
     rows = stored(rows.withColumn("size", F.col("size") + 1).withColumn("cell", F.pmod(F.xxhash64(F.lit(3), "id", "crc"), F.lit(CELLS)).cast("int")))
     total = rows.count()
     limit = [total // shards + (s < total % shards) for s in range(shards)]
-    cells = rows.where("linked").groupBy("group", "cell").agg(F.count(F.lit(1)).alias("n"))
-    members = F.sum("n").over(Window.partitionBy("group"))
-    placed = propagated(cells.withColumn("members", members).where("members > 1").drop("members"), shards, limit, rounds)
+    cells = stored(rows.where("linked").groupBy("group", "cell").agg(F.count(F.lit(1)).alias("n")))
+    several = cells.groupBy("group").agg(F.sum("n").alias("members")).where("members > 1").select("group")
+    placed = propagated(cells.join(several, "group", "left_semi"), shards, limit, rounds)
     rows = rows.join(placed.select("group", "cell", F.col("shard").alias("near"), F.lit(True).alias("linked")), ["group", "cell", "linked"], "left").withColumn("near", F.coalesce("near", F.lit(shards)))
     return filled(rows, shards, limit).select(F.col("id").alias(id), "size", F.col("crc").alias("text_crc32"), "group", "shard", "slot")
 

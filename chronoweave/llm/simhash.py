@@ -72,7 +72,9 @@ def simhashes(texts: list[str]) -> list[int]:
 
 
 def fingerprinted(docs: DataFrame, text: str = "text", fingerprint: str = "fingerprint", keep_text: bool = True) -> DataFrame:
-    """docs with the SimHash of every whole text as a long. Null, empty and blank texts have 0. No shuffle."""
+    """docs with the SimHash of every whole text as a long. Null, empty and blank texts have 0; a bit set in just half the
+    hashes is 0. Repeated rows stay; extra columns too, one named like the result is replaced. Long texts count whole; their
+    hashes are held for one text at a time. An empty table gives an empty one. No shuffle."""
     return map_texts(docs, text, lambda: lambda texts: [simhashes(texts)], T.StructType([T.StructField(fingerprint, T.LongType())]), keep_text)
 
 
@@ -162,7 +164,7 @@ def links(distinct: DataFrame, fingerprint: str = "fingerprint", paired: int = P
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", component: str = "component_id", fingerprint: str = "fingerprint") -> DataFrame:
     """(id, fingerprint, component) for every document; component is the least id reachable over links, its own included.
 
-    Equal fingerprints are linked, zero ones too. Ids may repeat: each row has its result. Null ids take part, but a
+    Equal fingerprints are linked, zero ones too. Extra columns are not looked at, whatever their names. Ids may repeat: each row has its result. Null ids take part, but a
     component's id is null only if all its ids are. Empty tables give empty ones. Copies are merged before linking (with
     partial aggregation), so their number costs nothing; the last join is on the fingerprint and skewed by copies, which
     adaptive execution splits.

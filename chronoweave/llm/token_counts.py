@@ -129,7 +129,7 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", n_tokens:
     vocabulary: path of a byte-level BPE file of the `tokenizers` library on the driver; its content (a few MB) goes
     along with the tasks. Special strings inside texts count as the library counts them. Null texts count as empty: 0.
     Extra columns stay; a column named like the result is replaced. Rows are independent, so ties, repeated rows and
-    empty tables need no care, and there is no shuffle.
+    empty tables need no care, and there is no shuffle. Long texts are counted whole, two chunks at a time.
     """
     with open(vocabulary, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())

@@ -489,3 +489,23 @@ def test_large_buckets_are_compared_whole(spark, documents, monkeypatch):
     roots = like([t or "" for _, t in rows])
     assert got == {i: min(j for (j, _), x in zip(rows, roots, strict=True) if x == root) for (i, _), root in zip(rows, roots, strict=True)}
     assert len(set(got.values())) == 13
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, documents):
+    """Names that stages use themselves, nulls in every column, repeated rows, a long text."""
+    clash = {"_score": 1, "score": "s", "_Base": 2, "spans": 3, "_redacted": 4, "_row": 5, "size": 6, "_hash": 7, "_copies": 8, "_source": 9, "T": 10, "i": 11, "fp": 12, "IDS2": 13}
+    rows = [(1, "write to a.b@mail.example.com now"), (1, "write to a.b@mail.example.com now"), (2, None), (None, "no id here at all"), (3, "word " * 30_000), (4, "")]
+    docs = documents(rows, **clash).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.when(F.col("doc_id") > 1, F.col("source")))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        assert out.columns[: len(docs.columns)] == docs.columns if name == "tokens" else out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(tuple(r[c] for c in clash) == tuple(clash.values()) for r in got), name
+
+
+def test_shards_of_one_hot_group_and_of_none(documents):
+    """All rows equal, and all different: counts stay even, and a column that is named like a result does not matter."""
+    for rows in ([(i, "same") for i in range(100)], [(i, f"text {i}") for i in range(100)]):
+        found = sharding.sharded(documents(rows, n=1, members=2, Group="x", near=3)).collect()
+        counts = [sum(r.shard == s for r in found) for s in range(16)]
+        assert sum(counts) == 100 and max(counts) - min(counts) <= 1

@@ -320,3 +320,17 @@ def test_personal_data_digests(documents):
     r = pii.digests(pii.personal_data(documents([(1, text)]))).first()
     assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.spans) == (1, 1, 1, 1, spans)
     assert r.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+
+
+def test_columns_of_any_name_and_long_texts(documents):
+    """Fingerprints, edits and token counts beside columns named like theirs; n_bytes and over_limit by the library."""
+    rows = [(0, "one two\nthree"), (1, None), (1, None), (2, "é" * 3000), (3, "long words here " * 5000)]
+    docs = documents(rows, FINGERPRINT=1, _block=2, _ahead=3, _key="k", near_next=4, N_Tokens=5, n_bytes=6)
+    found = fingerprints.fingerprints(docs).collect()
+    assert len(found) == 5 and {r.fingerprint for r in found if r.text is None} == {fingerprints.to_text(np.zeros(fingerprints.LANES, np.uint32))}
+    edited = sorted(fingerprints.edited_with_next(docs).collect(), key=lambda r: r.doc_id)
+    assert [(r.doc_id, r.n_chars) for r in edited] == [(0, 13), (1, 0), (1, 0), (2, 3000), (3, 80_000)]
+    counted = token_counts.token_counts(docs.select("*", token_counts.n_bytes("text").alias("bytes")), BYTE, n_tokens="n").collect()
+    for r in counted:
+        n = len(library[BYTE].encode(r.text or "", add_special_tokens=False))
+        assert (r.bytes, r.n, r.n > 1024) == (len((r.text or "").encode()), n, n > 1024)
