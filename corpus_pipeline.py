@@ -1,7 +1,8 @@
 """From raw documents to token ids: stages, each written as Parquet and read again by the next.
 
 Run it where the repository is importable on driver and executors (PYTHONPATH or --py-files). All stages but the last
-return the columns of documents; each works on all rows that its predecessor kept.
+return the columns of documents, extra ones too, whatever their names; each works on all rows that its predecessor kept.
+An empty table gives an empty one. Texts are read whole, however long they are.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from chronoweave.llm.common import plain, small_batches, stored, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents that are rather toxic than not go. Learns from labelled rows that are not held out."""
+    """Operator 5: documents that are rather toxic than not go (a score of 0.5 goes). Learns from labelled rows that are not
+    held out. Null and empty texts are scored like texts without any sign; repeated rows share their fate."""
     small_batches(spark)
     names = docs.columns
     model = toxicity.learned(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
@@ -25,13 +27,15 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: one document of each group of near-duplicates (five-word shingles, similarity 0.8 at least) stays, that
-    of the least doc_id."""
+    of the least doc_id; of rows that share it the least text hash, of equal rows one. Null, empty and blank texts are one
+    group; rows without doc_id come after others."""
     small_batches(spark)
     return simhash.deduplicated(docs, find=near_copies.similar)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: personal data give way to their kind's mark; n_chars follows. Null texts stay null."""
+    """Operator 10: personal data give way to their kind's mark; n_chars follows. Null texts stay null, empty ones empty, and
+    repeated rows stay, changed alike. Of overlapping spans the first one's mark stands."""
     small_batches(spark)
     names = docs.columns
     mark, base, spans = (plain(x, names) for x in ("_redacted", "_base", "_spans"))
@@ -41,13 +45,15 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def in_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: each document as often as the mix takes it."""
+    """Operator 6: each document as often as the mix takes it, twice at most. Null sources are one source; texts without words
+    come as often as whole passes over their source; of equal rows any may be taken once more."""
     small_batches(spark)
     return mixing.mixed(docs)
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: every document with its token ids and the text decoded from them."""
+    """Operator 2: every document, repeated ones too, with its token ids and the text decoded from them; none and "" for null
+    and empty texts. Columns named ids or decoded are replaced."""
     small_batches(spark)
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
