@@ -1,8 +1,8 @@
 """Near copies by likeness: documents whose sets of word shingles have a Jaccard similarity of at least a bound.
 
-A 64-bit SimHash within a radius that Golay keys can serve misses most of such pairs (similarity 0.8 is about 10 bits),
-so candidates come from MinHash: 16 bands of 4 minima, of which a pair of similarity 0.8 shares one with probability
-0.9998. Every candidate is verified exactly on the two texts, and verified links are closed to components.
+Candidates come from Golay keys first: SimHash fingerprints of the sets within 2 bits, as in simhash.py. That is a radius
+which misses most pairs (similarity 0.8 is about 10 bits), so MinHash finds the others: 16 bands of 4 minima, of which a
+pair of similarity 0.8 shares one with probability 0.9998. Every candidate is verified exactly on the two texts, and verified links are closed to components.
 
 Buckets of a few sets are compared pair by pair. In larger ones all sets are first compared with centres, which joins
 copies without pairs; sets that are still apart then meet in blocks, where signatures of a byte for each minimum tell which
@@ -25,6 +25,7 @@ from chronoweave.operators.components import components
 
 from .common import map_texts, stored, trim, whole
 from .simhash import BATCH_SHINGLES, shingle_hashes
+from .simhash import links as golay_links
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -48,9 +49,10 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if len(a) + len(b) else 1.0
 
 
-def signatures(texts: list[str], width: int = WIDTH) -> tuple[list[int], list[list[int]], list[bytes]]:
-    """For each text the digest of its shingle set (0 if empty), the keys of its bands (none if empty), and a byte of each
-    of its minima."""
+def signatures(texts: list[str], width: int = WIDTH) -> tuple[list[int], list[list[int]], list[bytes], list[int]]:
+    """For each text the digest of its shingle set (0 if empty), the keys of its bands (none if empty), a byte of each of its
+    minima, and the SimHash of the set."""
+    prints: list[int] = []
     digests: list[int] = []
     bands: list[list[int]] = []
     bytes_: list[bytes] = []
@@ -65,6 +67,9 @@ def signatures(texts: list[str], width: int = WIDTH) -> tuple[list[int], list[li
             starts = np.cumsum(sizes) - sizes
             least = np.stack([np.minimum.reduceat((flat ^ m) * f, starts) for m, f in zip(MASKS, FACTORS, strict=True)], axis=1)
             bytes_.extend(row.tobytes() for row in (least & np.uint64(255)).astype(np.uint8))
+            bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1)
+            set_ = 2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int64) > sizes[:, None]
+            prints.extend(np.packbits(set_, axis=1).view(">i8").ravel().tolist())
             for row in least.reshape(len(pending), BANDS, ROWS):
                 bands.append([xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(row)])
         pending.clear()
@@ -77,6 +82,7 @@ def signatures(texts: list[str], width: int = WIDTH) -> tuple[list[int], list[li
             digests.append(0)
             bands.append([])
             bytes_.append(b"")
+            prints.append(0)
             continue
         digests.append(xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63))
         pending.append(found)
@@ -84,7 +90,7 @@ def signatures(texts: list[str], width: int = WIDTH) -> tuple[list[int], list[li
         if held >= BATCH_SHINGLES:
             flush()
     flush()
-    return digests, bands, bytes_
+    return digests, bands, bytes_, prints
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -142,22 +148,29 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", component:
     """(id, component) for every document; component is the least id reachable over links of similarity >= least, its own
     included. Null, empty and blank texts, which have no words, are one group.
 
-    Equal sets are merged first, so copies cost nothing. Each set is compared with the least one of each of its buckets;
+    Equal sets are merged first, so copies cost nothing. Each set is compared with those that Golay keys find, and with the
+    least one of each of its buckets;
     then those that are not connected yet are compared pair by pair in buckets of up to PAIRED sets, in larger ones with
     CENTRES of each bucket, which differ from band to band, and at last in blocks. Texts move once, and once for each pair
     compared. Ids may repeat and may be null; each row has its result. Long texts count whole. Other columns are not looked
     at. An empty table gives an empty one.
     """
-    names = T.StructType([T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
+    names = T.StructType([T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType()), T.StructField("print", T.LongType())])
     source = docs.select(F.col(id).alias("id"), whole(text).alias("text")).withColumn("h", F.xxhash64("text"))
     base = stored(map_texts(source, "text", lambda: lambda texts: list(signatures(texts, width)), names, keep_text=False))
-    distinct = stored(base.groupBy("fp").agg(F.min("id").alias("least"), F.min("h").alias("h"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
+    distinct = stored(base.groupBy("fp").agg(F.min("id").alias("least"), F.min("h").alias("h"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("print").alias("print")))
     rows = distinct.select(F.explode("keys").alias("key"), "fp")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("centre")).where("n > 1")
     rows = stored(rows.join(sizes, "key"))
-    asked = rows.select("fp").distinct().join(distinct.select("fp", "h"), "fp")
+    # fingerprints within 2 bits, each stood for by its least set; sets of one fingerprint are held against that
+    prints = stored(distinct.where(F.size("keys") > 0).groupBy("print").agg(F.min("fp").alias("stands"), F.count(F.lit(1)).alias("n")))
+    stands = lambda x: prints.select(F.col("print").alias(x), F.col("stands").alias(f"s{x}"))
+    near = golay_links(prints.select("print"), "print").join(stands("a"), "a").join(stands("b"), "b").select(F.col("sa").alias("a"), F.col("sb").alias("b"))
+    same = distinct.select("fp", "print").join(prints.where("n > 1"), "print").where("fp <> stands").select(F.col("stands").alias("a"), F.col("fp").alias("b"))
+    golay = stored(near.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    asked = rows.select("fp").union(golay.select("a")).union(golay.select("b")).distinct().join(distinct.select("fp", "h"), "fp")
     texts = stored(source.select("h", "text").join(asked, "h").groupBy("fp").agg(F.first("text").alias("text")))
-    first = stored(rows.where("fp <> centre").select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct())
+    first = stored(rows.where("fp <> centre").select(F.col("centre").alias("a"), F.col("fp").alias("b")).union(golay).distinct())
     links = stored(verified(first, texts, width, least))
 
     def apart(of: DataFrame) -> DataFrame:

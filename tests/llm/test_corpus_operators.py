@@ -453,7 +453,7 @@ def test_blocks_join_what_all_pairs_join(spark):
         for at in rng.sample(range(80), rng.randint(0, 4)):
             words[at] = f"x{rng.randrange(10**6)}"
         texts.append(" ".join(words))
-    _, _, sigs = near_copies.signatures(texts)
+    _, _, sigs, _ = near_copies.signatures(texts)
     rows = [(i % 2, 1000 + i, 5000 + i, sigs[i], near_copies.shingle_set(t).tobytes()) for i, t in enumerate(texts)]
     table = spark.createDataFrame(rows, "key long, fp long, class long, sig binary, shingles binary")
     for block in (10, 1000):
