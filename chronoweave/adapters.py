@@ -77,9 +77,9 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((1 + F.col("user_id") % 3).alias("project_id"), F.concat(F.lit("src/m"), "user_id", F.lit(".py")).alias("file_path"), F.col("event_type").alias("define_name"), F.concat(F.lit("tests.C"), "o_custkey").alias("classname"), F.col("o_orderpriority").alias("name"))
 
 
-def crashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every error event is a crash of its project, its signature from the value."""
-    d = determinations(spark, sf_dir).where("define_name = 'error'")
+def crashes(spark: SparkSession, sf_dir: str, det: DataFrame | None = None) -> DataFrame:
+    """Every error event is a crash of its project, its signature from the value. det: the log, if it is at hand."""
+    d = (determinations(spark, sf_dir) if det is None else det).where("define_name = 'error'")
     kind = F.when(F.col("k") % 3 == 0, "TypeError|undefined").when(F.col("k") % 3 == 1, "KeyError|missing")
     return d.select("id", "project_id", "seq", kind.alias("error_signature"))
 

@@ -211,6 +211,40 @@ def js_call_edges(spark, sf_dir):
     return R.resolve_calls(K.defines(files), found, more).where("edge_kind = 'call'").select("caller", "callee")
 
 
+@query("SELECT 'js_ts::src/u' || p_partkey || '.use' AS caller, 'lost' AS raw FROM part")
+def js_unresolved_calls(spark, sf_dir):
+    """M19 from the sources: a name that nothing binds."""
+    files = stored(_scripts(spark, sf_dir))
+    found, more = _script_tables(files)
+    rows = K.defines(files)
+    return K.unresolved_calls(rows, R.resolve_calls(rows, found, more), found)
+
+
+_FLOW = """import { run, make, pick } from './lib%1$d';
+export async function flow(a) {
+  const g = make; const h = g;
+  run(a); await run(1)
+  run(2)
+  const v = h(1);
+  if (v) run(3);
+  return pick(v).x;
+}
+"""
+_LIB = "export function run() { return 1; }\nexport function make() { return 2; }\nexport function pick(x) { return x; }\n"
+
+
+@query("""SELECT 'js_ts::src/f' || p_partkey || '.flow' AS caller, 'js_ts::src/lib' || p_partkey || '.' || n AS callee FROM part, (VALUES ('make'), ('pick')) v(n)""")
+def js_consumed_calls(spark, sf_dir):
+    """M18 from the sources: callees whose values are used, through constants that stand for them; calls that are statements
+    of their own are none, awaited or not."""
+    p = A.raw(spark, sf_dir, "part")
+    files = p.select(F.concat(F.lit("src/f"), "p_partkey", F.lit(".ts")).alias("path"), F.format_string(_FLOW, "p_partkey").alias("text"))
+    files = stored(files.union(p.select(F.concat(F.lit("src/lib"), "p_partkey", F.lit(".ts")), F.lit(_LIB))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path"))
+    found, more = _script_tables(files)
+    rows = K.defines(files).join(J.consumed(files), ["path", "qualified_name"]).withColumn("calls", F.col("consumed")).drop("consumed")
+    return R.resolve_calls(rows, found, more).where("edge_kind = 'call'").select("caller", "callee")
+
+
 @query("""SELECT 'src/' || x || p_partkey || '.ts' AS path, NOT (x = 'u' AND p_partkey % 10 = 7) AS ok FROM part, (VALUES ('m'), ('b'), ('u')) v(x)""")
 def script_states(spark, sf_dir):
     """I12 of scripts: a file whose brackets do not match cannot be read."""

@@ -23,28 +23,27 @@ WHERE run BETWEEN a AND b AND status <> 'skipped' GROUP BY ALL HAVING bool_and(s
 _DEBUG = f"{_STUCK}, {_FAILING}, db AS (SELECT project_id, target FROM st JOIN fl USING (file_path, define_name))"
 
 
-def _stuck(spark, sf_dir):
-    return C.stuck(A.determinations(spark, sf_dir))
-
-
-def _debug(spark, sf_dir):
-    det, one = A.determinations(spark, sf_dir), F.lit(1).cast("long").alias("project_id")
+def _debug(spark, sf_dir, det, stuck):
+    one = F.lit(1).cast("long").alias("project_id")
     spans = det.groupBy("file_path", "define_name").agg(F.min("id").alias("first_seq"), F.max("id").alias("last_seq"))
     spans = spans.select(F.concat_ws("::", "file_path", "define_name").alias("define_key"), one, "first_seq", "last_seq")
     cov = A.coverage(spark, sf_dir).select(F.concat_ws("::", "file_path", "define_name").alias("define_key"), "classname", "name")
     failing = O.persistent_failure(_history(spark, sf_dir).where("status <> 'skipped'"), cov, spans).where("failing")
     keys = failing.select(F.substring_index("define_key", "::", 1).alias("file_path"), F.substring_index("define_key", "::", -1).alias("define_name"))
-    return D.debug_loop(_stuck(spark, sf_dir), keys.join(det.select(*C.CHAIN).distinct(), ["file_path", "define_name"]))
+    return D.debug_loop(stuck, keys.join(det.select(*C.CHAIN).distinct(), ["file_path", "define_name"]))
 
 
 @query(f"WITH {_DEBUG} SELECT project_id, 'debug_loop' AS signal, target AS target_node FROM db")
 def sig_debug_loop(spark, sf_dir):
-    return _debug(spark, sf_dir)
+    det = stored(A.determinations(spark, sf_dir))
+    return _debug(spark, sf_dir, det, C.stuck(det))
 
 
 @query(f"WITH {_DEBUG} SELECT project_id, 'stuck_region' AS signal, target AS target_node FROM st WHERE (project_id, target) NOT IN (SELECT project_id, target FROM db)")
 def sig_stuck(spark, sf_dir):
-    return D.stuck_region(_stuck(spark, sf_dir), _debug(spark, sf_dir))
+    det = stored(A.determinations(spark, sf_dir))
+    stuck = stored(C.stuck(det))
+    return D.stuck_region(stuck, _debug(spark, sf_dir, det, stuck))
 
 
 @query("""SELECT project_id, 'token_waste' AS signal, file_path || '::' || define_name AS target_node, version_count AS rounds FROM chains
@@ -63,8 +62,9 @@ lp AS (SELECT DISTINCT b.project_id, b.file_path, b.define_name FROM x a JOIN x
 def sig_define_loop(spark, sf_dir):
     """No project's last events are five in a row on one define here, so returns are all there is."""
     det = stored(A.determinations(spark, sf_dir))
-    evolution = I.error_evolution(I.round_signatures(det, A.crashes(spark, sf_dir), C.CHAIN), C.CHAIN)
-    return D.define_loop(det, evolution, C.stuck(det), _debug(spark, sf_dir))
+    evolution = I.error_evolution(I.round_signatures(det, A.crashes(spark, sf_dir, det), C.CHAIN), C.CHAIN)
+    stuck = stored(C.stuck(det))
+    return D.define_loop(det, evolution, stuck, _debug(spark, sf_dir, det, stuck))
 
 
 @query("SELECT DISTINCT 1 + user_id % 3 AS project_id, 'boundary_breach' AS signal, 'w/' || user_id || '/a.py' AS target_node FROM events WHERE user_id NOT IN (1, 12)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,16 +25,17 @@ def source_tree(spark: SparkSession, root: str, ignored: tuple[str, ...] = (), t
 
 
 def nested_repositories(files: DataFrame, root: str) -> DataFrame:
-    """(folder) of repositories below the root, among the folders of files (rel_path). Spark's readers skip hidden folders,
-    so the driver asks the file system for each folder, as it does when it lists files."""
+    """(folder) of repositories below the root, no deeper than files (rel_path) lie. Spark's readers skip hidden folders, so
+    the file system is asked by one pattern for each depth; only the greatest depth and repositories reach the driver."""
     spark = files.sparkSession
-    parts = F.split("rel_path", "/")
-    ups = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    folders = [r.folder for r in files.where(F.size(parts) > 1).select(F.explode(ups).alias("folder")).distinct().collect()]
+    depth = files.agg(F.max(F.size(F.split("rel_path", "/")) - 1)).first()[0] or 0
     path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsparkSession.sessionState().newHadoopConf()
-    system = path(root).getFileSystem(conf)
-    found = [(f,) for f in sorted(folders) if system.exists(path(f"{root}/{f}/.git"))]
-    return spark.createDataFrame(found, "folder string")
+    plain = re.sub(r"([\\\[\]{}*?])", r"\\\1", root.rstrip("/"))
+    system, found = path(root).getFileSystem(conf), []
+    for n in range(1, depth + 1):
+        for status in system.globStatus(path(f"{plain}{'/*' * n}/.git")) or []:
+            found.append(("/".join(status.getPath().getParent().toString().split("/")[-n:]),))
+    return spark.createDataFrame(sorted(found), "folder string")
 
 
 def without_nested(files: DataFrame, nested: DataFrame) -> DataFrame:

@@ -83,6 +83,7 @@ class File:
     def __init__(self, path: str, source: str):
         self.path, self.t = path, tokens(source)
         self.rows: list[dict] = []
+        self.aliases: dict[str, str] | None = None
 
     def text(self, i: int) -> str:
         return self.t[i].text if 0 <= i < len(self.t) else ""
@@ -169,6 +170,7 @@ class File:
                 continue
             own.append(i)
         text = [self.text(i) for i in own]
+        used: list[str] = []
         calls, numbers, operators, effects = [], [], [], {"async"} if self.text(start) == "async" or self.text(start - 1) == "async" else set()
         for k, i in enumerate(own):
             x, after = self.t[i], self.text(i + 1)
@@ -176,6 +178,8 @@ class File:
                 chain = self.chain(i)
                 if self.text(i - 2 * chain.count(".") - 1) not in (".", "?."):  # of names all the way
                     calls.append(chain)
+                    if self.consumed(i - 2 * chain.count("."), self.close(i + 1 if after == "(" else self.generics(i + 1))):
+                        used.append(self.meant(chain))
             elif x.kind == "name" and self.text(i - 1) == "new":
                 calls.append(x.text)
             elif x.kind == "number":
@@ -195,10 +199,38 @@ class File:
                 "path": self.path, "qualified_name": name, "start_line": self.t[start].line, "end_line": self.t[end].line, "params": self.shape(params),
                 "returns_kind": "value" if value or not block else "bare" if returns else "none", "calls": calls, "numerics": numbers, "operators": sorted(operators), "imports": [],
                 "effects": sorted(effects), "statements": self.statements(body, end) if block else 1, "bindings": self.bindings(params, own), "call_assigns": {}, "return_type": "",
-                "content_hash": hashlib.sha256(" ".join(text).encode()).hexdigest()[:16], "asserts": any(c.split(".")[0] in ("expect", "assert") for c in calls),
+                "content_hash": hashlib.sha256(" ".join(text).encode()).hexdigest()[:16], "asserts": any(c.split(".")[0] in ("expect", "assert") for c in calls), "consumed": list(dict.fromkeys(used)),
             }
         )
 
+    def consumed(self, first: int, last: int) -> bool:
+        """Whether the value of the call from first to last is used: it is no statement of its own, awaited or not."""
+        before = first - 1
+        while self.text(before) == "await":
+            before -= 1
+        goes_on = (*OPERATORS, ",", "=", "=>", ".", "?.", "?", ":", "(", "[", "return", "yield", "throw", "case", "in", "of", "typeof", "new")
+        begins = before < 0 or self.text(before) in (";", "{", "}", ")", "else", "do", "void") or self.t[before].line < self.t[before + 1].line and self.text(before) not in goes_on
+        after = last + 1
+        ends = after >= len(self.t) or self.text(after) in (";", "}") or self.t[after].line > self.t[last].line and self.text(after) not in goes_on
+        return not (begins and ends)
+
+    def meant(self, name: str, hops: int = 8) -> str:
+        """What a name stands for through `const a = b;` and `readonly a = b;`, a few steps far."""
+        if self.aliases is None:
+            self.aliases = {}
+            for i in range(len(self.t) - 3):
+                if self.text(i) in ("const", "readonly") and self.t[i + 1].kind == "name" and self.text(i + 2) == "=" and self.t[i + 3].kind == "name":
+                    j = i + 3
+                    while self.text(j + 1) == "." and j + 2 < len(self.t) and self.t[j + 2].kind == "name":
+                        j += 2
+                    if self.text(j + 1) in (";", "}", "") or self.t[j + 1].line > self.t[j].line and self.text(j + 1) not in OPERATORS:
+                        self.aliases[self.text(i + 1)] = "".join(self.text(k) for k in range(i + 3, j + 1))
+        for _ in range(hops):
+            if name not in self.aliases:
+                break
+            name = self.aliases[name]
+        return name
+
     def nested_end(self, i: int) -> int | None:
         """The end of a function or class that begins here."""
         if self.text(i) == "class" and self.text(i - 1) != ".":
@@ -435,6 +467,23 @@ class File:
         return None
 
 
+def consumed(files: DataFrame) -> DataFrame:
+    """(path, qualified_name, consumed) for each callable: the callees whose values it uses. With these as `calls`,
+    resolve_calls() gives the data-flow edges between defines."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch["path"], batch["text"], strict=True):
+                try:
+                    rows += [(path, r["qualified_name"], r["consumed"]) for r in file_defines(path, text or "")]
+                except UNREADABLE:
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "qualified_name", "consumed"])
+
+    return files.select("path", "text").mapInPandas(run, "path string, qualified_name string, consumed array<string>")
+
+
 def file_defines(path: str, source: str) -> list[dict]:
     """The callables of a file, by the rules above."""
     file = File(path, source)
