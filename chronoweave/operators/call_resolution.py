@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.scratch import stored
+
 from .graph import chase
 
 
@@ -36,10 +38,12 @@ def resolve_calls(defines: DataFrame, import_map: DataFrame, redirects: DataFram
     followed, or nothing; else the only symbol of that simple name, if it is of the caller's language. With a dot: a
     method of the caller's class for self, cls and this, or nothing; else a method of the receiver's known type; else the
     head through the import map, or nothing; else the module's own dotted name. Calls without a symbol are dropped. Every
-    step is an equi join on the candidate's name; known symbols are one column, so a step costs one exchange.
+    step is an equi join on the candidate's name; known symbols are one column, so a step costs one exchange. Defines and
+    imports, which come from parsers, are stored first, so that no step parses again.
     """
+    defines, import_map = stored(defines), stored(import_map)
     sym = symbols(defines)
-    known = sym.select(F.col("fqn").alias("hit")).distinct()
+    known = stored(sym.select(F.col("fqn").alias("hit")).distinct())
     unique = sym.groupBy("simple").agg(F.count_distinct("fqn").alias("n"), F.min("fqn").alias("fqn"), F.min("lang").alias("slang")).where("n = 1").drop("n")
     me = F.concat("lang", F.lit("::"), "module", F.lit("."), "qualified_name").alias("caller")
     owner = F.when(F.instr("qualified_name", ".") > 0, F.expr("substring(qualified_name, 1, length(qualified_name) - length(substring_index(qualified_name, '.', -1)) - 1)"))
@@ -63,6 +67,7 @@ def resolve_calls(defines: DataFrame, import_map: DataFrame, redirects: DataFram
     }
     for name, candidate in candidates.items():
         raw = raw.withColumn("_c", candidate).join(known.select(F.col("hit").alias("_c"), F.col("hit").alias(name)), "_c", "left").drop("_c")
+    raw = stored(raw)
     # names that an import does not lead to directly may be re-exported; a name is a define of the target module
     targets = raw.where(F.col("head_to").isNotNull() & F.col("imported").isNull()).select("lang", chosen.alias("target")).distinct()
     targets = targets.select("lang", "target", F.expr("substring(target, 1, length(target) - length(substring_index(target, '.', -1)) - 1)").alias("module"), F.substring_index("target", ".", -1).alias("name"))

@@ -213,6 +213,9 @@ def chase(redirects: DataFrame, names: DataFrame, known: DataFrame) -> DataFrame
     star = redirects.where("exported_name = '*'").select(F.col("barrel_module").alias("at"), F.col("target_module").alias("to"), F.lit("*").alias("to_name"))
     exact, star = stored(least(exact, "at", "as")), stored(least(star, "at").select("at", F.col("to").alias("star_to")))
     symbols = stored(known.select(F.col("module").alias("at"), F.col("name").alias("as"), F.lit(True).alias("symbol")).distinct())
+    if exact.isEmpty() and star.isEmpty():  # a name leads to itself or nowhere
+        here = symbols.select(F.col("at").alias("module"), F.col("as").alias("name"), F.col("at").alias("to_module"), F.col("as").alias("to_name"))
+        return names.select("module", "name").distinct().join(here, ["module", "name"], "left")
     front = stored(names.select(F.col("module").alias("at"), F.col("name").alias("as")).distinct())
     places, seen = [], [front]
     while True:

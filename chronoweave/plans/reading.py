@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import tempfile
+
 from pyspark.sql import functions as F
 
 from chronoweave import adapters as A
@@ -19,7 +23,7 @@ from chronoweave.sources import artifacts as S
 from chronoweave.sources import code as K
 from chronoweave.sources import js_source as J
 from chronoweave.sources import python_source as Y
-from chronoweave.sources.files import source_tree
+from chronoweave.sources.files import git_state, source_tree
 from chronoweave.streaming import rounds as W
 
 from .history import COMMIT
@@ -40,6 +44,30 @@ def source_scan(spark, sf_dir):
     return rows.groupBy("folder").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
+#: Two commits without files, of fixed dates and people, have these names.
+_FIRST, _SECOND = "563a35609259a1da261543e8e91b9cd7d343133d", "699f7b74582b3446a8af2e57e10d1c344654116a"
+
+
+@query(f"""SELECT * FROM (VALUES ('branch', '{_SECOND}', 'main', '{_FIRST}'), ('detached', '{_FIRST}', 'detached@{_FIRST[:7]}', NULL), ('none', NULL, NULL, NULL)) t(at, head, branch, parent)""".replace("t(at,", "t(place,"))
+def git_states(spark, sf_dir):
+    """A repository on a branch, one at a commit, and a folder that is none; git runs on the driver, in its own folder."""
+    fixed = {f"GIT_{who}_{what}": value for who in ("AUTHOR", "COMMITTER") for what, value in (("NAME", "a"), ("EMAIL", "a@b.c"), ("DATE", "2024-01-01T00:00:00Z"))}
+    out = []
+    with tempfile.TemporaryDirectory() as root, tempfile.TemporaryDirectory() as bare:
+
+        def git(*args):
+            subprocess.run(["git", "-C", root, *args], check=True, capture_output=True, env={**os.environ, **fixed, "GIT_CONFIG_GLOBAL": os.devnull, "GIT_CONFIG_SYSTEM": os.devnull})
+
+        git("init", "-q", "-b", "main")
+        git("commit", "-q", "--allow-empty", "-m", "one")
+        git("commit", "-q", "--allow-empty", "-m", "two")
+        out.append(("branch", git_state(spark, root).first()))
+        git("checkout", "-q", "--detach", "HEAD^")
+        out.append(("detached", git_state(spark, root).first()))
+        out.append(("none", git_state(spark, bare).first()))
+    return spark.createDataFrame([(place, *row) for place, row in out], "place string, head string, branch string, parent string")
+
+
 @query("SELECT p_partkey, p_name, p_size FROM part")
 def store_round_trip(spark, sf_dir):
     """What is stored is what is read."""
