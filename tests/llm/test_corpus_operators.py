@@ -212,6 +212,89 @@ def test_shards_are_even_and_keep_groups(documents, shards):
     assert (sizes[0], sizes[1], sizes[6]) == (1, 1, len(dict(ODD)[6].encode()) + 1)
 
 
+def spark_hash(*values):
+    """Spark's xxhash64: ("i", number) are 4 bytes, other numbers 8; null changes nothing."""
+    import struct
+
+    h = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else struct.pack("<i", v[1]) if isinstance(v, tuple) else struct.pack("<q", v)
+            h = xxhash.xxh64_intdigest(data, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def slow_shards(rows, shards, rounds=8):
+    """Label propagation by plain loops over cells, then over rows: (id, crc) -> sorted (shard, slot)."""
+    import zlib
+
+    unsigned = lambda x: x % (1 << 64)
+    chance = lambda *v: (unsigned(spark_hash(*v)) >> 11) / float(1 << 53)
+    full = []
+    for i, t in rows:
+        t = t or ""
+        crc = zlib.crc32(t.encode())
+        full.append((i, len(t.encode()) + 1, crc, spark_hash(t), spark_hash(("i", 3), i, crc) % 1024))
+    limit = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    cells = {}
+    for *_, g, c in full:
+        cells[g, c] = cells.get((g, c), 0) + 1
+    members = {}
+    for (g, _), n in cells.items():
+        members[g] = members.get(g, 0) + n
+    state = {(g, c): c % shards for g, c in cells if members[g] > 1}
+    for turn in range(rounds):
+        load = [0] * shards
+        for k, s in state.items():
+            load[s] += cells[k]
+        open_ = [s for s in range(shards) if load[s] < 0.98 * limit[s]]
+        if not open_:
+            break
+        tally = {}
+        for (g, c), s in state.items():
+            tally.setdefault(g, {}).setdefault(s, 0)
+            tally[g][s] += cells[g, c]
+        want = {}
+        for g, by in tally.items():
+            some = [((n, spark_hash(g, ("i", s))), s) for s, n in by.items() if s in open_]
+            want[g] = max(some)[1] if some else open_[spark_hash(g) % len(open_)]
+        large = {g: members[g] > max(limit) / 2 for g in tally}
+        goal = {(g, c): s if large[g] and s not in open_ else want[g] for (g, c), s in state.items()}
+        flow = {}
+        for k, s in state.items():
+            if s != goal[k]:
+                flow[s, goal[k]] = flow.get((s, goal[k]), 0) + cells[k]
+        share = sharding.quotas(flow, load, limit)
+        if not any(share[e] * n >= 1 for e, n in flow.items()):
+            break
+        state = {(g, c): goal[g, c] if s != goal[g, c] and chance(("i", turn), g, *([("i", c)] if large[g] else [])) < share.get((s, goal[g, c]), 0.0) else s for (g, c), s in state.items()}
+    near = [state.get((g, c), shards) for *_, g, c in full]
+    order = [spark_hash(("i", 5), g, ("i", c)) for *_, g, c in full]
+    load = [near.count(s) for s in range(shards + 1)]
+    kept = [min(load[s], limit[s]) for s in range(shards)]
+    out, loose = {}, []
+    for s in range(shards + 1):
+        mine = sorted((j for j in range(len(full)) if near[j] == s), key=lambda j: (unsigned(order[j]) >> 54, order[j], full[j][0] is not None, full[j][0] or 0, full[j][2], full[j][1]))
+        stay = kept[s] if s < shards else 0
+        for rank, j in enumerate(mine[:stay]):
+            out.setdefault((full[j][0], full[j][2]), []).append((s, rank))
+        loose += mine[stay:]
+    free = [(s, slot) for s in range(shards) for slot in range(kept[s], limit[s])]
+    for j, place in zip(loose, free, strict=True):
+        out.setdefault((full[j][0], full[j][2]), []).append(place)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("shards", [3, 16])
+def test_shards_equal_brute_force(documents, shards):
+    rng = random.Random(17)
+    rows = [(10 + i, f"text {rng.randrange(150)}") for i in range(500)] + [(1000 + i, "hot") for i in range(250)] + ODD
+    found = {}
+    for r in sharding.sharded(documents(rows), shards=shards).collect():
+        found.setdefault((r.doc_id, r.text_crc32), []).append((r.shard, r.slot))
+    assert {k: sorted(v) for k, v in found.items()} == slow_shards(rows, shards)
+
+
 def test_quotas_respect_limits():
     flow = {(0, 1): 50, (2, 1): 50, (1, 0): 10}
     share = sharding.quotas(flow, [40, 40, 40], [60, 60, 60])
