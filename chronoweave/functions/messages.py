@@ -28,6 +28,16 @@ def message(signal: Column, target: Column, channel: Column) -> Column:
     return out
 
 
+def full_message(signal: Column, target: Column, channel: Column, details: Column) -> Column:
+    """The sentence, then what the incident's JSON details hold: how many rounds, failing cases, suspects, the call that
+    leads nowhere. Details that are absent or malformed say nothing."""
+    field = lambda name, kind: F.try_variant_get(F.try_parse_json(details), f"$.{name}", kind)
+    names = lambda name: F.from_json(F.to_json(field(name, "variant")), "array<string>")
+    part = lambda text, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"\n{text}: "), value)).otherwise("")
+    rounds, callee = field("rounds", "string"), field("callee_text", "string")
+    return F.concat(message(signal, target, channel), part("Rounds", rounds), part("Failing", listed(names("test_cases"), 3)), part("Look at", listed(names("suspects"), 3)), part("Unknown call", callee))
+
+
 def listed(names: Column, shown: int) -> Column:
     """the first names, comma-joined, and how many more there are."""
     more = F.size(names) - shown

@@ -89,7 +89,8 @@ def resolve_calls(defines: DataFrame, import_map: DataFrame, redirects: DataFram
 
 def with_return_types(defines: DataFrame, import_map: DataFrame) -> DataFrame:
     """2.N: defines whose bindings also hold variables assigned from functions of known return type: of the module, else
-    imported, else the only function of that name. Existing bindings stay."""
+    imported, else the only function of that name. Existing bindings stay. What parsers give is stored first."""
+    defines, import_map = stored(defines), stored(import_map)
     sym = symbols(defines).where("return_type <> ''")
     asked = defines.select("path", "lang", "module", "qualified_name", F.explode("call_assigns").alias("var", "fn"))
     here = sym.select("lang", "module", F.col("name").alias("fn"), F.col("return_type").alias("here"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronoweave import adapters as A
 from chronoweave.operators.call_resolution import resolve_calls, with_return_types
+from chronoweave.scratch import stored
 from chronoweave.sources import js_source as J
 from chronoweave.sources import python_source as P
 
@@ -86,7 +87,7 @@ UNION SELECT me || 'run', 'py::pkg.m' || lo || '.run', 'call' FROM e WHERE lo IN
 UNION SELECT me || 'run', CASE WHEN th IN (SELECT p FROM k) THEN 'py::pkg.m' || th || '.Box.grow' ELSE me || 'Box.grow' END, 'call' FROM e""")
 def call_edges_resolved(spark, sf_dir):
     """2.N: box is a Box, which is imported, so its method is that of the module it comes from, if that is there."""
-    files = _files(spark, sf_dir)
+    files = stored(_files(spark, sf_dir))
     rows = P.defines(files).withColumn("lang", F.lit("py")).withColumn("module", F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/", "."))
     found = P.imports(files)
     return resolve_calls(with_return_types(rows, found), found, P.reexports(files))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronoweave import adapters as A
 from chronoweave.functions import idents as N
-from chronoweave.functions.messages import listed
+from chronoweave.functions.messages import full_message, listed, message
 from chronoweave.operators import association as S
 from chronoweave.operators import chains as C
 from chronoweave.operators import detectors as D
@@ -173,6 +173,16 @@ def incident_details(spark, sf_dir):
     return i.select("id", R.detail(text, "classname").alias("classname"), R.detail(text, "rounds").alias("rounds"))
 
 
+@query("""SELECT id, CASE id % 4 WHEN 0 THEN E'\\nRounds: 7' WHEN 1 THEN E'\\nFailing: a, b, c +1 more' WHEN 2 THEN E'\\nRounds: 2\\nLook at: x' ELSE '' END AS more FROM inc""")
+def message_details(spark, sf_dir):
+    """What follows an incident's sentence."""
+    i, k = A.incidents(spark, sf_dir), F.col("id") % 4
+    details = F.when(k == 0, '{"rounds": 7}').when(k == 1, '{"test_cases": ["a", "b", "c", "d"], "rounds": null}').when(k == 2, '{"suspects": ["x"], "rounds": "2"}').otherwise("{")
+    text = full_message(F.col("signal"), F.col("target_node"), F.lit("user"), details)
+    plain = message(F.col("signal"), F.col("target_node"), F.lit("user"))
+    return i.select("id", F.substr(text, F.length(plain) + 1).alias("more"))
+
+
 @query("SELECT id, signal FROM inc WHERE state <> 'resolved'")
 def unresolved_incidents(spark, sf_dir):
     """P01."""

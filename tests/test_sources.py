@@ -333,3 +333,9 @@ def test_states_of_both_languages(spark):
     files = spark.createDataFrame([("a.py", "x = 1"), ("b.py", "def f(:"), ("c.ts", "const f = () => 1;"), ("d.js", "function f() {"), ("e.ts", "("), ("f.md", "#"), ("g.py", None)], "path string, text string")
     assert {r.path: r.ok for r in code.parse_states(files).collect()} == {"a.py": True, "b.py": False, "c.ts": True, "d.js": False, "e.ts": False, "g.py": True}
     assert {r.path for r in code.defines(files).collect()} == {"c.ts"}
+
+
+def test_report_files_are_read_by_spark(spark, tmp_path):
+    (tmp_path / "junit.xml").write_text('<testsuite><testcase classname="c" name="é &amp; n"><failure>why</failure></testcase></testsuite>', encoding="utf-8")
+    rows = A.junit_cases(A.xml_files(spark, str(tmp_path))).collect()
+    assert [(r.classname, r.name, r.status, r.failure_text) for r in rows] == [("c", "é & n", "failed", "why")] and rows[0].path.endswith("junit.xml")
