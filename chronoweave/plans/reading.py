@@ -15,6 +15,7 @@ from chronoweave.operators import chains as C
 from chronoweave.operators import detectors as D
 from chronoweave.operators import escalation as E
 from chronoweave.operators import graph as G
+from chronoweave.operators import reconcile as Z
 from chronoweave.operators import recurrence as Q
 from chronoweave.operators import reports as P
 from chronoweave.operators.ranks import global_rank
@@ -396,16 +397,14 @@ READ = (150, 600, 1_000_000)
 _STATES = " UNION ALL ".join(f"SELECT {n} AS round, project_id, file_path, define_name, content_hash FROM (SELECT * FROM det WHERE seq <= {cut} QUALIFY row_number() OVER (PARTITION BY project_id, file_path, define_name ORDER BY seq DESC) = 1) WHERE edit_type <> 'delete'" for n, cut in enumerate(READ, 1))
 
 
-def _rounds(spark, sf_dir):
-    from chronoweave.operators import reconcile as whole
-
-    det, tables, nothing = stored(A.determinations(spark, sf_dir)), whole.empty(spark), whole.seen_nothing(spark)
+def _readings(spark, sf_dir):
+    """What each reading of the tree saw."""
+    det, nothing = stored(A.determinations(spark, sf_dir)), Z.seen_nothing(spark)
     for n, cut in enumerate(READ, 1):
         now = C.current_version(det.where(F.col("seq") <= cut)).where("edit_type <> 'delete'")
         defines = now.select(*C.CHAIN, "content_hash", "node_fingerprint", "fine_fingerprint")
         breaches = now.where("file_path like '%9.py'").select("project_id", F.col("file_path").alias("path")) if n < 3 else nothing.breaches
-        tables, _, _ = whole.round_(tables, whole.replace(nothing, defines=defines, breaches=breaches), n)
-    return tables
+        yield n, Z.replace(nothing, defines=defines, breaches=breaches)
 
 
 @query(f"""WITH st AS ({_STATES}), d AS (SELECT n AS round, coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.file_path, b.file_path) AS file_path, coalesce(a.define_name, b.define_name) AS define_name, b.content_hash,
@@ -414,14 +413,20 @@ FROM (SELECT *, round + 1 AS n FROM st WHERE round < 3) a FULL JOIN (SELECT *, r
 SELECT project_id, file_path, define_name, content_hash, edit_type, CAST(round AS BIGINT) AS round, row_number() OVER (PARTITION BY project_id ORDER BY round, file_path, define_name) AS seq FROM d""")
 def reconcile_log(spark, sf_dir):
     """I01, phase 1 over three rounds: what each reading of the tree found new, changed or gone, numbered in order."""
-    return _rounds(spark, sf_dir).log.select(*C.CHAIN, "content_hash", "edit_type", "round", "seq")
+    tables = Z.empty(spark)
+    for n, seen in _readings(spark, sf_dir):
+        tables = Z.replace(tables, log=stored(tables.log.unionByName(Z.changes(tables, seen, n))))
+    return tables.log.select(*C.CHAIN, "content_hash", "edit_type", "round", "seq")
 
 
 @query(f"""WITH st AS ({_STATES}), b AS (SELECT project_id, file_path, min(round) AS first, max(round) AS last FROM st WHERE file_path LIKE '%9.py' AND round < 3 GROUP BY 1, 2)
 SELECT project_id, 'boundary_breach' AS signal, file_path AS target_node, CASE WHEN first = 1 AND last = 2 THEN 'escalated_user' ELSE 'notified_agent' END AS state, CAST(first AS BIGINT) AS round FROM b""")
 def reconcile_incidents(spark, sf_dir):
     """Breaches open in a round, recur in the next, and rest for one in the third; the user hears of the second."""
-    rows = _rounds(spark, sf_dir).incidents.where("signal = 'boundary_breach'")
+    tables = Z.empty(spark)
+    for n, seen in _readings(spark, sf_dir):
+        tables, _, _ = Z.round_(tables, seen, n)
+    rows = tables.incidents.where("signal = 'boundary_breach'")
     return rows.select("project_id", "signal", "target_node", "state", "round")
 
 
