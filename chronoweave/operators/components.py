@@ -22,8 +22,10 @@ def components(edges: DataFrame, a: str, b: str, nodes: DataFrame | None = None)
     while True:
         near = both.join(labels.withColumnRenamed("node", "peer"), "peer").groupBy("node").agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        step = step.join(jump, "label").select("node", "was", F.least("label", "up").alias("label"))
+        # only labels in use that have a lesser label themselves are looked up: few in late rounds, when many nodes share one
+        jump = labels.where("node <> label").select(F.col("node").alias("label"), F.col("label").alias("up"))
+        jump = step.select("label").distinct().join(jump, "label")
+        step = step.join(jump, "label", "left").select("node", "was", F.least("label", "up").alias("label"))
         step = stored(step)
         changed = step.where("label <> was").limit(1).count()
         drop_stored(labels)
