@@ -110,10 +110,15 @@ def fingerprints(docs: DataFrame, text: str = "text", fingerprint: str = "finger
     return map_texts(docs, text, lambda: lambda texts: [[to_text(v) for v in vectors([paragraphs(x) for x in texts])]], T.StructType([T.StructField(fingerprint, T.StringType())]), keep_text)
 
 
+def numbers(values: list[int]) -> Column:
+    """A constant array: one literal in the plan, however many numbers."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def block_of(key: Column, bounds: list[int]) -> Column:
     """Index of the last bound that is not above the key; bounds ascend, the first is not above any key. Native, two levels deep."""
     step = max(1, int(len(bounds) ** 0.5))
-    tops, all_bounds = (F.array(*[F.lit(v) for v in x]) for x in (bounds[::step], bounds))
+    tops, all_bounds = (numbers(x) for x in (bounds[::step], bounds))
     top = F.size(F.filter(tops, lambda b: b <= key)) - 1
     return top * step + F.size(F.filter(F.slice(all_bounds, top * step + 1, F.lit(step)), lambda b: b <= key)) - 1
 
@@ -129,7 +134,7 @@ def with_next(docs: DataFrame, key: str, text: str, blocks: int) -> DataFrame:
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(low)).alias("_key"), F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
     found = rows.agg(F.min("_key"), F.percentile_approx("_key", [i / blocks for i in range(1, blocks)] or [0.5], max(10_000, 20 * blocks))).first()
     bounds = sorted({found[0], *found[1]}) if found[0] is not None else [low]
-    own, first = block_of(F.col("_key"), bounds), F.col("_key").isin(bounds)
+    own, first = block_of(F.col("_key"), bounds), F.element_at(numbers(bounds), (F.col("_block") + 1).cast("int")) == F.col("_key")
     before = F.when(F.col("_block") == 0, F.lit(len(bounds) - 1)).otherwise(F.col("_block") - 1)
     rows = rows.withColumn("_block", own)
     at = F.when(first, F.array(F.struct(F.col("_block").alias("b"), F.lit(0).alias("a")), F.struct(before.alias("b"), F.lit(1).alias("a")))).otherwise(F.array(F.struct(F.col("_block").alias("b"), F.lit(0).alias("a"))))
