@@ -28,7 +28,7 @@ from .common import slices, trim, whole
 
 #: Factor of each step back; bytes of text in a slice, and for each part of the count table. Both bound what a worker
 #: holds, so their numbers grow with the corpus; a slice sends a row to a part only if it has n-grams there.
-ALPHA, SLICE_BYTES, PART_BYTES = 0.4, 4 << 20, 16 << 20
+ALPHA, SLICE_BYTES, PART_BYTES = 0.4, 6 << 20, 8 << 20
 ORDER = 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Keys of the numbers of words and of documents, counted like n-grams.
@@ -60,6 +60,7 @@ def exploded(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray]
     known = _HASHES
     h = np.array([known[w] for ws in words for w in ws], np.uint64)
     owner = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+    del words
     begins = np.ones(len(h), bool)
     begins[1:] = owner[1:] != owner[:-1]
     keys = [_mixed(h + MIX)]
@@ -110,7 +111,7 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
 def pack_texts(texts: list[str]) -> tuple[list[int], bytes]:
     """Their bytes' lengths, and their bytes, compressed."""
     data = [t.encode() for t in texts]
-    return [len(x) for x in data], zstandard.ZstdCompressor(level=3).compress(b"".join(data))
+    return [len(x) for x in data], zstandard.ZstdCompressor(level=9).compress(b"".join(data))
 
 
 def unpack_texts(lengths: list[int], data: bytes) -> list[str]:
@@ -133,7 +134,7 @@ def document_scores(texts: list[str], order: int, alpha: float, answers: list[np
     n_words = np.bincount(owner, minlength=len(texts))
     if not len(owner):
         return n_words, np.zeros(len(texts)), n_words
-    found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    found = np.unique(np.concatenate(keys))
     totals = np.concatenate(answers).astype(np.int64)
     head = np.searchsorted(found, np.array([WORDS, DOCUMENTS], np.uint64)) + np.arange(2)
     all_words, all_docs = totals[head].tolist()
@@ -141,7 +142,8 @@ def document_scores(texts: list[str], order: int, alpha: float, answers: list[np
     begins = np.ones(len(owner), bool)
     begins[1:] = owner[1:] != owner[:-1]
     others = []  # totals without the document's own occurrences
-    for place in np.split(inverse, order):
+    while keys:  # one order after the other, so that a worker holds one order's places
+        place = np.searchsorted(found, keys.pop(0))
         others.append(totals[place] - own_counts(owner, place, len(found)))
     rest = (all_words - n_words)[owner]
     score = np.where(others[0] > 0, np.log(np.maximum(others[0], 1)) - np.log(np.maximum(rest, 1)), np.log(alpha) - np.log(rest + 1))
@@ -204,13 +206,21 @@ def scored(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
         return pd.DataFrame({"part": full, "slice": int(key[0]), "keys": [pack_keys(keys[at[p] : at[p + 1]]) for p in full], "counts": [packed(counts[at[p] : at[p + 1]].astype(np.uint64)) for p in full]})
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [unpack_keys(x) for x in pdf["keys"]]
-        ends = np.cumsum([len(k) for k in keys])[:-1]
-        counts = np.concatenate([unpacked(x, np.uint64) for x in pdf["counts"]])
-        _, place = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.zeros(int(place.max()) + 1, np.uint64)
-        np.add.at(sums, place, counts)
-        return pd.DataFrame({"slice": pdf["slice"], "part": pdf["part"], "totals": [packed(x) for x in np.split(sums[place], ends)]})
+        parts_of = [unpack_keys(x) for x in pdf["keys"]]
+        ends = np.cumsum([len(k) for k in parts_of])[:-1]
+        keys = np.concatenate(parts_of)
+        del parts_of
+        place = np.argsort(keys)
+        keys = keys[place]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        del keys
+        counts = np.concatenate([unpacked(x, np.uint64) for x in pdf["counts"]])[place]
+        totals = np.empty_like(counts)
+        totals[place] = np.repeat(np.add.reduceat(counts, first), np.diff(first, append=len(counts)))
+        del counts, place
+        out = pd.DataFrame({"slice": pdf["slice"], "part": pdf["part"], "totals": [packed(x) for x in np.split(totals, ends)]})
+        trim()
+        return out
 
     def score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         totals = [unpacked(x, np.uint64) for x in answers.sort_values("part")["totals"]]
