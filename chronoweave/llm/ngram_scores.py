@@ -134,7 +134,7 @@ def document_scores(texts: list[str], order: int, alpha: float, answers: list[np
     n_words = np.bincount(owner, minlength=len(texts))
     if not len(owner):
         return n_words, np.zeros(len(texts)), n_words
-    found = np.unique(np.concatenate(keys))
+    found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     totals = np.concatenate(answers).astype(np.int64)
     head = np.searchsorted(found, np.array([WORDS, DOCUMENTS], np.uint64)) + np.arange(2)
     all_words, all_docs = totals[head].tolist()
@@ -142,8 +142,8 @@ def document_scores(texts: list[str], order: int, alpha: float, answers: list[np
     begins = np.ones(len(owner), bool)
     begins[1:] = owner[1:] != owner[:-1]
     others = []  # totals without the document's own occurrences
-    while keys:  # one order after the other, so that a worker holds one order's places
-        place = np.searchsorted(found, keys.pop(0))
+    del keys
+    for place in np.split(inverse, order):
         others.append(totals[place] - own_counts(owner, place, len(found)))
     rest = (all_words - n_words)[owner]
     score = np.where(others[0] > 0, np.log(np.maximum(others[0], 1)) - np.log(np.maximum(rest, 1)), np.log(alpha) - np.log(rest + 1))
