@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from chronoweave.functions.idents import glob_regex, out_of_detection
 
 from .chains import CHAIN, STREAK_AGENT, STREAK_USER, head_streak, loop_back
+from .ranks import as_large
 
 WASTE_ROUNDS, WASTE_INCIDENTS = 15, 2
 
@@ -99,9 +100,9 @@ def test_tampering(turned_green: DataFrame, edited_tests: DataFrame, changes: Da
     changes: (classname, name, explains) of production defines changed in (red, green], where explains is false for a
     define whose precise coverage is known and does not hold the case.
     """
-    rows = turned_green.where("red_seq is not null and green_seq is not null").join(edited_tests.distinct(), ["classname", "name"], "left_semi")
+    rows = turned_green.where("red_seq is not null and green_seq is not null").join(as_large(edited_tests.distinct()), ["classname", "name"], "left_semi")
     why = changes.where("explains").select("classname", "name").distinct()
-    return _signal(rows.join(why, ["classname", "name"], "left_anti"), "test_tampering", F.concat_ws("::", "classname", "name"))
+    return _signal(rows.join(as_large(why), ["classname", "name"], "left_anti"), "test_tampering", F.concat_ws("::", "classname", "name"))
 
 
 def explained(changes: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def explained(changes: DataFrame, coverage: DataFrame) -> DataFrame:
     hold the case."""
     known = coverage.select("define_key", F.lit(True).alias("_known")).distinct()
     held = coverage.select("define_key", "classname", "name", F.lit(True).alias("_held")).distinct()
-    rows = changes.join(known, "define_key", "left").join(held, ["define_key", "classname", "name"], "left")
+    rows = changes.join(as_large(known), "define_key", "left").join(as_large(held), ["define_key", "classname", "name"], "left")
     return rows.select("classname", "name", (F.col("_known").isNull() | F.col("_held").isNotNull()).alias("explains")).distinct()
 
 

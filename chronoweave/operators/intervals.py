@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import as_large
+
 
 def within(points: DataFrame, spans: DataFrame, by: list[str], at: str, low: str, high: str, width: int = 256, open_low: bool = True) -> DataFrame:
     """Inner join of points with the spans that hold them: low < at <= high (or low <= at). A null high is unbounded.
@@ -21,7 +23,7 @@ def within(points: DataFrame, spans: DataFrame, by: list[str], at: str, low: str
     sizes = [r["_size"] for r in spans.select("_size").distinct().collect()]
     spans = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / F.col("_size")), F.floor(F.col("_end") / F.col("_size")))))
     rows = points.withColumn("_size", F.explode(F.array(*[F.lit(s).cast("long") for s in sizes]).cast("array<bigint>")))
-    rows = rows.withColumn("_bin", F.floor(F.col(at) / F.col("_size"))).join(spans, [*by, "_size", "_bin"])
+    rows = rows.withColumn("_bin", F.floor(F.col(at) / F.col("_size"))).join(as_large(spans), [*by, "_size", "_bin"])
     above = F.col(at) > F.col(low) if open_low else F.col(at) >= F.col(low)
     return rows.where(above & (F.col(at) <= F.col("_end"))).drop("_bin", "_size", "_top", "_end")
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import as_large
+
 CASE = ["project_id", "classname", "name"]
 FAILING = ("failed", "error")
 
 
 def case_history(cases: DataFrame, runs: DataFrame) -> DataFrame:
     """Every case's results in order of the run's id."""
-    rows = cases.join(runs.select(F.col("id").alias("test_run_id"), "project_id", "seq"), "test_run_id")
+    rows = cases.join(as_large(runs.select(F.col("id").alias("test_run_id"), "project_id", "seq")), "test_run_id")
     at = Window.partitionBy(*CASE).orderBy("test_run_id")
     return rows.withColumn("place", F.row_number().over(at).cast("long"))
 

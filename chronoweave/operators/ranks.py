@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def as_large(df: DataFrame) -> DataFrame:
+    """df for the right side of an equi join that grows with the log. Spark's estimate is that of compressed files, so it would
+    broadcast millions of rows, which the driver must hold; this side is shuffled and sorted instead."""
+    return df.hint("merge")
+
+
 def global_rank(df: DataFrame, by: list[str], order: str, name: str, width: int = 4096) -> DataFrame:
     """df with the rank, from 1, of each row within `by` in ascending order of a long column that is unique there.
 

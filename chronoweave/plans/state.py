@@ -17,6 +17,7 @@ from chronoweave.operators import outcomes as O
 from chronoweave.operators import ranks as K
 from chronoweave.operators import recurrence as Q
 from chronoweave.operators import registers as R
+from chronoweave.scratch import stored
 from chronoweave.sources import files as X
 
 from .history import COMMIT, KEY, _history
@@ -293,14 +294,14 @@ SELECT CAST(1 AS BIGINT) AS project_id, 'test_tampering' AS signal, classname ||
 def tampering_precise(spark, sf_dir):
     """Edits of the test's own define, and changes that do not count since their coverage is known and holds
     other cases only. The lowest priority's cases are in no coverage."""
-    green = O.last_red(_history(spark, sf_dir)).withColumn("c", F.regexp_replace("classname", "tests.C", "").cast("long"))
+    green = stored(O.last_red(_history(spark, sf_dir)).withColumn("c", F.regexp_replace("classname", "tests.C", "").cast("long")))
     cases = green.select("classname", "name", "c").distinct()
     edited = cases.where("c % 3 = 0").select(F.concat(F.lit("C"), "c").alias("define_name")).union(cases.select(F.lit("5-LOW")))
     windows = green.select("classname", "name", F.col("c").alias("user_id"), F.col("red_seq").alias("low"), F.col("green_seq").alias("high"))
     key = F.concat_ws("::", "file_path", "define_name").alias("define_key")
-    events = A.determinations(spark, sf_dir).select("user_id", F.col("id").alias("at"), key)
+    events = A.edits(spark, sf_dir).select("user_id", F.col("id").alias("at"), key)
     changes = I.within(events, windows, ["user_id"], "at", "low", "high").select("classname", "name", "define_key").distinct()
-    precise = A.coverage(spark, sf_dir).where("name <> '5-LOW'").select(key, "classname", "name")
+    precise = stored(A.coverage(spark, sf_dir).where("name <> '5-LOW'").select(key, "classname", "name"))
     return D.test_tampering(green, S.edited_cases(cases, edited), D.explained(changes, precise))
 
 

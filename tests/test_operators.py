@@ -186,6 +186,24 @@ def test_latest_against_comparison(spark, width):
         assert got[i] == ((before[-1][2], before[-1][0]) if before else (None, None))
 
 
+def test_large_sides_are_not_broadcast(spark):
+    """Joins that grow with the log, over files so small that Spark's estimate would have the driver broadcast them."""
+    from chronoweave import adapters as A
+
+    data = "/root/testdata/sf0.001"
+    history = outcomes.case_history(A.test_cases(spark, data), A.test_runs(spark, data))
+    events = A.edits(spark, data)
+    cover = A.coverage(spark, data).withColumnRenamed("file_path", "define_key")
+    cases = A.test_cases(spark, data).select("classname", "name")
+    green = history.select("project_id", "classname", "name", "seq", "seq").toDF("project_id", "classname", "name", "red_seq", "green_seq")
+    why = detectors.explained(cases.withColumn("define_key", cases["name"]), cover)
+    for df in (history, cover, why, detectors.test_tampering(green, cases, why)):
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+    found = intervals.within(events, events.selectExpr("user_id", "id - 1 AS low", "id AS high"), ["user_id"], "id", "low", "high")
+    assert found._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") <= 1  # of the keys' largest values
+    assert found.count() == events.count()
+
+
 def test_longest_prefix(spark):
     files = spark.createDataFrame([("/a/b/c.py",), ("/a/x.py",), ("/ab/y.py",)], "path string")
     roots = spark.createDataFrame([("/a", 1), ("/a/b", 2)], "root_path string, project long")
