@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import sqlite3
 from collections.abc import Iterator
+from contextlib import suppress
+from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,10 +30,6 @@ def _blocks(xml: Column, tag: str) -> Column:
     return F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?</{tag}\s*>)"), F.lit(0))
 
 
-def _text(block: Column, path: str) -> Column:
-    return F.xpath_string(block, F.lit(path))
-
-
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
@@ -37,7 +37,6 @@ def _struct(**fields: T.DataType) -> T.StructType:
 _S = T.StringType()
 _NOTE = T.ArrayType(_struct(_message=_S, _VALUE=_S, __here=_S))
 _CASE = _struct(_classname=_S, _name=_S, _file=_S, failure=_NOTE, error=_NOTE, skipped=_NOTE)
-_CLASS = _struct(_name=_S, methods=_struct(method=T.ArrayType(_struct(_name=_S))))
 
 
 def junit_cases(reports: DataFrame, xml: str = "xml") -> DataFrame:
@@ -65,24 +64,57 @@ def case_files(cases: DataFrame, files: DataFrame) -> DataFrame:
     return cases.withColumn("_guess", guess).join(known, "_guess", "left").withColumn("file_path", F.coalesce("file", "_known")).drop("_guess", "_known")
 
 
+_BLOCK = r"(?s)<{0}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?</{0}\s*>)"
+_TESTCASE, _PACKAGE = (re.compile(_BLOCK.format(tag)) for tag in ("testcase", "package"))
+
+
+def _covers(roots: list[ElementTree.Element]) -> list[tuple[str, str]]:
+    """What the elements of one report say is covered, each pair once."""
+    cases = [case for root in roots for case in root.iter("testcase")]
+    out = []
+    for case in cases:
+        name = f"{case.get('classname', '')}::{case.get('name', '')}"
+        for cls in case.findall("covered_class"):
+            if of := cls.get("name"):
+                methods = cls.findall("method")
+                out += [(name, f"{of}.{m}") for x in methods if (m := x.get("name"))] if methods else [(name, of)]
+    for package in () if cases else (p for root in roots for p in root.iter("package")):
+        for cls in package.iter("class"):
+            full = f"{package.get('name', '')}.{cls.get('name', '')}".strip(".")
+            out.append((f"coverage::{full}", full))
+            out += [(f"coverage::{full}", f"{full}.{m}") for x in cls.iter("method") if (m := x.get("name"))]
+    return list(dict.fromkeys(out))
+
+
+def _cobertura(xml: str | None) -> list[tuple[str, str]]:
+    """A report is parsed once; of one that is broken the whole elements count."""
+    try:
+        return _covers([ElementTree.fromstring(xml)]) if xml else []
+    except (ElementTree.ParseError, UnicodeEncodeError):
+        roots = []
+        for block in _TESTCASE.findall(xml) or _PACKAGE.findall(xml):
+            with suppress(ElementTree.ParseError, UnicodeEncodeError):
+                roots.append(ElementTree.fromstring(block))
+        return _covers(roots)
+
+
+def _all_covers(texts: pa.Array) -> pa.Array:
+    ends, cases, defines = [0], [], []
+    for text in texts:
+        for case, define in _cobertura(text.as_py()):
+            cases.append(case)
+            defines.append(define)
+        ends.append(len(cases))
+    pairs = pa.StructArray.from_arrays([pa.array(cases, pa.string()), pa.array(defines, pa.string())], names=["test_case", "define_name"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+
+
 def cobertura_entries(reports: DataFrame, xml: str = "xml") -> DataFrame:
     """(test_case, define_name). Embedded test cases name what they cover; else each class and method of a package is
-    covered by the case coverage::package.class. Hits are not looked at."""
+    covered by the case coverage::package.class. Hits are not looked at. Each report gives a pair once. Other columns stay."""
     keep = [c for c in reports.columns if c != xml]
-    cases = reports.select("*", F.explode(_blocks(F.col(xml), "testcase")).alias("_c"))
-    cases = cases.select(*keep, F.concat_ws("::", _text(F.col("_c"), "/testcase/@classname"), _text(F.col("_c"), "/testcase/@name")).alias("test_case"), F.explode(_blocks(F.col("_c"), "covered_class")).alias("_k"))
-    name, methods = _text(F.col("_k"), "/covered_class/@name"), F.filter(F.xpath("_k", F.lit("/covered_class/method/@name")), lambda m: m != "")
-    defines = F.when(F.xpath_int("_k", F.lit("count(/covered_class/method)")) == 0, F.array(name)).otherwise(F.transform(methods, lambda m: F.concat_ws(".", name, m)))
-    embedded = cases.where(name != "").select(*keep, "test_case", F.explode(defines).alias("define_name"))
-    plain = reports.where(~F.col(xml).rlike(r"<testcase[\s/>]"))
-    packages = plain.select("*", F.explode(_blocks(F.col(xml), "package")).alias("_p"))
-    head = F.concat(F.regexp_extract("_p", r"(?s)^<package(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?=/?>)", 0), F.lit("/>"))
-    classes = packages.select(*keep, _text(head, "/package/@name").alias("_n"), F.explode(_blocks(F.col("_p"), "class")).alias("_k"))
-    classes = classes.withColumn("_k", F.from_xml("_k", _CLASS))
-    full = F.btrim(F.concat_ws(".", "_n", F.nullif(F.col("_k._name"), F.lit(""))), F.lit("."))
-    names = F.transform(F.coalesce("_k.methods.method", F.array().cast(T.ArrayType(_struct(_name=_S)))), lambda m: m["_name"])
-    methods = F.transform(F.filter(names, lambda m: F.coalesce(m, F.lit("")) != ""), lambda m: F.concat_ws(".", full, m))
-    return embedded.unionByName(classes.select(*keep, F.concat(F.lit("coverage::"), full).alias("test_case"), F.explode(F.concat(F.array(full), methods)).alias("define_name")))
+    read = F.arrow_udf(_all_covers, "array<struct<test_case: string, define_name: string>>")
+    return reports.select(*keep, F.explode(read(F.col(xml))).alias("_e")).select(*keep, "_e.test_case", "_e.define_name")
 
 
 def lcov_lines(reports: DataFrame, text: str = "text", by: str = "path") -> DataFrame:

@@ -104,6 +104,18 @@ def test_cobertura(spark):
     assert sorted(tuple(r) for r in A.cobertura_entries(df).collect()) == [(1, "coverage::p.K", "p.K"), (1, "coverage::p.K", "p.K.m"), (2, "c::n", "K.m"), (2, "c::n", "L")]
 
 
+def test_cobertura_parses_once(spark):
+    """One parse for each report: comments say nothing, repeated pairs come once, and of a broken report whole elements count."""
+    case = '<testcase classname="c" name="a&amp;b"><covered_class name="K"/><covered_class name="K"/><covered_class/></testcase>'
+    hidden = f'<coverage><!-- {case} --><package name="p"><class name="K"><method name="m"/></class><class/></package></coverage>'
+    texts = [f"<coverage>{case}{case}</coverage>", hidden, f"<coverage>{case}<testcase", '<coverage><package name="q"><class name="L"/></package><package', "", None]
+    got = A.cobertura_entries(spark.createDataFrame(list(enumerate(texts)), "i int, xml string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "xpath" not in plan and "regexp_extract" not in plan
+    want = [(0, "c::a&b", "K"), (1, "coverage::p", "p"), (1, "coverage::p.K", "p.K"), (1, "coverage::p.K", "p.K.m"), (2, "c::a&b", "K"), (3, "coverage::q.L", "q.L")]
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_lcov(spark):
     text = "TN:t\nSF:a.py\nDA:2,1\nDA:3,0\nDA:6,4\nDA:x,1\nend_of_record\nSF:b.py\nDA:1,1\nTN:\nSF:a.py\nDA:5,1\nend_of_record"
     lines = A.lcov_lines(spark.createDataFrame([("r", text)], "path string, text string"))
