@@ -33,19 +33,22 @@ def _neighbours(left: DataFrame, right: DataFrame, by: list[str], left_at: str,
 
     For each bin of the long column the last row before and the first row after it are carried over from other bins in a
     table of one row for each bin; within a bin windows find neighbours. So a long sequence is spread over its bins, and
-    the work is linear in both sides. Right rows are unique in (by, _at).
+    the work is linear in both sides: what follows is read in descending order, since Spark computes a frame that ends with
+    the partition anew for each row. Right rows are unique in (by, _at).
     """
     r = right.withColumn("_bin", F.floor(F.col("_at") / width))
     row = left.withColumn("_row", F.struct(*[F.col(c) for c in left.columns])).select(*by, F.col(left_at).alias("_at"), "_row").withColumn("_bin", F.floor(F.col("_at") / width))
     pair = F.struct("_at", "_v")
     bins = r.groupBy(*by, "_bin").agg(F.max(pair).alias("_hi"), F.min(pair).alias("_lo")).unionByName(row.select(*by, "_bin").distinct(), allowMissingColumns=True)
     bins = bins.groupBy(*by, "_bin").agg(F.max("_hi").alias("_hi"), F.min("_lo").alias("_lo"))
-    order = Window.partitionBy(*by).orderBy("_bin")
-    bins = bins.select(*by, "_bin", F.last("_hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_lo", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    order, back = Window.partitionBy(*by).orderBy("_bin"), Window.partitionBy(*by).orderBy(F.desc("_bin"))
+    others = (Window.unboundedPreceding, -1)
+    bins = bins.select(*by, "_bin", F.last("_hi", True).over(order.rowsBetween(*others)).alias("_before"), F.last("_lo", True).over(back.rowsBetween(*others)).alias("_after"))
     both = r.withColumn("_pair", pair).unionByName(row, allowMissingColumns=True)
-    inner = Window.partitionBy(*by, "_bin").orderBy("_at")
-    both = both.withColumn("_p", F.last("_pair", True).over(inner.rangeBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_n", F.first("_pair", True).over(inner.rangeBetween(0, Window.unboundedFollowing)))
+    inner, back = Window.partitionBy(*by, "_bin").orderBy("_at"), Window.partitionBy(*by, "_bin").orderBy(F.desc("_at"))
+    up_to = (Window.unboundedPreceding, 0)
+    both = both.withColumn("_p", F.last("_pair", True).over(inner.rangeBetween(*up_to)))
+    both = both.withColumn("_n", F.last("_pair", True).over(back.rangeBetween(*up_to)))
     found = both.where("_row is not null").join(bins, [*by, "_bin"])
     return found.select("_row", "_at", F.coalesce("_p", "_before").alias("_p"), F.coalesce("_n", "_after").alias("_n"))
 

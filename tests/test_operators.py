@@ -175,6 +175,15 @@ def test_nearest_against_comparison(spark, width):
         assert got[i] == (near[0][2] if near else None)
 
 
+def test_nearest_is_linear_in_a_bin(spark):
+    """No frame ends with the partition: Spark computes such a frame anew for each row. Also one bin that holds all rows."""
+    left, right = spark.range(0, 30_000).selectExpr("1L AS p", "id AS i", "id * 3 AS t"), spark.range(0, 45_000).selectExpr("1L AS p", "id * 2 AS u", "id AS v")
+    got = intervals.nearest(left, right, ["p"], "t", "u", "v", 10**6)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+    assert got.where("v <> least(t div 2, 44999)").count() == 0 and got.count() == 30_000
+
+
 @pytest.mark.parametrize("width", [1, 6, 1000])
 def test_latest_against_comparison(spark, width):
     rng = random.Random(11)
